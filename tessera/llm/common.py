@@ -55,8 +55,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the input bytes; it costs no job and only sizes partitions, never results."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def pieces(df: DataFrame, mb: float, least: int | None = None) -> int:

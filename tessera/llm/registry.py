@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import classifier, decontaminate, licenses, mixing, quality_rules, quotes, tokens, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_warc": warc.op2_warc,
+    "op3_mixing": mixing.op3_mixing,
+    "op4_license_scan": licenses.op4_license_scan,
+    "op5_quality_classifier": classifier.op5_quality_classifier,
+    "op6_quotation_linking": quotes.op6_quotation_linking,
+    "op9_token_output": tokens.op9_token_output,
+    "op10_decontamination": decontaminate.op10_decontamination,
 }
 ORACLES: dict[str, str] = {}
