@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, decontaminate, jaccard, licenses, mixing, quality_rules, quotes, tokens, warc
+from . import classifier, decontaminate, jaccard, licenses, mixing, quality_rules, quotes, suffix_dedup, tokens, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_license_scan": licenses.op4_license_scan,
     "op5_quality_classifier": classifier.op5_quality_classifier,
     "op6_quotation_linking": quotes.op6_quotation_linking,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_token_output": tokens.op9_token_output,
     "op10_decontamination": decontaminate.op10_decontamination,
