@@ -19,6 +19,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,8 @@ TAIL = b"BPIX"
 BLOCK = 1 << 16
 PRINTABLE = frozenset(map(chr, [*range(0x21, 0x7F), *range(0xC0, 0x250)]))
 _LINE = PRINTABLE | {" ", "\n"}
-_CACHE = 500_000
+#: Entries of a piece cache, some 250 MB when full.
+_CACHE = 1_000_000
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -85,6 +87,12 @@ class Encoder:
         return self.feed.join(lines)
 
 
+@lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """One encoder for a Python worker, so that its pieces serve all of the worker's tasks."""
+    return Encoder(path)
+
+
 def pack(ids: np.ndarray, bits: bool = False, level: int = 1) -> tuple[bytes, list[int]]:
     """One block: its planes, each compressed, and their lengths."""
     packer = zstandard.ZstdCompressor(level=level, write_content_size=True)
@@ -144,7 +152,7 @@ def ids_of(data: memoryview, index: dict) -> Iterator[np.ndarray]:
 
 def _encode(path: str, end_id: int, bits: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = _encoder(path), np.array([end_id], "<u4").tobytes()
         waiting, held, offset, blocks, docs = [], 0, 0, [], []
         frame = lambda x: pa.RecordBatch.from_arrays([pa.array([x], pa.binary())], ["frame"])
         for batch in batches:
