@@ -80,12 +80,38 @@ def _finish(n: int) -> Column:
     return (F.col("source_size") * F.lit(n) + F.col("cum")) / F.col("target")
 
 
+def _key() -> Column:
+    """Order of the shuffle within a source."""
+    return F.xxhash64("doc_id", "text")
+
+
 def mix(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document. docs has doc_id, text and source.
 
     taken counts the words of all passes in which the document comes before the cut, so it is 0, 1 or 2 times size.
     """
-    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("key"))
+    return _mixed(docs, share, weights).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def repeated(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
+    """The rows of docs, all columns, each as often as the mix takes it.
+
+    Rows that are equal in doc_id, source and text share a line of the plan: each gets the mean of their passes, rounded up.
+    """
+    plan = _mixed(docs, share, weights).where("size > 0")
+    plan = plan.groupBy("doc_id", "source", "key").agg((F.sum("taken") / F.max("size")).cast("int").alias("_times"), F.count(F.lit(1)).alias("_rows"))
+    plan = written(plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("key").alias("_k"), "_times", "_rows"), "mix-plan")
+    keyed = docs.withColumn("_key", _key())
+    joined = keyed.join(
+        plan.where("_times > 0"),
+        (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")),
+    )
+    copies = F.ceil(F.col("_times") / F.col("_rows")).cast("int")
+    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
+
+
+def _mixed(docs: DataFrame, share: float, weights: tuple[int, ...]) -> DataFrame:
+    sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"), _key().alias("key"))
     sized = written(sized, "mix-sizes")
     goal = written(targets(sized, weights, share, float(PASSES)), "mix-targets")
     timed = written(_finish_times(sized, goal), "mix-times")
@@ -111,7 +137,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1
         at = F.struct(_finish(n).alias("finish"), "source", "key", "doc_id", F.lit(n).alias("pass"))
         taken = taken + F.when(F.col("cut").isNull() | (at < F.col("cut")), F.col("size")).otherwise(0)
     return ends.select(
-        "doc_id", "size", "source_size", "target",
+        "doc_id", "source", "key", "size", "source_size", "target",
         F.when((F.col("size") > 0) & (F.col("target") > 0), taken).otherwise(0).cast("long").alias("taken"),
     )
 
