@@ -1,11 +1,550 @@
-"""Registry of the queries that run on the plain tables, with their SQL counterparts."""
+"""Registry of the queries that run on the plain tables, with their SQL counterparts.
+
+Two families: one query per operator, in the DataFrame API with hand-written SQL beside it, and the question pack, whose
+answers are compared as `q001` to `q150`.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tessera import schema
+from tessera.functions import measures as M
+from tessera.functions import names as N
+from tessera.functions.strings import with_similarity
+from tessera.operators import blocking, calibrate, cluster, graph, hotspots, linkage, profiles, reconcile, retrieval, scope
+from tessera.operators.resolve import resolve
+from tessera.plans import questions
+from tessera.sources import adapter
+from tessera.streaming import decisions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "resolve_parts"
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with the SQL that must give the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = adapter.with_tables(sql)
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def mentions(spark: SparkSession, sf: str) -> DataFrame:
+    t = adapter.tables(spark, sf)
+    return t["Accused"].join(t["resolved_identity"].select("AccusedMasterID", "ResolvedIdentityID"), "AccusedMasterID").select(
+        F.col("AccusedMasterID").alias("mention"), F.col("CaseMasterID").alias("case_id"), F.col("ResolvedIdentityID").alias("identity"),
+        F.col("AccusedName").alias("name"),
+    )
+
+
+def cases(spark: SparkSession, sf: str) -> DataFrame:
+    return adapter.tables(spark, sf)["CaseMaster"].select(
+        F.col("CaseMasterID").alias("case_id"), F.col("CrimeRegisteredDate").alias("day"), F.col("DistrictID").alias("district"),
+        F.col("UnitID").alias("unit"), F.col("CrimeSubHeadID").cast("string").alias("head"), F.col("CaseStatus").alias("status"),
+        F.col("Latitude").alias("lat"), F.col("Longitude").alias("lon"),
+    )
+
+
+def parts(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "part")
+
+
+MEN = "m AS (SELECT a.AccusedMasterID AS mention, a.CaseMasterID AS case_id, r.ResolvedIdentityID AS identity, a.AccusedName AS name FROM Accused a JOIN resolved_identity r ON r.AccusedMasterID = a.AccusedMasterID)"
+CAS = "k AS (SELECT CaseMasterID AS case_id, CrimeRegisteredDate AS day, DistrictID AS district, UnitID AS unit, CAST(CrimeSubHeadID AS VARCHAR) AS head, Latitude AS lat, Longitude AS lon FROM CaseMaster)"
+EDG = "e AS (SELECT x.identity AS a, y.identity AS b, count(*) AS shared_cases FROM m x JOIN m y ON x.case_id = y.case_id AND x.identity < y.identity GROUP BY x.identity, y.identity)"
+
+
+# --- projections, filters, joins, set operations -----------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, round(o_totalprice * 1.1, 2) AS gross FROM orders WHERE o_orderstatus = 'F' AND CAST(o_orderdate AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'")
+def filter_project(spark, sf):
+    o = read(spark, sf, "orders").where("o_orderstatus = 'F' and cast(o_orderdate as date) between date'1997-01-01' and date'1997-12-31'")
+    return o.select("o_orderkey", F.round(F.col("o_totalprice") * 1.1, 2).alias("gross"))
+
+
+@query("SELECT n_name, count(*) AS customers FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name")
+def join_inner(spark, sf):
+    return read(spark, sf, "customer").join(read(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("customers"))
+
+
+@query("SELECT c_custkey, coalesce(CAST(max(o_orderkey) AS VARCHAR), 'unknown') AS last_order FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def join_left_default(spark, sf):
+    last = read(spark, sf, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").cast("string").alias("x"))
+    return read(spark, sf, "customer").join(last, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", F.coalesce("x", F.lit("unknown")).alias("last_order"))
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
+def join_semi(spark, sf):
+    big = read(spark, sf, "orders").where("o_totalprice > 400000")
+    return read(spark, sf, "customer").join(big, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def join_anti(spark, sf):
+    return read(spark, sf, "customer").join(read(spark, sf, "orders").where("o_orderstatus = 'P'"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+
+
+@query("SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)")
+def join_not_in(spark, sf):
+    rich = read(spark, sf, "customer").where("c_acctbal > 9900").select("c_nationkey")
+    return read(spark, sf, "supplier").join(rich, F.col("s_nationkey") == F.col("c_nationkey"), "left_anti").select("s_suppkey")
+
+
+@query("SELECT r_name, n_name FROM region CROSS JOIN (SELECT n_name FROM nation WHERE n_nationkey < 3) n")
+def join_units_by_all(spark, sf):
+    few = read(spark, sf, "nation").where("n_nationkey < 3").select("n_name")
+    return read(spark, sf, "region").select("r_name").join(F.broadcast(few))
+
+
+@query(f"WITH {MEN}, {EDG} SELECT a, b, shared_cases FROM e WHERE shared_cases > 1")
+def case_pairs(spark, sf):
+    return graph.edges(mentions(spark, sf)).where("shared_cases > 1").select("a", "b", "shared_cases")
+
+
+@query(f"WITH {MEN}, {CAS}, w AS (SELECT identity, district, min(day) AS lo, max(day) AS hi FROM m JOIN k ON k.case_id = m.case_id GROUP BY identity, district HAVING count(*) >= 10) SELECT k.case_id, count(*) AS people FROM k JOIN w ON w.district = k.district AND k.day BETWEEN w.lo AND w.hi GROUP BY k.case_id")
+def range_window(spark, sf):
+    k = cases(spark, sf)
+    w = mentions(spark, sf).join(k, "case_id").groupBy("identity", "district").agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.count(F.lit(1)).alias("n")).where("n >= 10")
+    return k.join(w, "district").where(F.col("day").between(F.col("lo"), F.col("hi"))).groupBy("case_id").agg(F.count(F.lit(1)).alias("people"))
+
+
+@query("SELECT o_custkey AS party FROM orders WHERE o_totalprice > 450000 UNION SELECT c_custkey FROM customer WHERE c_acctbal > 9900")
+def union_distinct(spark, sf):
+    return read(spark, sf, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("party")).union(read(spark, sf, "customer").where("c_acctbal > 9900").select("c_custkey")).distinct()
+
+
+@query("SELECT 'customer' AS kind, count(*) AS n FROM customer UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'part', count(*) FROM part")
+def union_all_tables(spark, sf):
+    one = lambda t: read(spark, sf, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("kind"), "n")
+    return one("customer").unionAll(one("supplier")).unionAll(one("part"))
+
+
+# --- aggregations and windows ------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {MEN} SELECT identity, count(DISTINCT case_id) AS cases FROM m GROUP BY identity HAVING count(DISTINCT case_id) >= 3")
+def repeat_identities(spark, sf):
+    return mentions(spark, sf).groupBy("identity").agg(F.count_distinct("case_id").alias("cases")).where("cases >= 3")
+
+
+@query("SELECT year(o_orderdate) AS y, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS f, sum(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS o, sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END) AS p FROM orders GROUP BY year(o_orderdate)")
+def conditional_sums(spark, sf):
+    s = lambda x: F.count_if(F.col("o_orderstatus") == x).alias(x.lower())
+    return read(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("y")).agg(s("F"), s("O"), s("P"))
+
+
+@query(f"WITH {MEN}, n AS (SELECT identity, name, count(*) AS n, min(mention) AS f FROM m GROUP BY identity, name) SELECT identity, name AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY identity ORDER BY n DESC, f) AS p FROM n) q WHERE p = 1")
+def mode_first_seen(spark, sf):
+    return graph.anchor_names(mentions(spark, sf))
+
+
+@query("SELECT c_mktsegment, count(DISTINCT o_custkey) AS customers, round(CAST(count(DISTINCT o_custkey) AS DOUBLE) / CAST(sum(count(DISTINCT o_custkey)) OVER () AS DOUBLE), 6) AS share FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment")
+def share_window(spark, sf):
+    per = read(spark, sf, "orders").join(read(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).groupBy("c_mktsegment").agg(F.count_distinct("o_custkey").alias("customers"))
+    return per.withColumn("share", F.round(F.col("customers") / F.sum("customers").over(Window.partitionBy()), 6))
+
+
+@query(f"WITH {MEN}, {CAS}, n AS (SELECT district, day, k.case_id FROM k), t AS (SELECT district, strftime(day, '%Y-%m') AS month, count(DISTINCT case_id) AS n FROM n GROUP BY ALL), c AS (SELECT d.district, mo.month, coalesce(t.n, 0) AS cases FROM (SELECT DISTINCT district FROM t) d CROSS JOIN (SELECT DISTINCT month FROM t) mo LEFT JOIN t ON t.district = d.district AND t.month = mo.month), w AS (SELECT district, month, cases, round(median(cases) OVER f, 2) AS median, count(*) OVER f AS seen FROM c WINDOW f AS (PARTITION BY district ORDER BY month ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)) SELECT district, month, cases, CAST(median AS DOUBLE) AS median, coalesce(seen = 12 AND cases >= 5 AND median > 0 AND cases >= 2 * median, false) AS anomaly FROM w")
+def monthly_anomalies(spark, sf):
+    return hotspots.trends(cases(spark, sf))
+
+
+@query("SELECT CAST(dayofweek(CAST(o_orderdate AS DATE)) AS INTEGER) AS weekday, count(*) AS n FROM orders GROUP BY 1")
+def by_weekday(spark, sf):
+    return read(spark, sf, "orders").groupBy((F.dayofweek("o_orderdate") - 1).alias("weekday")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_custkey, CAST(date_diff('day', min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE))) AS INTEGER) AS span FROM orders GROUP BY o_custkey")
+def day_span(spark, sf):
+    day = F.to_date("o_orderdate")
+    return read(spark, sf, "orders").groupBy("o_custkey").agg(F.datediff(F.max(day), F.min(day)).alias("span"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE 'RE%'")
+def like_prefix(spark, sf):
+    return parts(spark, sf).where(F.col("p_name").ilike("RE%")).select("p_partkey", "p_name")
+
+
+# --- names, keys and pairs ---------------------------------------------------------------------------------------------
+
+_RUNS = "[aeiou]*[uo][aeiou]*", "[aei]*[ie][aei]*", "a+"
+
+
+def _fold_sql(t: str) -> str:
+    """The folding rules for an engine without look-around and back-references."""
+    t = f"regexp_replace({t}, '([^aeiou])y$', '\\1i')"
+    t = f"regexp_replace({t}, '([aeiou])y', '\\1', 'g')"
+    for old, new in N.FOLDS:
+        t = f"replace({t}, '{old}', '{new}')"
+    for _ in range(2):
+        t = f"regexp_replace({t}, '[mn]([bcdgjklmnprstv])', 'n\\1', 'g')"
+    for run, mark in zip(_RUNS, "UIA"):
+        t = f"regexp_replace({t}, '{run}', '{mark}', 'g')"
+    t = f"lower({t})"
+    for c in "abcdefghijklmnopqrstuvwxyz":
+        t = f"regexp_replace({t}, '{c}{c}+', '{c}', 'g')"
+    return f"regexp_replace({t}, '[aiu]+$', '')"
+
+
+TOK = f"w AS (SELECT DISTINCT p_name, unnest(string_split(p_name, ' ')) AS w FROM part), f AS (SELECT p_name, {_fold_sql('w')} AS t FROM w), g AS (SELECT p_name, string_agg(t, ' ' ORDER BY t) AS canon, list(DISTINCT substr(t, 1, 4)) AS heads FROM f WHERE length(t) >= 2 GROUP BY p_name)"
+PAR = f"{TOK}, q AS (SELECT p_partkey AS id, part.p_name AS name, p_brand AS brand, CAST(p_size AS BIGINT) AS size, p_type AS kind, canon, heads FROM part JOIN g ON g.p_name = part.p_name)"
+
+
+@query(f"WITH {TOK} SELECT p_name, canon FROM g")
+def canonical_names(spark, sf):
+    n = parts(spark, sf).select("p_name").distinct().withColumn("n", N.normalised(F.col("p_name")))
+    return n.select("p_name", N.canonical(F.col("n")).alias("canon")).where("canon <> ''")
+
+
+@query(f"WITH {PAR} SELECT canon, count(*) AS n, round(CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER () AS DOUBLE), 8) AS p FROM q GROUP BY canon")
+def name_frequency(spark, sf):
+    keyed = parts(spark, sf).select(N.canonical(N.normalised(F.col("p_name"))).alias("canon"))
+    return linkage.frequencies(keyed, "canon").join(keyed.groupBy("canon").agg(F.count(F.lit(1)).alias("n")), "canon").select("canon", "n", F.round("p", 8).alias("p"))
+
+
+@query("SELECT name, CASE WHEN regexp_matches(name, '[ಀ-೿]') AND regexp_matches(name, '[A-Za-z]') THEN 'mixed' WHEN regexp_matches(name, '[ಀ-೿]') THEN 'kannada' ELSE 'latin' END AS script FROM (SELECT DISTINCT p_name AS name FROM part UNION ALL SELECT 'ರಮೇಶ' UNION ALL SELECT 'ರಮೇಶ kumar') n")
+def name_scripts(spark, sf):
+    extra = spark.createDataFrame([("ರಮೇಶ",), ("ರಮೇಶ kumar",)], "name string")
+    n = parts(spark, sf).select(F.col("p_name").alias("name")).distinct().union(extra)
+    return n.select("name", N.script(F.col("name")).alias("script"))
+
+
+@query(f"WITH {PAR} SELECT x.brand, count(*) AS pairs FROM q x JOIN q y ON x.id < y.id AND x.brand = y.brand AND len(list_intersect(x.heads, y.heads)) > 0 GROUP BY x.brand")
+def candidate_pairs(spark, sf):
+    """Pairs that share a four-letter head; the brand stands for a circle to keep the count of pairs in bounds."""
+    named = parts(spark, sf).select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), N.normalised(F.col("p_name")).alias("norm"))
+    heads = F.transform(blocking.keys(F.col("norm"), families=("P4",)), lambda k: F.concat(F.col("brand"), F.lit("|"), k))
+    keyed = named.withColumn("keys", heads)
+    pairs = blocking.candidate_pairs(keyed, "id", salt=4)
+    return pairs.join(named.select(F.col("id").alias("a"), "brand"), "a").groupBy("brand").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query(f"WITH {PAR}, b AS (SELECT unnest(heads) AS h, id FROM q), n AS (SELECT h, count(*) AS n FROM b GROUP BY h) SELECT 'P4' AS family, count(*) AS blocks, max(n) AS largest, round(avg(n), 2) AS mean_rows FROM n")
+def block_report(spark, sf):
+    keyed = blocking.with_keys(parts(spark, sf), "p_name", families=("P4",))
+    return blocking.report(keyed)
+
+
+def _name_pairs(spark, sf):
+    n = parts(spark, sf).select("p_name").distinct().select("p_name", N.normalised(F.col("p_name")).alias("n"))
+    n = n.select("p_name", N.canonical(F.col("n")).alias("canon"), F.col("n.tokens").alias("tokens"))
+    x, y = n.alias("x"), n.alias("y")
+    pairs = x.join(y, (F.substring("x.canon", 1, 1) == F.substring("y.canon", 1, 1)) & (F.col("x.p_name") < F.col("y.p_name")))
+    return pairs.select(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "xy" for c in ("p_name", "canon", "tokens")])
+
+
+_NP = f"WITH {TOK}, t AS (SELECT p_name, list(DISTINCT t) AS tokens FROM f WHERE length(t) >= 2 GROUP BY p_name), p AS (SELECT x.p_name AS name_x, y.p_name AS name_y, x.canon AS cx, y.canon AS cy, tx.tokens AS kx, ty.tokens AS ky FROM g x JOIN g y ON substr(x.canon, 1, 1) = substr(y.canon, 1, 1) AND x.p_name < y.p_name JOIN t tx ON tx.p_name = x.p_name JOIN t ty ON ty.p_name = y.p_name), v AS (SELECT name_x, name_y, jaro_winkler_similarity(cx, cy) AS jw, len(list_intersect(kx, ky)) / CAST(len(list_distinct(list_concat(kx, ky))) AS DOUBLE) AS ts FROM p)"
+
+
+@query(f"{_NP} SELECT name_x, name_y, round(jw, 6) AS jw FROM v")
+def jaro_winkler(spark, sf):
+    return with_similarity(_name_pairs(spark, sf), "canon_x", "canon_y").select(F.col("p_name_x").alias("name_x"), F.col("p_name_y").alias("name_y"), F.round("jw", 6).alias("jw"))
+
+
+@query(f"{_NP}, s AS (SELECT name_x, name_y, 0.65 * greatest(jw, ts) + 0.35 * least(jw, ts) AS s FROM v) SELECT name_x, name_y, CAST(CASE WHEN s >= 0.94 THEN 3 WHEN s >= 0.86 THEN 2 WHEN s >= 0.74 THEN 1 ELSE 0 END AS INTEGER) AS level FROM s")
+def lexical_level(spark, sf):
+    p = with_similarity(_name_pairs(spark, sf), "canon_x", "canon_y")
+    s = M.lexical_score(F.col("jw"), M.jaccard(F.col("tokens_x"), F.col("tokens_y")))
+    return p.select(F.col("p_name_x").alias("name_x"), F.col("p_name_y").alias("name_y"), M.lexical_level(s).alias("level"))
+
+
+@query("SELECT x.p_partkey AS a, y.p_partkey AS b, CAST(CASE WHEN abs(x.p_size - y.p_size) <= 1 THEN 2 WHEN abs(x.p_size - y.p_size) <= 2 THEN 1 ELSE 0 END AS INTEGER) AS level FROM part x JOIN part y ON x.p_name = y.p_name AND x.p_brand = y.p_brand AND x.p_partkey < y.p_partkey")
+def temporal_level(spark, sf):
+    x, y = parts(spark, sf).alias("x"), parts(spark, sf).alias("y")
+    pairs = x.join(y, (F.col("x.p_name") == F.col("y.p_name")) & (F.col("x.p_brand") == F.col("y.p_brand")) & (F.col("x.p_partkey") < F.col("y.p_partkey")))
+    return pairs.select(F.col("x.p_partkey").alias("a"), F.col("y.p_partkey").alias("b"), M.temporal_level(F.col("x.p_size"), F.col("y.p_size")).alias("level"))
+
+
+_KM = "2 * 6371.0088 * asin(sqrt(least(greatest(power(sin((radians(y.Latitude) - radians(x.Latitude)) / 2), 2) + cos(radians(x.Latitude)) * cos(radians(y.Latitude)) * power(sin((radians(y.Longitude) - radians(x.Longitude)) / 2), 2), 0), 1)))"
+_HOPS = "CASE WHEN x.UnitID = y.UnitID THEN 0 WHEN x.DistrictID = y.DistrictID THEN 2 ELSE 4 END"
+_SP = f"s AS (SELECT x.CaseMasterID AS a, y.CaseMasterID AS b, {_HOPS} AS hops, {_KM} AS km FROM CaseMaster x JOIN CaseMaster y ON x.CrimeRegisteredDate = y.CrimeRegisteredDate AND x.CrimeSubHeadID = y.CrimeSubHeadID AND x.CaseMasterID < y.CaseMasterID)"
+
+
+def _near(spark, sf):
+    k = cases(spark, sf)
+    x, y = k.alias("x"), k.alias("y")
+    pairs = x.join(y, (F.col("x.day") == F.col("y.day")) & (F.col("x.head") == F.col("y.head")) & (F.col("x.case_id") < F.col("y.case_id")))
+    hops = F.when(F.col("x.unit") == F.col("y.unit"), 0).when(F.col("x.district") == F.col("y.district"), 2).otherwise(4)
+    km = M.haversine_km(F.col("x.lat"), F.col("x.lon"), F.col("y.lat"), F.col("y.lon"))
+    return pairs.select(F.col("x.case_id").alias("a"), F.col("y.case_id").alias("b"), hops.alias("hops"), km.alias("km"))
+
+
+@query(f"WITH {_SP} SELECT a, b, round(km, 4) AS km FROM s")
+def haversine(spark, sf):
+    return _near(spark, sf).select("a", "b", F.round("km", 4).alias("km"))
+
+
+@query(f"WITH {_SP} SELECT a, b, CAST(CASE WHEN hops = 0 THEN 3 WHEN hops <= 2 OR km <= 15 THEN 2 WHEN hops <= 4 OR km <= 60 THEN 1 ELSE 0 END AS INTEGER) AS level FROM s")
+def spatial_level(spark, sf):
+    return _near(spark, sf).select("a", "b", M.spatial_level(F.col("hops"), F.col("km")).alias("level"))
+
+
+# --- linkage -----------------------------------------------------------------------------------------------------------
+
+_LV = f"WITH {PAR}, p AS (SELECT x.id AS a, y.id AS b, CAST(x.brand = y.brand AS INTEGER) AS brand, CAST(x.kind = y.kind AS INTEGER) AS kind, CAST(CASE WHEN abs(x.size - y.size) <= 1 THEN 2 WHEN abs(x.size - y.size) <= 2 THEN 1 ELSE 0 END AS INTEGER) AS size, x.canon FROM q x JOIN q y ON x.canon = y.canon AND x.brand = y.brand AND x.id < y.id)"
+_WEIGHTS = {"brand": [-1.5, 2.25], "kind": [-0.5, 1.75], "size": [-2.0, 0.5, 3.0]}
+
+
+def _levels(spark, sf):
+    q = parts(spark, sf).select(F.col("p_partkey").alias("id"), N.canonical(N.normalised(F.col("p_name"))).alias("canon"), "p_brand", "p_type", "p_size").where("canon <> ''")
+    x, y = q.alias("x"), q.alias("y")
+    pairs = x.join(y, (F.col("x.canon") == F.col("y.canon")) & (F.col("x.p_brand") == F.col("y.p_brand")) & (F.col("x.id") < F.col("y.id")))
+    return pairs.select(
+        F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(1).alias("brand"), (F.col("x.p_type") == F.col("y.p_type")).cast("int").alias("kind"),
+        M.temporal_level(F.col("x.p_size"), F.col("y.p_size")).alias("size"), F.col("x.canon").alias("canon"),
+    )
+
+
+@query(f"{_LV} SELECT brand, kind, size, count(*) AS n FROM p GROUP BY brand, kind, size")
+def pattern_collapse(spark, sf):
+    return linkage.patterns(_levels(spark, sf), ["brand", "kind", "size"])
+
+
+@query(f"{_LV} SELECT a, b, round(CAST(2.25 + CASE kind WHEN 0 THEN -0.5 ELSE 1.75 END + CASE size WHEN 0 THEN -2.0 WHEN 1 THEN 0.5 ELSE 3.0 END AS DOUBLE), 6) AS score FROM p")
+def llr_score(spark, sf):
+    return _levels(spark, sf).select("a", "b", F.round(linkage.score(_WEIGHTS), 6).alias("score"))
+
+
+@query(f"{_LV}, c AS (SELECT canon, CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER () AS DOUBLE) AS p FROM q GROUP BY canon), u AS (SELECT sum(p * p) AS u FROM c) SELECT p.a, p.b, round(ln(u.u / c.p), 6) AS bonus FROM p JOIN c ON c.canon = p.canon CROSS JOIN u")
+def frequency_adjustment(spark, sf):
+    freq = linkage.frequencies(parts(spark, sf).select(N.canonical(N.normalised(F.col("p_name"))).alias("c")).where("c <> ''"), "c")
+    out = linkage.frequency_adjusted(_levels(spark, sf).withColumn("bonus", F.lit(0.0)), "canon", freq, "c", "bonus")
+    return out.select("a", "b", F.round("bonus", 6).alias("bonus"))
+
+
+@query(f"WITH {PAR}, c AS (SELECT CAST(count(*) AS DOUBLE) / CAST(sum(count(*)) OVER () AS DOUBLE) AS p FROM q GROUP BY canon) SELECT round(sum(p * p), 8) AS u FROM c")
+def generic_agreement(spark, sf):
+    freq = linkage.frequencies(parts(spark, sf).select(N.canonical(N.normalised(F.col("p_name"))).alias("c")).where("c <> ''"), "c")
+    return freq.agg(F.round(F.sum(F.col("p") * F.col("p")), 8).alias("u"))
+
+
+_PW = "WITH l AS (SELECT p_name AS label, p_brand AS truth FROM part), a AS (SELECT sum(n * (n - 1) / 2) AS x FROM (SELECT count(*) AS n FROM l GROUP BY label) t), b AS (SELECT sum(n * (n - 1) / 2) AS x FROM (SELECT count(*) AS n FROM l GROUP BY truth) t), c AS (SELECT sum(n * (n - 1) / 2) AS x FROM (SELECT count(*) AS n FROM l GROUP BY label, truth) t)"
+
+
+@query(f"{_PW} SELECT CAST(a.x AS BIGINT) AS predicted, CAST(b.x AS BIGINT) AS gold, CAST(c.x AS BIGINT) AS tp, round(c.x / a.x, 6) AS precision, round(c.x / b.x, 6) AS recall, round(2 * c.x / (a.x + b.x), 6) AS f FROM a, b, c")
+def pairwise_metrics(spark, sf):
+    m = cluster.pairwise(parts(spark, sf).select(F.col("p_name").alias("label"), F.col("p_brand").alias("truth")), "label", "truth")
+    return m.select("predicted", "gold", "tp", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f")])
+
+
+@query("SELECT p_partkey, p_name, CAST(row_number() OVER (PARTITION BY p_name, p_brand ORDER BY p_partkey) AS INTEGER) AS part FROM part")
+def greedy_split(spark, sf):
+    return cluster.greedy_split(parts(spark, sf), "p_name", "p_brand", "p_partkey").select("p_partkey", "p_name", "part")
+
+
+@query("WITH RECURSIVE s AS (SELECT x.p_partkey AS a, y.p_partkey AS b FROM part x JOIN part y ON x.p_name = y.p_name AND x.p_brand = y.p_brand AND x.p_size = y.p_size AND x.p_partkey <> y.p_partkey), r(node, label) AS (SELECT a, a FROM s UNION SELECT s.b, r.label FROM r JOIN s ON s.a = r.node) SELECT node, min(label) AS component FROM r GROUP BY node")
+def connected_components(spark, sf):
+    x, y = parts(spark, sf).alias("x"), parts(spark, sf).alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("p_name", "p_brand", "p_size")]
+    e = x.join(y, same[0] & same[1] & same[2] & (F.col("x.p_partkey") < F.col("y.p_partkey")))
+    return cluster.components(e.select(F.col("x.p_partkey").alias("a"), F.col("y.p_partkey").alias("b")))
+
+
+@query(f"{_LV}, s AS (SELECT CASE kind WHEN 0 THEN -0.5 ELSE 1.75 END + CASE size WHEN 0 THEN -2.0 WHEN 1 THEN 0.5 ELSE 3.0 END AS v, CAST((a + b) % 3 = 0 AS INTEGER) AS y FROM p), r AS (SELECT y, (rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0) AS r FROM s) SELECT round((sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * CAST(count(*) - sum(y) AS DOUBLE)), 6) AS auc FROM r")
+def rank_auc(spark, sf):
+    s = _levels(spark, sf).select((linkage.score({"kind": _WEIGHTS["kind"], "size": _WEIGHTS["size"]})).alias("v"), ((F.col("a") + F.col("b")) % 3 == 0).cast("int").alias("y"))
+    return linkage.auc(s, "v", "y").select(F.round("auc", 6).alias("auc"))
+
+
+@query("WITH s AS (SELECT o_orderkey, (o_orderkey % 100) / 100.0 AS p FROM orders) SELECT CAST(CASE WHEN p >= 0.92 THEN 0 WHEN p >= 0.65 THEN 1 ELSE 2 END AS INTEGER) AS route, count(*) AS pairs FROM s GROUP BY 1")
+def routing_bands(spark, sf):
+    s = read(spark, sf, "orders").select((F.col("o_orderkey") % 100 / 100.0).alias("p"))
+    return s.groupBy(calibrate.route(F.col("p")).alias("route")).agg(F.count(F.lit(1)).alias("pairs"))
+
+
+@query()
+def isotonic_calibration(spark, sf):
+    s = _levels(spark, sf).select(linkage.score(_WEIGHTS).alias("v"), ((F.col("a") + F.col("b")) % 3 == 0).cast("int").alias("y"))
+    return calibrate.isotonic(s, "v", "y").groupBy("v").agg(F.round(F.first("probability"), 6).alias("probability"), F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def em_fit(spark, sf):
+    model = linkage.fit(_levels(spark, sf), {"kind": 2, "size": 3}, {"kind": 1, "size": 2})
+    rows = [(s, i, float(w), model.support[s][i]) for s, ws in model.weights().items() for i, w in enumerate(ws)]
+    return spark.createDataFrame(rows, "signal string, level int, weight double, support long").withColumn("p", F.lit(model.p))
+
+
+@query()
+def agglomerate(spark, sf):
+    s = _levels(spark, sf).withColumn("score", linkage.score(_WEIGHTS)).withColumns({"case_a": F.col("a") % 50, "case_b": F.col("b") % 50})
+    return cluster.agglomerate(s, 6.5)
+
+
+@query()
+def resolve_parts(spark, sf):
+    """Resolution end to end over parts whose brand is given; the flagship."""
+    p = parts(spark, sf).select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 97).alias("case_id"), F.concat_ws(" ", "p_name", F.regexp_replace("p_brand", "[^0-9]", "")).alias("name"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.col("p_type").alias("type"))
+    return resolve(p)
+
+
+# --- graph, profiles, hotspots, retrieval ------------------------------------------------------------------------------
+
+
+@query(f"WITH {MEN}, {EDG} SELECT node, count(*) AS degree FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) n GROUP BY node")
+def degree(spark, sf):
+    return graph.degrees(graph.edges(mentions(spark, sf)))
+
+
+@query(f"WITH {MEN}, n AS (SELECT identity, name, count(*) AS n, min(mention) AS f FROM m GROUP BY identity, name), an AS (SELECT identity, name AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY identity ORDER BY n DESC, f) AS p FROM n) q WHERE p = 1), z AS (SELECT m.case_id, m.identity, bool_or(m.name = an.anchor) AS plain FROM m JOIN an ON an.identity = m.identity GROUP BY m.case_id, m.identity), e AS (SELECT x.identity AS a, y.identity AS b, count(*) AS shared_cases, NOT bool_or(x.plain AND y.plain) AS recovered FROM z x JOIN z y ON x.case_id = y.case_id AND x.identity < y.identity GROUP BY x.identity, y.identity) SELECT a, b, shared_cases, recovered FROM e")
+def recovered_edges(spark, sf):
+    return graph.edges(mentions(spark, sf)).select("a", "b", "shared_cases", "recovered")
+
+
+@query(f"WITH {MEN}, {EDG}, d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), one AS (SELECT DISTINCT b AS node FROM d WHERE a = 7) SELECT DISTINCT d.b AS node FROM one JOIN d ON d.a = one.node WHERE d.b <> 7 AND d.b NOT IN (SELECT node FROM one)")
+def two_hop(spark, sf):
+    return graph.two_hop(graph.edges(mentions(spark, sf)), 7)
+
+
+@query(f"WITH {MEN}, {EDG}, h AS (SELECT a, b FROM e WHERE shared_cases > 1), t AS (SELECT CAST(count(*) AS DOUBLE) AS m FROM h), d AS (SELECT node % 10 AS c, count(*) AS d FROM (SELECT a AS node FROM h UNION ALL SELECT b FROM h) n GROUP BY 1), i AS (SELECT a % 10 AS c, count(*) AS n FROM h WHERE a % 10 = b % 10 GROUP BY 1) SELECT round(sum(coalesce(i.n, 0) / t.m - power(d.d / (2 * t.m), 2)), 6) AS modularity FROM d LEFT JOIN i ON i.c = d.c CROSS JOIN t")
+def modularity(spark, sf):
+    e = graph.edges(mentions(spark, sf)).where("shared_cases > 1")
+    labels = graph.degrees(e).select("node", (F.col("node") % 10).alias("community"))
+    return graph.modularity(e, labels).select(F.round("modularity", 6).alias("modularity"))
+
+
+@query()
+def communities(spark, sf):
+    e = graph.edges(mentions(spark, sf)).where("shared_cases > 1")
+    return graph.communities(e).groupBy("community").agg(F.count(F.lit(1)).alias("size"))
+
+
+@query(f"WITH {MEN}, {CAS}, j AS (SELECT m.*, k.day, k.head FROM m JOIN k ON k.case_id = m.case_id), h AS (SELECT identity, head AS top_head, count(DISTINCT case_id) AS n FROM j GROUP BY identity, head), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY identity ORDER BY n DESC, top_head) AS p FROM h) q WHERE p = 1), b AS (SELECT identity, count(DISTINCT mention) AS records, count(DISTINCT case_id) AS cases, min(day) AS first_day, max(day) AS last_day FROM j GROUP BY identity) SELECT b.identity, records, cases, first_day, last_day, CAST(date_diff('day', first_day, last_day) AS INTEGER) AS active_days, t.top_head, round(t.n / CAST(cases AS DOUBLE), 4) AS top_head_share FROM b JOIN t ON t.identity = b.identity")
+def identity_profiles(spark, sf):
+    p = profiles.build(mentions(spark, sf), cases(spark, sf))
+    return p.select("identity", "records", "cases", "first_day", "last_day", "active_days", "top_head", "top_head_share")
+
+
+_DENS = "count(DISTINCT m.case_id) AS cases, count(DISTINCT m.identity) AS offenders, count(DISTINCT CASE WHEN rp.identity IS NOT NULL THEN m.identity END) AS repeat_offenders, count(DISTINCT m.name) AS raw_names, round(CAST(count(DISTINCT m.case_id) AS DOUBLE) / count(DISTINCT m.identity), 3) AS cases_per_offender"
+_RP = "rp AS (SELECT identity FROM m GROUP BY identity HAVING count(*) > 1)"
+
+
+@query(f"WITH {MEN}, {CAS}, {_RP} SELECT round(floor(lat / 0.25) * 0.25, 4) AS cell_lat, round(floor(lon / 0.25) * 0.25, 4) AS cell_lon, {_DENS} FROM m JOIN k ON k.case_id = m.case_id LEFT JOIN rp ON rp.identity = m.identity GROUP BY 1, 2")
+def grid_density(spark, sf):
+    return hotspots.grid(mentions(spark, sf), cases(spark, sf))
+
+
+@query(f"WITH {MEN}, {CAS}, {_RP}, h AS (SELECT district, head, count(*) AS n FROM m JOIN k ON k.case_id = m.case_id GROUP BY district, head), t AS (SELECT district, head AS top_head FROM (SELECT *, row_number() OVER (PARTITION BY district ORDER BY n DESC, head) AS p FROM h) q WHERE p = 1) SELECT k.district, {_DENS}, any_value(t.top_head) AS top_head FROM m JOIN k ON k.case_id = m.case_id LEFT JOIN rp ON rp.identity = m.identity JOIN t ON t.district = k.district GROUP BY k.district")
+def district_density(spark, sf):
+    return hotspots.districts(mentions(spark, sf), cases(spark, sf))
+
+
+_VEC = "n AS (SELECT DISTINCT p_name AS d FROM part), tf AS (SELECT d, t AS term, count(*) AS tf FROM (SELECT d, unnest(regexp_extract_all(lower(d), '[\\p{L}\\p{N}_]{2,}')) AS t FROM n UNION ALL SELECT d, lower(d) FROM n) x GROUP BY d, t), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2), w AS (SELECT tf.d, tf.term, (ln(tf.tf) + 1) * (ln(((SELECT count(*) FROM n) + 1.0) / (df.df + 1.0)) + 1) AS w FROM tf JOIN df ON df.term = tf.term), v AS (SELECT d, term, w / sqrt(sum(w * w) OVER (PARTITION BY d)) AS w FROM w)"
+
+
+@query(f"WITH {_VEC} SELECT x.d AS a, y.d AS b, round(sum(x.w * y.w), 6) AS cosine FROM v x JOIN v y ON x.term = y.term AND x.d < y.d GROUP BY x.d, y.d")
+def tfidf_cosine(spark, sf):
+    docs = parts(spark, sf).select(F.col("p_name").alias("d")).distinct()
+    v = retrieval.tfidf(docs, "d", retrieval.word_grams(F.col("d")))
+    x, y = v.select(F.col("d").alias("a"), "term"), v.select(F.col("d").alias("b"), "term")
+    pairs = x.join(y, "term").where("a < b").select("a", "b").distinct()
+    return retrieval.cosine(pairs, v, "d").select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+def _retrieved(spark, sf):
+    k = cases(spark, sf)
+    opened = k.where("status = 'Undetected' and case_id % 40 = 2")
+    people = mentions(spark, sf).where("identity % 20 = 7").join(k.where("status <> 'Undetected'"), "case_id")
+    modus = opened.join(people.select("identity", "head", "district"), ["head", "district"]).select("case_id", "identity").distinct().withColumn("cosine", F.lit(1.0))
+    return retrieval.rank(opened, people.select("identity", "lat", "lon", "day", "district"), modus)
+
+
+_RET = f"{MEN}, k AS (SELECT CaseMasterID AS case_id, CrimeRegisteredDate AS day, DistrictID AS district, CrimeSubHeadID AS head, Latitude AS lat, Longitude AS lon, CaseStatus AS status FROM CaseMaster), o AS (SELECT * FROM k WHERE status = 'Undetected' AND case_id % 40 = 2), p AS (SELECT m.identity, k.* FROM m JOIN k ON k.case_id = m.case_id WHERE m.identity % 20 = 7 AND k.status <> 'Undetected'), g AS (SELECT o.case_id, p.identity, min({_KM.replace('x.Latitude', 'o.lat').replace('y.Latitude', 'p.lat').replace('x.Longitude', 'o.lon').replace('y.Longitude', 'p.lon')}) AS km, min(p.day) AS lo, max(p.day) AS hi, any_value(o.day) AS day, max(CASE WHEN o.head = p.head THEN 1.0 ELSE 0.0 END) AS cosine FROM o JOIN p ON p.district = o.district GROUP BY o.case_id, p.identity), s AS (SELECT case_id, identity, round(0.5 * cosine + 0.3 * greatest(least(1 - km / 120, 1), 0) + 0.2 * greatest(least(1 - greatest(date_diff('day', day, lo), date_diff('day', hi, day), 0) / 730.0, 1), 0), 6) AS score FROM g), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY case_id ORDER BY score DESC, identity) AS INTEGER) AS place FROM s)"
+
+
+@query(f"WITH {_RET} SELECT case_id, identity, CAST(score AS DOUBLE) AS score, place FROM r WHERE place <= 10")
+def retrieval_top(spark, sf):
+    return _retrieved(spark, sf)
+
+
+@query(f"WITH {_RET}, t AS (SELECT case_id, identity FROM m WHERE identity % 20 = 7 AND case_id IN (SELECT case_id FROM o)), f AS (SELECT t.case_id, min(r.place) AS place FROM t JOIN r ON r.case_id = t.case_id AND r.identity = t.identity AND r.place <= 10 GROUP BY t.case_id), x AS (SELECT d.case_id, f.place FROM (SELECT DISTINCT case_id FROM t) d LEFT JOIN f ON f.case_id = d.case_id) SELECT count(*) AS cases, round(avg(CASE WHEN place <= 1 THEN 1.0 ELSE 0.0 END), 4) AS hit_1, round(avg(CASE WHEN place <= 3 THEN 1.0 ELSE 0.0 END), 4) AS hit_3, round(avg(CASE WHEN place <= 10 THEN 1.0 ELSE 0.0 END), 4) AS hit_10, round(avg(CASE WHEN place <= 50 THEN 1.0 ELSE 0.0 END), 4) AS hit_50, round(avg(coalesce(1.0 / place, 0)), 4) AS mrr FROM x")
+def hit_rates(spark, sf):
+    ranked = _retrieved(spark, sf)
+    k = cases(spark, sf).where("status = 'Undetected' and case_id % 40 = 2").select("case_id")
+    truth = mentions(spark, sf).where("identity % 20 = 7").join(k, "case_id").select("case_id", "identity")
+    return retrieval.hit_rates(ranked, truth)
+
+
+# --- reconciliation, decisions, scope ----------------------------------------------------------------------------------
+
+
+@query("WITH c AS (SELECT o.SectionNo AS old_no, n.SectionNo AS new_no, o.SectionDesc AS offence FROM Section o JOIN Section n ON n.SectionID = o.SuccessorSectionID), r AS (SELECT k.CaseMasterID AS id, k.CrimeRegisteredDate AS day, s.ActID AS act, e.SectionNo AS no FROM CaseMaster k JOIN ActSectionAssociation s ON s.CaseMasterID = k.CaseMasterID JOIN Section e ON e.SectionID = s.SectionID WHERE k.CrimeRegisteredDate BETWEEN DATE '1996-01-01' AND DATE '2000-12-31'), f AS (SELECT c.old_no, r.id, max(CAST(r.no = c.old_no AS INTEGER)) AS naive, max(CAST(CASE WHEN day < DATE '1998-01-01' THEN act = 1 AND no = old_no ELSE act = 2 AND no = new_no END AS INTEGER)) AS good FROM r JOIN c ON r.no = c.old_no OR r.no = c.new_no GROUP BY c.old_no, r.id), g AS (SELECT old_no, sum(naive) AS naive, sum(CASE WHEN naive = 1 AND good = 0 THEN 1 ELSE 0 END) AS wrong, sum(good) AS reconciled FROM f GROUP BY old_no) SELECT c.old_no, c.new_no, c.offence, CAST(coalesce(naive, 0) AS BIGINT) AS naive, CAST(coalesce(wrong, 0) AS BIGINT) AS wrong, CAST(coalesce(reconciled, 0) AS BIGINT) AS reconciled, CAST(greatest(coalesce(reconciled, 0) - coalesce(naive, 0) + coalesce(wrong, 0), 0) AS BIGINT) AS missed, round(coalesce(greatest(reconciled - naive + wrong, 0) * 100.0 / nullif(reconciled, 0), 0), 4) AS undercount_pct FROM c LEFT JOIN g ON g.old_no = c.old_no")
+def reconcile_counts(spark, sf):
+    t = adapter.tables(spark, sf)
+    rows = t["CaseMaster"].join(t["ActSectionAssociation"].select("CaseMasterID", "SectionID", "ActID"), "CaseMasterID").join(t["Section"].select("SectionID", "SectionNo"), "SectionID")
+    codes = rows.select(F.col("CaseMasterID").alias("case_id"), F.col("CrimeRegisteredDate").alias("day"), F.when(F.col("ActID") == 1, "old").otherwise("new").alias("act"), F.col("SectionNo").alias("number"))
+    return reconcile.counts(codes, reconcile.code_table(spark), "1996-01-01", "2000-12-31", reconcile.SWITCH)
+
+
+@query("SELECT o.SectionNo AS number, o.SectionDesc AS old_offence, n.SectionDesc AS new_offence FROM Section o JOIN Section n ON n.SectionNo = o.SectionNo WHERE o.ActID = 1 AND n.ActID = 2")
+def ambiguous_codes(spark, sf):
+    return reconcile.ambiguous(reconcile.code_table(spark))
+
+
+_LOG = "l AS (SELECT event_id AS seq, user_id AS pair_id, CASE event_type WHEN 'purchase' THEN 'accept' WHEN 'error' THEN 'reject' WHEN 'signup' THEN 'reverse' END AS action FROM events WHERE event_type IN ('purchase', 'error', 'signup'))"
+
+
+def _log(spark, sf):
+    action = F.when(F.col("event_type") == "purchase", "accept").when(F.col("event_type") == "error", "reject").when(F.col("event_type") == "signup", "reverse")
+    return read(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("user_id").alias("pair_id"), action.alias("action")).where("action is not null")
+
+
+@query(f"WITH {_LOG} SELECT pair_id, CASE WHEN action = 'reverse' THEN 'pending' ELSE action END AS state, seq AS last_seq FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY seq DESC) AS p FROM l) q WHERE p = 1")
+def decision_fold(spark, sf):
+    return decisions.fold(_log(spark, sf))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def hourly_events(spark, sf):
+    out = decisions.windowed(read(spark, sf, "events"))
+    return out.select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(f"WITH {MEN}, {CAS} SELECT m.identity, count(DISTINCT m.case_id) AS cases FROM m JOIN k ON k.case_id = m.case_id WHERE k.district = 2 GROUP BY m.identity")
+def scope_identities(spark, sf):
+    m = mentions(spark, sf)
+    return scope.in_district(m, cases(spark, sf), graph.edges(m).select("a", "b"), 2)["identities"]
+
+
+@query(f"WITH {MEN}, {CAS}, {EDG}, i AS (SELECT DISTINCT m.identity FROM m JOIN k ON k.case_id = m.case_id WHERE k.district = 2) SELECT e.a, e.b FROM e WHERE e.a IN (SELECT identity FROM i) AND e.b IN (SELECT identity FROM i)")
+def scope_edges(spark, sf):
+    m = mentions(spark, sf)
+    return scope.in_district(m, cases(spark, sf), graph.edges(m).select("a", "b"), 2)["edges"].select("a", "b")
+
+
+@query(f"WITH {MEN}, h AS (SELECT identity, min(name) AS found FROM m WHERE contains(lower(name), 'red w') GROUP BY identity) SELECT identity, found, 0 AS kind FROM h ORDER BY found, identity LIMIT 8")
+def search_names(spark, sf):
+    numbers = adapter.tables(spark, sf)["CaseMaster"].select(F.col("CaseMasterID").alias("case_id"), F.col("CrimeNo").alias("number"))
+    return scope.search(mentions(spark, sf), numbers, "Red W")
+
+
+@query("SELECT column_name AS name, column_name IN ('CasteID', 'ReligionID', 'OccupationID') AS protected FROM (VALUES ('AccusedName'), ('AgeYear'), ('GenderID'), ('CasteID'), ('ReligionID'), ('OccupationID')) AS v(column_name)")
+def policy_guard(spark, sf):
+    rows = [(c, schema.is_protected(c)) for c in schema.struct("Accused").names if c in ("AccusedName", "AgeYear", "GenderID", "CasteID", "ReligionID", "OccupationID")]
+    return spark.createDataFrame(rows, "name string, protected boolean")
+
+
+def _ask(number: int, spark: SparkSession, sf_dir: str) -> DataFrame:
+    adapter.register(spark, sf_dir)
+    return questions.ask(spark, number)
+
+
+for _n in questions.QUESTIONS:
+    QUERIES[f"q{_n:03d}"] = partial(_ask, _n)
+    ORACLES[f"q{_n:03d}"] = questions.oracle(_n)
