@@ -7,8 +7,10 @@ partitions. Because matching sets even share several of them, each set emits onl
 global order that puts signatures of many elements first; signatures of one (perhaps very common) shingle go first out.
 
 Sets that share a signature form a list. Lists are compared exactly, each within one task and with bounded size: the links
-found are a spanning forest of each list, so thousands of near copies cost no pairs among them. A first round takes an
-eighth of the long lists; a second takes those whose members are not yet connected; both together miss no link.
+found are a spanning forest of each list, so thousands of near copies cost no pairs among them. A first round takes each
+document's longest list; a second takes all other lists whose members are not yet connected; both together miss no link.
+Sketches (element counts by hash bucket) bound the common elements of two sets from above; documents that cannot match any
+other by that bound leave a list before texts are compared.
 
 Defined results: null texts and texts without words have no shingles and are linked with nothing; null doc_ids get a null
 component; rows that repeat a doc_id are one node, linked by any of their texts; equal texts are collapsed first; empty
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -222,30 +225,71 @@ def forest(sets: list[np.ndarray]) -> np.ndarray:
     return trees.roots()
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (name, doc_id, text) sorted by name: links between each document and the root of its tree."""
-    cache: dict[int, np.ndarray] = {}
-
-    def close(docs: list[int], texts: list[bytes]) -> list[tuple[int, int]]:
-        if len(cache) > 5_000:
-            cache.clear()
-        for d, t in zip(docs, texts):
-            if d not in cache:
-                cache[d] = shingles(t)
-        roots = forest([cache[d] for d in docs])
-        return [(docs[r], d) for r, d in zip(roots.tolist(), docs) if docs[r] != d]
-
-    name, docs, texts, links = None, [], [], []
+BUCKETS = 256
+
+
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, n, sketch and packed text. The sketch counts elements by hash bucket; null where a count is over 255."""
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        rows = [[], [], [], []]
+        for doc, text in zip(batch.column(0).to_pylist(), _raw(batch.column(1))):
+            elements = shingles(text)
+            counts = np.bincount((elements & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+            sketch = counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else None
+            for column, value in zip(rows, (doc, len(elements), sketch, packer.compress(text))):
+                column.append(value)
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["doc_id", "n", "sketch", "packed"])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows of one name at a time, from rows sorted by name."""
+    rows: list[tuple] = []
     for batch in batches:
-        for n, d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _raw(batch.column(2))):
-            if n != name:
-                links += close(docs, texts) if len(docs) > 1 else []
-                name, docs, texts = n, [], []
-            docs.append(d), texts.append(t)
-        if links:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if rows and row[0] != rows[0][0]:
+                yield rows
+                rows = []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists without the documents that can match no document of another component, by an upper bound on common elements."""
+    out = []
+    for rows in _grouped(batches):
+        _, docs, component, n, sketch = zip(*rows)
+        component, n = np.array(component), np.array(n)
+        if (component == component[0]).all():
+            continue
+        open_end = np.array([x is None for x in sketch])
+        counts = np.array([np.frombuffer(x or bytes(BUCKETS), np.uint8) for x in sketch])
+        keep = np.zeros(len(docs), bool)
+        for i in range(len(docs)):
+            most = np.minimum(counts[i], counts).sum(1, dtype=np.int64)
+            apart = (component != component[i]) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i]))
+            keep |= apart & ((100 * most >= 75 * (n + n[i] - most)) | open_end | open_end[i])
+        if keep.any():
+            out.append((rows[0][0], np.array(docs)[keep]))
+        if len(out) >= 20_000:
+            yield _listed(out)
+            out = []
+    if out:
+        yield _listed(out)
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (name, doc_id, packed text) sorted by name: links between each document and the root of its tree."""
+    reader, links = zstandard.ZstdDecompressor(), []
+    for rows in _grouped(batches):
+        docs = [r[1] for r in rows]
+        roots = forest([shingles(reader.decompress(r[2])) for r in rows])
+        links += [(docs[r], d) for r, d in zip(roots.tolist(), docs) if docs[r] != d]
+        if len(links) > 50_000:
             yield _linked(links)
             links = []
-    links += close(docs, texts) if len(docs) > 1 else []
     if links:
         yield _linked(links)
 
@@ -282,18 +326,35 @@ def _within(docs: DataFrame, ids: DataFrame, how: str, most: int = 4_000_000) ->
     return docs.join(F.broadcast(ids) if small else ids, "doc_id", how)
 
 
-def _compared(lists: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links found within the lists; lists longer than two blocks become lists of every two of their blocks."""
+def _bounded(lists: DataFrame) -> DataFrame:
+    """Lists longer than two blocks as lists of every two of their blocks."""
     n = F.ceil(F.size("docs") / F.lit(BLOCK)).cast("int")
     block = lambda i: F.slice("docs", i * BLOCK + 1, BLOCK)
     pairs = F.flatten(
         F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: F.concat(block(i), block(j))))
     )
     cut = lists.select("name", F.explode(F.when(n > 2, pairs).otherwise(F.array("docs"))).alias("docs"))
-    rows = cut.select(F.concat("name", F.unhex(F.hex(F.xxhash64("docs")))).alias("name"), F.explode("docs").alias("doc_id"))
-    joined = rows.join(texts, "doc_id").select("name", "doc_id", "text")
-    dealt = joined.repartition(pieces(texts, 4), "name").sortWithinPartitions("name", "doc_id")
-    return dealt.mapInArrow(_verify, "a long, b long").distinct()
+    return cut.select(F.concat("name", F.unhex(F.lpad(F.hex(F.xxhash64("docs")), 16, "0"))).alias("name"), "docs")
+
+
+def _sorted(rows: DataFrame, parts: int) -> DataFrame:
+    return rows.repartition(parts, "name").sortWithinPartitions("name", "doc_id")
+
+
+def _compared(lists: DataFrame, texts: DataFrame, labels: DataFrame | None, name: str) -> DataFrame:
+    """Links found within the lists: screened by sketches first, so only documents that may match bring their texts."""
+    rows = lists.select("name", F.explode("docs").alias("doc_id"))
+    if labels is None:
+        rows = rows.withColumn("component", F.col("doc_id"))
+    else:
+        rows = rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        rows = rows.withColumn("component", F.coalesce("component", "doc_id"))
+    wide = rows.join(texts.select("doc_id", "n", "sketch"), "doc_id").select("name", "doc_id", "component", "n", "sketch")
+    parts = pieces(texts, 4)
+    left = written(_sorted(wide, parts).mapInArrow(_screen, "name binary, docs array<long>"), f"{name}-lists")
+    few = left.select("name", F.explode("docs").alias("doc_id")).join(texts.select("doc_id", "packed"), "doc_id")
+    found = _sorted(few.select("name", "doc_id", "packed"), parts).mapInArrow(_verify, "a long, b long")
+    return written(found.distinct(), f"{name}-links")
 
 
 def links(docs: DataFrame) -> DataFrame:
@@ -311,17 +372,17 @@ def links(docs: DataFrame) -> DataFrame:
     emitted = first.mapInArrow(_emit(shards), "shard long, key binary, doc binary, size binary")
     dealt = emitted.repartitionById(shards + 1, (F.col("shard") + 1).cast("int"))
     made = written(dealt.mapInArrow(_route, "name binary, docs array<long>"), "lists")
-    lists = written(made.where("name is not null").dropDuplicates(["name"]), "distinct-lists")
+    lists = written(_bounded(made.where("name is not null").dropDuplicates(["name"])), "distinct-lists")
     members = lists.select(F.explode("docs").alias("doc_id")).distinct()
-    texts = written(_within(first, members, "left_semi"), "candidates")
-    early = (F.size("docs") <= 3) | (F.pmod(F.xxhash64("name"), F.lit(8)) == 0)
-    found = written(_compared(lists.where(early), texts), "links-1")
-    apart = lists.where(~early)
-    labels = components(found)
-    tagged = apart.select("name", F.explode("docs").alias("doc_id")).join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    tags = tagged.groupBy("name").agg(F.count_distinct(F.coalesce("component", "doc_id")).alias("n")).where("n > 1")
-    rest = _compared(apart.join(tags.select("name"), "name", "left_semi"), texts)
-    every = found.union(written(rest, "links-2")).union(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
+    near = _within(first, members, "left_semi").select("doc_id", "text")
+    texts = written(near.mapInArrow(_described, "doc_id long, n long, sketch binary, packed binary"), "candidates")
+    # each document's longest list first: for most groups of near copies these few lists connect all of them
+    place = F.max(F.struct(F.size("docs").alias("n"), "name"))["name"].alias("name")
+    longest = lists.select("name", "docs", F.explode("docs").alias("doc_id")).groupBy("doc_id").agg(place).select("name").distinct()
+    longest = written(longest, "longest")
+    found = _compared(lists.join(longest, "name", "left_semi"), texts, None, "first")
+    rest = _compared(lists.join(longest, "name", "left_anti"), texts, components(found), "second")
+    every = found.union(rest).union(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
     odd = [x for r in made.where("name is null").select("docs").collect() for x in r["docs"]]
     if odd:  # sets that the pigeonhole does not cover, as good as never: a stated query set against all rows
         every = every.union(_against_all(first, odd))
