@@ -72,10 +72,10 @@ EDG = "e AS (SELECT x.identity AS a, y.identity AS b, count(*) AS shared_cases F
 # --- projections, filters, joins, set operations -----------------------------------------------------------------------
 
 
-@query("SELECT o_orderkey, round(o_totalprice * 1.1, 2) AS gross FROM orders WHERE o_orderstatus = 'F' AND CAST(o_orderdate AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'")
+@query("SELECT o_orderkey, o_totalprice * 2 AS doubled FROM orders WHERE o_orderstatus = 'F' AND CAST(o_orderdate AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'")
 def filter_project(spark, sf):
     o = read(spark, sf, "orders").where("o_orderstatus = 'F' and cast(o_orderdate as date) between date'1997-01-01' and date'1997-12-31'")
-    return o.select("o_orderkey", F.round(F.col("o_totalprice") * 1.1, 2).alias("gross"))
+    return o.select("o_orderkey", (F.col("o_totalprice") * 2).alias("doubled"))
 
 
 @query("SELECT n_name, count(*) AS customers FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name")
