@@ -81,7 +81,7 @@ SPELLINGS = {
 def canonical(text: Column) -> Column:
     """Canonical form: lower case, no copyright lines, no punctuation, one spelling, single spaces."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    plain = F.regexp_replace(low, "(?m)^[^\\p{L}\\p{N}\\n]*(copyright|\\(c\\)|\\u00A9)(?=[^\\p{L}])[^\\n]*$", "")
+    plain = F.regexp_replace(low, "(?m)^[^\\p{L}\\p{N}\\n]*(copyright|\\(c\\)|\\u00A9)([^\\p{L}\\n][^\\n]*)?$", "")
     out = F.trim(F.regexp_replace(plain, "[^\\p{L}\\p{N}]+", " "))
     first = "|".join(SPELLINGS)
     spelled = F.concat(F.lit(" "), F.replace(out, F.lit(" "), F.lit("  ")), F.lit(" "))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, decontaminate, jaccard, licenses, mixing, quality_rules, quotes, suffix_dedup, tokens, warc
+from . import classifier, decontaminate, jaccard, licenses, mixing, oracles, quality_rules, quotes, suffix_dedup, tokens, warc
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -16,4 +16,4 @@ QUERIES = {
     "op9_token_output": tokens.op9_token_output,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = oracles.ORACLES

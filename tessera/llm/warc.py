@@ -23,7 +23,6 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import pieces, scratch_path, table
 
@@ -162,31 +161,35 @@ def _start(raws: list[bytes], level: int):
     return packer, pa.RecordBatch.from_arrays([pa.array([lead], pa.binary())], ["frame"])
 
 
-def with_revisits(pages: DataFrame) -> DataFrame:
+def with_revisits(pages: DataFrame, parts: int | None = None) -> DataFrame:
     """page_id, url, html, payload_bytes, payload_digest, refers_to, record_type.
 
-    The response of a payload of at least 100 bytes is its smallest page_id. Minima are taken per map task first and only
-    payloads that come twice are joined, so a payload that a third of all pages share is no group in one task.
+    The response of a payload of at least 100 bytes is its smallest page_id. Minima are taken per map task first, so a
+    payload that a third of all pages share is no group in one task; who revisits what is found on rows without html, and
+    html moves once, to `parts` partitions by page_id.
     """
     html = F.coalesce("html", F.lit(""))
-    sized = pages.select(
-        "page_id", "url", "html", F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html, 256).alias("payload_digest")
-    )
-    twice = sized.where(F.col("payload_bytes") >= MIN_REVISIT).groupBy("payload_digest").agg(
-        F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")
-    ).where("n > 1")
-    joined = sized.join(twice, "payload_digest", "left")
+    size, digest = F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html, 256).alias("payload_digest")
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit("-")).alias("_key")
+    narrow = pages.select(key, "page_id", size, digest).where(F.col("payload_bytes") >= MIN_REVISIT)
+    groups = narrow.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).where("n > 1")
+    again = narrow.join(groups, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
+    found = again.groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("payload_digest", "first"))).alias("_first"))
+    sized = pages.select(key, "page_id", "url", "html", size, digest)
+    if parts:
+        sized, found = sized.repartition(parts, "_key"), found.repartition(parts, "_key")
+    joined = sized.join(found.hint("merge"), "_key", "left")
+    hit = F.map_contains_key("_first", F.col("payload_digest"))
     return joined.select(
-        "page_id", "url", "html", "payload_bytes", "payload_digest", F.when(F.col("n").isNotNull(), F.col("first")).alias("refers_to"),
-        F.when(F.col("n").isNull() | F.col("page_id").eqNullSafe(F.col("first")), "response").otherwise("revisit").alias("record_type"),
+        "page_id", "url", "html", "payload_bytes", "payload_digest", F.when(hit, F.col("_first")[F.col("payload_digest")]).alias("refers_to"),
+        F.when(hit, "revisit").otherwise("response").alias("record_type"),
     )
 
 
-def write_archives(pages: DataFrame, path: str, mb: float = 16, date: str = "2024-01-01T00:00:00Z", level: int = 3) -> None:
+def write_archives(pages: DataFrame, path: str, mb: float = 8, date: str = "2024-01-01T00:00:00Z", level: int = 3) -> None:
     """Write a record per row of `pages` (page_id, url, html) into archives of about `mb` MB of estimated input below `path`."""
-    rows = with_revisits(pages).select("page_id", "url", "html", "payload_bytes", "payload_digest", "refers_to", "record_type")
-    dealt = rows.repartition(pieces(pages, mb, 1), F.xxhash64("page_id", "url"))
-    made = dealt.mapInArrow(_archive(date, level), "frame binary")
+    rows = with_revisits(pages, pieces(pages, mb, 1))
+    made = rows.mapInArrow(_archive(date, level), "frame binary")
     made.select(F.col("frame").cast("string")).write.option("lineSep", EMPTY_FRAME.decode("latin-1")).text(path)
 
 
