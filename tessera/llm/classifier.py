@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import starts, table
 
 STATISTICS = [
     "log_words", "word_length", "upper", "digits", "symbols", "exclaims", "other_marks", "high_bytes", "spaces_per_word",
@@ -161,6 +161,7 @@ def score(text: Column, model: Trees) -> Column:
 
     @F.arrow_udf("double")
     def apply(texts: pa.Array) -> pa.Array:
+        starts("classifier")
         return pa.array(model.predict(matrix(texts)))
 
     return apply(text)

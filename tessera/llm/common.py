@@ -63,3 +63,18 @@ def pieces(df: DataFrame, mb: float, least: int | None = None) -> int:
     spark = df.sparkSession
     least = least if least is not None else int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(least, int(plan_bytes(df) / (mb * 1e6)) + 1)
+
+
+#: What clears the caches that operators keep in a Python worker between tasks.
+_CACHES: dict[str, object] = {}
+
+
+def keeps(owner: str, clear) -> None:
+    """Register a cache that lives as long as the Python worker."""
+    _CACHES[owner] = clear
+
+
+def starts(owner: str) -> None:
+    """Called when an operator's task starts in a Python worker: caches of other operators are dropped."""
+    for name in [x for x in _CACHES if x != owner]:
+        _CACHES.pop(name)()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import starts, table
 
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -131,6 +131,7 @@ _ARROW_HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("cover", pa.float64(
 
 def _finder(shared, cover: float):
     def find(texts: pa.Array) -> pa.Array:
+        starts("decontaminate")
         rows = []
         for t in texts:
             got = shared.value.covers(t.as_py())

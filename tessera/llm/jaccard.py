@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table, written
+from .common import pieces, starts, table, written
 
 SHINGLE = 5
 #: Sets up to this size use single shingles as partitions.
@@ -116,9 +116,17 @@ def _raw(texts: pa.Array) -> Iterator[bytes]:
         yield x.as_py() or b""
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that what is made of one stays small beside the batch itself."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _emit(shards: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        starts("jaccard")
+        for batch in _slices(batches):
             keys, docs, sizes, bad = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), _raw(batch.column(1))):
                 elements = shingles(text)
@@ -231,7 +239,7 @@ BUCKETS = 256
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, n, sketch and packed text. The sketch counts elements by hash bucket; null where a count is over 255."""
     packer = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
+    for batch in _slices(batches):
         rows = [[], [], [], []]
         for doc, text in zip(batch.column(0).to_pylist(), _raw(batch.column(1))):
             elements = shingles(text)

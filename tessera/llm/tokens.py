@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import pieces, scratch_path, table, written
+from .common import keeps, pieces, scratch_path, starts, table, written
 from .warc import EMPTY_FRAME
 
 INDEX_MAGIC = 0x184D2A5E
@@ -101,6 +101,7 @@ class Encoder:
 @lru_cache(1)
 def _encoder(path: str) -> Encoder:
     """One encoder for a Python worker, so that its pieces serve all of the worker's tasks."""
+    keeps("tokens", _encoder.cache_clear)
     return Encoder(path)
 
 
@@ -163,6 +164,7 @@ def ids_of(data: memoryview, index: dict) -> Iterator[np.ndarray]:
 
 def _encode(path: str, end_id: int, bits: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts("tokens")
         encoder, end = _encoder(path), np.array([end_id], "<u4").tobytes()
         waiting, held, offset, blocks, docs = [], 0, 0, [], []
         frame = lambda x: pa.RecordBatch.from_arrays([pa.array([x], pa.binary())], ["frame"])
