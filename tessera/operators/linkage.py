@@ -59,7 +59,7 @@ def fit(levels: DataFrame, signals: dict[str, int], seeds: dict[str, int], start
     m, u, support = {}, {}, {}
     for s, k in signals.items():
         every = histogram(lambda v: True, s)
-        conditions = [(at[x], low) for x, low in seeds.items() if x != s]
+        conditions = [(at[x], low) for x, low in seeds.items() if x != s and x in at]
         while True:
             held = list(conditions)
             seed = histogram(lambda v, held=held: all(v[i] >= low for i, low in held), s)
