@@ -192,63 +192,69 @@ def _listed(out: list) -> pa.RecordBatch:
     ], ["name", "docs"])
 
 
-class Forest:
-    """Union-find over the positions of a list; the root is the smallest position."""
+#: Elements of a list that are sorted together when sets are compared.
+PIECE = 1 << 20
 
-    def __init__(self, n: int):
-        self.up = np.arange(n)
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = int(self.up[i])
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        a, b = sorted((self.root(i), self.root(j)))
-        self.up[b] = a
-
-    def roots(self) -> np.ndarray:
-        return np.array([self.root(i) for i in range(len(self.up))])
+def _pieces_of(sets: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Elements of all sets in sorted pieces of bounded size, with the position of the set that each belongs to."""
+    out, start, size = [], 0, 0
+    for i, s in enumerate(sets):
+        size += len(s)
+        if size >= PIECE or i + 1 == len(sets):
+            flat = np.concatenate(sets[start : i + 1])
+            owner = np.repeat(np.arange(start, i + 1, dtype=np.int32), [len(x) for x in sets[start : i + 1]])
+            by = np.argsort(flat, kind="stable")
+            out.append((flat[by], owner[by]))
+            start, size = i + 1, 0
+    return out
 
 
 def forest(sets: list[np.ndarray]) -> np.ndarray:
-    """Root of each set under the links of the list. Only sets of different trees are ever compared."""
-    n, trees = len(sets), Forest(len(sets))
+    """Root (smallest position) of each set under the links of the list. Only sets of different trees are ever compared."""
+    n, roots = len(sets), np.arange(len(sets))
     sizes = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
-    by = np.argsort(flat, kind="stable")
-    flat, owner = flat[by], owner[by]
+    sorted_pieces = _pieces_of(sets)
     for i in range(n):
-        roots = trees.roots()
         apart = (roots != roots[i]) & (4 * np.minimum(sizes, sizes[i]) >= 3 * np.maximum(sizes, sizes[i])) & (sizes > 0)
         if not sizes[i] or not apart.any():
             continue
-        lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
-        spans = hi - lo
-        at = np.repeat(lo - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
-        both = np.bincount(owner[at], minlength=n)
-        for j in np.flatnonzero(apart & (100 * both >= 75 * (sizes + sizes[i] - both))).tolist():
-            trees.join(i, j)
-    return trees.roots()
+        both = np.zeros(n, np.int64)
+        for flat, owner in sorted_pieces:
+            lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+            spans = hi - lo
+            at = np.repeat(lo - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
+            both += np.bincount(owner[at], minlength=n)
+        hit = apart & (100 * both >= 75 * (sizes + sizes[i] - both))
+        if hit.any():
+            trees = np.append(roots[hit], roots[i])
+            roots[np.isin(roots, trees)] = trees.min()
+    return roots
 
 
 BUCKETS = 256
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, n, sketch and packed text. The sketch counts elements by hash bucket; null where a count is over 255."""
-    packer = zstandard.ZstdCompressor(level=3)
+    """doc_id, n and sketch. The sketch counts elements by hash bucket; null where a count is over 255."""
     for batch in _slices(batches):
-        rows = [[], [], [], []]
+        rows = [[], [], []]
         for doc, text in zip(batch.column(0).to_pylist(), _raw(batch.column(1))):
             elements = shingles(text)
             counts = np.bincount((elements & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
             sketch = counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else None
-            for column, value in zip(rows, (doc, len(elements), sketch, packer.compress(text))):
+            for column, value in zip(rows, (doc, len(elements), sketch)):
                 column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["doc_id", "n", "sketch", "packed"])
+        kinds = (pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["doc_id", "n", "sketch"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, a third of what the shuffle would make of them."""
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in _slices(batches):
+        packed = pa.array([packer.compress(t) for t in _raw(batch.column(2))], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], ["name", "doc_id", "packed"])
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -275,10 +281,14 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_end = np.array([x is None for x in sketch])
         counts = np.array([np.frombuffer(x or bytes(BUCKETS), np.uint8) for x in sketch])
         keep = np.zeros(len(docs), bool)
-        for i in range(len(docs)):
-            most = np.minimum(counts[i], counts).sum(1, dtype=np.int64)
-            apart = (component != component[i]) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i]))
-            keep |= apart & ((100 * most >= 75 * (n + n[i] - most)) | open_end | open_end[i])
+        names, sizes = np.unique(component, return_counts=True)
+        # of two documents of different components, one at least is not of the largest
+        for i in np.flatnonzero(component != names[sizes.argmax()]).tolist():
+            near = np.flatnonzero((component != component[i]) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i])))
+            most = np.minimum(counts[i], counts[near]).sum(1, dtype=np.int64)
+            may = near[(100 * most >= 75 * (n[near] + n[i] - most)) | open_end[near] | open_end[i]]
+            if len(may):
+                keep[may] = keep[i] = True
         if keep.any():
             out.append((rows[0][0], np.array(docs)[keep]))
         if len(out) >= 20_000:
@@ -328,10 +338,14 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _within(docs: DataFrame, ids: DataFrame, how: str, most: int = 4_000_000) -> DataFrame:
-    """Semi or anti join on doc_id; the ids are broadcast only if counted to be at most `most` (some 64 MB)."""
-    small = ids.limit(most + 1).count() <= most
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id", how)
+def _side(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Broadcast a narrow table, but only if it is counted to have at most `most` rows (some 50 MB); else it is shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def _within(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join on doc_id."""
+    return docs.join(_side(ids), "doc_id", how)
 
 
 def _bounded(lists: DataFrame) -> DataFrame:
@@ -349,19 +363,28 @@ def _sorted(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(parts, "name").sortWithinPartitions("name", "doc_id")
 
 
-def _compared(lists: DataFrame, texts: DataFrame, labels: DataFrame | None, name: str) -> DataFrame:
+def _spanning(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Lists whose documents are in more than one component."""
+    rows = lists.select("name", F.explode("docs").alias("doc_id")).join(_side(labels.withColumnRenamed("node", "doc_id")), "doc_id", "left")
+    where = F.coalesce("component", "doc_id")
+    several = rows.groupBy("name").agg(F.min(where).alias("lo"), F.max(where).alias("hi")).where("lo < hi").select("name")
+    return lists.join(_side(written(several, "spanning")), "name", "left_semi")
+
+
+def _compared(lists: DataFrame, docs: DataFrame, sketches: DataFrame, labels: DataFrame | None, name: str) -> DataFrame:
     """Links found within the lists: screened by sketches first, so only documents that may match bring their texts."""
     rows = lists.select("name", F.explode("docs").alias("doc_id"))
     if labels is None:
         rows = rows.withColumn("component", F.col("doc_id"))
     else:
-        rows = rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        rows = rows.join(_side(labels.withColumnRenamed("node", "doc_id")), "doc_id", "left")
         rows = rows.withColumn("component", F.coalesce("component", "doc_id"))
-    wide = rows.join(texts.select("doc_id", "n", "sketch"), "doc_id").select("name", "doc_id", "component", "n", "sketch")
-    parts = pieces(texts, 4)
+    wide = rows.join(sketches, "doc_id").select("name", "doc_id", "component", "n", "sketch")
+    parts = pieces(docs, 12)
     left = written(_sorted(wide, parts).mapInArrow(_screen, "name binary, docs array<long>"), f"{name}-lists")
-    few = left.select("name", F.explode("docs").alias("doc_id")).join(texts.select("doc_id", "packed"), "doc_id")
-    found = _sorted(few.select("name", "doc_id", "packed"), parts).mapInArrow(_verify, "a long, b long")
+    few = left.select("name", F.explode("docs").alias("doc_id"))
+    texts = docs.join(_side(few), "doc_id").select("name", "doc_id", "text").mapInArrow(_packed, "name binary, doc_id long, packed binary")
+    found = _sorted(texts, parts).mapInArrow(_verify, "a long, b long")
     return written(found.distinct(), f"{name}-links")
 
 
@@ -383,13 +406,15 @@ def links(docs: DataFrame) -> DataFrame:
     lists = written(_bounded(made.where("name is not null").dropDuplicates(["name"])), "distinct-lists")
     members = lists.select(F.explode("docs").alias("doc_id")).distinct()
     near = _within(first, members, "left_semi").select("doc_id", "text")
-    texts = written(near.mapInArrow(_described, "doc_id long, n long, sketch binary, packed binary"), "candidates")
+    sketches = written(near.mapInArrow(_described, "doc_id long, n long, sketch binary"), "sketches")
     # each document's longest list first: for most groups of near copies these few lists connect all of them
     place = F.max(F.struct(F.size("docs").alias("n"), "name"))["name"].alias("name")
     longest = lists.select("name", "docs", F.explode("docs").alias("doc_id")).groupBy("doc_id").agg(place).select("name").distinct()
     longest = written(longest, "longest")
-    found = _compared(lists.join(longest, "name", "left_semi"), texts, None, "first")
-    rest = _compared(lists.join(longest, "name", "left_anti"), texts, components(found), "second")
+    found = _compared(lists.join(_side(longest), "name", "left_semi"), first, sketches, None, "first")
+    labels = components(found)
+    later = _spanning(lists.join(_side(longest), "name", "left_anti"), labels)
+    rest = _compared(later, first, sketches, labels, "second")
     every = found.union(rest).union(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
     odd = [x for r in made.where("name is null").select("docs").collect() for x in r["docs"]]
     if odd:  # sets that the pigeonhole does not cover, as good as never: a stated query set against all rows
