@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters that separate words: space and \x09-\x0D. Everything else belongs to a word.
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -54,8 +55,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the input bytes; it costs no job and only sizes partitions, never results."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes of the tables that `df` reads, by Catalyst's estimate; it costs no job and only sizes partitions, never results.
+
+    Inputs of unknown size (rows of the driver or an RDD) are measured instead.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    total = 0
+    while leaves.hasNext():
+        total += int(str(leaves.next().stats().sizeInBytes()))
+    if total < 1 << 60:
+        return total
+    wide = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    row = df.agg(F.count(F.lit(1)), *wide).first()
+    return 8 * row[0] * len(df.columns) + sum(row[1:])
 
 
 def pieces(df: DataFrame, mb: float, least: int | None = None) -> int:

@@ -94,8 +94,9 @@ def test_mix_meets_targets(spark):
     want = _targets(sizes)
     assert len(out) == len(rows) and (out.taken <= 2 * out["size"]).all()
     assert {round(x, 3) for x in out.target} == {round(x, 3) for x in want.values()}
-    for s, (target, group) in enumerate(out.groupby("target")):
-        assert abs(group.taken.sum() - target) <= 31 * 3
+    for target, group in out.groupby(out.target.round(3)):
+        sources = sum(round(x, 3) == target for x in want.values())
+        assert abs(group.taken.sum() - target * sources) <= 31 * 3 * sources
     assert abs(out.taken.sum() - 1.5 * sum(sizes.values())) <= 31
     again = mixing.mix(df.repartition(7)).toPandas()
     key = ["doc_id", "size", "taken"]
@@ -165,10 +166,10 @@ def test_signatures_are_shared_by_all_matching_sets():
     rng = np.random.default_rng(4)
     for n in [1, 2, 3, 4, 8, 20, 32, 33, 40, 43, 57, 90, 130, 300, 520, 900, 3000]:
         for _ in range(30):
-            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            a = np.unique(rng.integers(0, (1 << 64) - 1, n, dtype=np.uint64))
             drop = rng.integers(0, n // 7 + 1)
             add = rng.integers(0, n // 3 + 1)
-            b = np.unique(np.concatenate([rng.permutation(a)[: len(a) - drop], rng.integers(0, 1 << 63, add, dtype=np.uint64)]))
+            b = np.unique(np.concatenate([rng.permutation(a)[: len(a) - drop], rng.integers(0, (1 << 64) - 1, add, dtype=np.uint64)]))
             if len(b) and jaccard.linked(len(a), len(b), len(np.intersect1d(a, b))):
                 x, y = jaccard.signatures(a), jaccard.signatures(b)
                 assert x[1] and y[1] and len(np.intersect1d(x[0], y[0])), (n, len(b))
