@@ -17,7 +17,7 @@ from tessera import schema
 from tessera.functions import measures as M
 from tessera.functions import names as N
 from tessera.functions.strings import with_similarity
-from tessera.operators import blocking, calibrate, cluster, graph, hotspots, linkage, profiles, reconcile, retrieval, scope
+from tessera.operators import blocking, calibrate, cluster, collective, evaluate, exports, graph, hotspots, linkage, profiles, reconcile, retrieval, scope
 from tessera.operators.resolve import resolve
 from tessera.plans import questions
 from tessera.sources import adapter
@@ -540,6 +540,65 @@ def policy_guard(spark, sf):
     return spark.createDataFrame(rows, "name string, protected boolean")
 
 
+# --- audit, exports, relations -----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {MEN} SELECT name, count(*) AS n, round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM m), 6) AS share FROM m GROUP BY name ORDER BY n DESC, name LIMIT 10")
+def audit_top_names(spark, sf):
+    return evaluate.top_names(mentions(spark, sf))
+
+
+@query(f"WITH {MEN} SELECT accused, count(*) AS cases FROM (SELECT case_id, count(*) AS accused FROM m GROUP BY case_id) p GROUP BY accused")
+def audit_accused_per_case(spark, sf):
+    return evaluate.accused_per_case(mentions(spark, sf))
+
+
+@query(f"WITH {MEN} SELECT CAST(sum(k * (k - 1) / 2) AS BIGINT) AS pairs FROM (SELECT name, count(DISTINCT identity) AS k FROM m GROUP BY name) p")
+def audit_trap_pairs(spark, sf):
+    return evaluate.trap_pairs(mentions(spark, sf))
+
+
+@query(f"WITH {MEN}, {EDG} SELECT round(avg(CASE WHEN shared_cases > 1 THEN 1.0 ELSE 0.0 END), 6) AS share FROM e")
+def dyad_recurrence(spark, sf):
+    return evaluate.dyad_recurrence(graph.edges(mentions(spark, sf)))
+
+
+@query("SELECT round(regr_slope(ln(n), ln(d)), 6) AS exponent FROM (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(DISTINCT o_custkey) AS DOUBLE) AS d FROM orders GROUP BY year(o_orderdate)) g")
+def growth_exponent(spark, sf):
+    per = read(spark, sf, "orders").groupBy(F.year("o_orderdate")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.count_distinct("o_custkey").cast("double").alias("d"))
+    return evaluate.growth_exponent(per, "d", "n")
+
+
+@query(f"WITH {MEN} SELECT identity, count(*) AS records, count(DISTINCT case_id) AS cases, list_sort(list(DISTINCT name)) AS names FROM m GROUP BY identity ORDER BY records DESC, identity LIMIT 200")
+def identity_feed(spark, sf):
+    return exports.identities(mentions(spark, sf)).select("identity", "records", "cases", "names")
+
+
+@query(f"WITH {MEN}, {EDG}, c AS (SELECT identity FROM m GROUP BY identity ORDER BY count(*) DESC, identity LIMIT 200) SELECT a, b, shared_cases FROM e WHERE a IN (SELECT identity FROM c) AND b IN (SELECT identity FROM c)")
+def exported_subgraph(spark, sf):
+    m = mentions(spark, sf)
+    return exports.subgraph(graph.edges(m), exports.identities(m)).select("a", "b", "shared_cases")
+
+
+@query(f"WITH {MEN}, {CAS}, {_RP}, g AS (SELECT round(floor(lat / 0.25) * 0.25, 4) AS x, round(floor(lon / 0.25) * 0.25, 4) AS y, {_DENS} FROM m JOIN k ON k.case_id = m.case_id LEFT JOIN rp ON rp.identity = m.identity GROUP BY 1, 2) SELECT CAST(sum(cases) AS BIGINT) AS cases, CAST(sum(offenders) AS BIGINT) AS offenders, CAST(sum(raw_names) AS BIGINT) AS raw_names, round((CAST(sum(raw_names) AS DOUBLE) / sum(offenders) - 1) * 100, 2) AS inflation_pct FROM g")
+def hotspot_totals(spark, sf):
+    return hotspots.totals(hotspots.grid(mentions(spark, sf), cases(spark, sf)))
+
+
+@query(f"WITH {MEN}, z AS (SELECT mention, m.case_id, identity, (SELECT list(DISTINCT o.identity) FROM m o WHERE o.case_id = m.case_id AND o.identity <> m.identity) AS others FROM m WHERE identity % 50 = 7), p AS (SELECT x.mention AS a, y.mention AS b, coalesce(len(x.others), 0) AS nx, coalesce(len(y.others), 0) AS ny, coalesce(len(list_intersect(x.others, y.others)), 0) AS shared FROM z x JOIN z y ON x.identity = y.identity AND x.mention < y.mention) SELECT a, b, CAST(CASE WHEN nx = 0 OR ny = 0 THEN -1 WHEN shared > 0 THEN 2 ELSE 0 END AS INTEGER) AS relational FROM p")
+def relational_level(spark, sf):
+    m = mentions(spark, sf)
+    some = m.where("identity % 50 = 7").select("mention", "identity")
+    x, y = some.alias("x"), some.alias("y")
+    pairs = x.join(y, (F.col("x.identity") == F.col("y.identity")) & (F.col("x.mention") < F.col("y.mention"))).select(F.col("x.mention").alias("a"), F.col("y.mention").alias("b"))
+    return collective.relational(pairs, m.select(F.col("mention").alias("id"), "case_id", "identity"), "identity")
+
+
+@query("SELECT DISTINCT code, other FROM (SELECT o.SectionNo AS code, unnest([o.SectionNo, n.SectionNo]) AS other FROM Section o JOIN Section n ON n.SectionID = o.SuccessorSectionID UNION ALL SELECT n.SectionNo, unnest([o.SectionNo, n.SectionNo]) FROM Section o JOIN Section n ON n.SectionID = o.SuccessorSectionID) q")
+def equivalent_codes(spark, sf):
+    return reconcile.equivalents(reconcile.code_table(spark))
+
+
 def _ask(number: int, spark: SparkSession, sf_dir: str) -> DataFrame:
     adapter.register(spark, sf_dir)
     return questions.ask(spark, number)
