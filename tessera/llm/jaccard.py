@@ -253,8 +253,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed one by one, a third of what the shuffle would make of them."""
     packer = zstandard.ZstdCompressor(level=3)
     for batch in _slices(batches):
-        packed = pa.array([packer.compress(t) for t in _raw(batch.column(2))], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], ["name", "doc_id", "packed"])
+        packed = pa.array([packer.compress(t) for t in _raw(batch.column(1))], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), packed], ["doc_id", "packed"])
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -273,6 +273,28 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lists without the documents that can match no document of another component, by an upper bound on common elements."""
     out = []
+    for name, docs, pairs in _may_match(batches):
+        keep = np.zeros(len(docs), bool)
+        for i, partners in pairs:
+            keep[partners] = keep[i] = True
+        if keep.any():
+            out.append((name, docs[keep]))
+        if len(out) >= 20_000:
+            yield _listed(out)
+            out = []
+    if out:
+        yield _listed(out)
+
+
+def _screen_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of different components that may match by that bound."""
+    for _, docs, pairs in _may_match(batches):
+        for i, partners in pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(partners), docs[i])), pa.array(docs[partners])], ["a", "b"])
+
+
+def _may_match(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, np.ndarray, list[tuple[int, np.ndarray]]]]:
+    """Name, documents and (position, positions of partners) of each list."""
     for rows in _grouped(batches):
         _, docs, component, n, sketch = zip(*rows)
         component, n = np.array(component), np.array(n)
@@ -280,22 +302,17 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         open_end = np.array([x is None for x in sketch])
         counts = np.array([np.frombuffer(x or bytes(BUCKETS), np.uint8) for x in sketch])
-        keep = np.zeros(len(docs), bool)
         names, sizes = np.unique(component, return_counts=True)
+        out = []
         # of two documents of different components, one at least is not of the largest
         for i in np.flatnonzero(component != names[sizes.argmax()]).tolist():
             near = np.flatnonzero((component != component[i]) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i])))
             most = np.minimum(counts[i], counts[near]).sum(1, dtype=np.int64)
             may = near[(100 * most >= 75 * (n[near] + n[i] - most)) | open_end[near] | open_end[i]]
             if len(may):
-                keep[may] = keep[i] = True
-        if keep.any():
-            out.append((rows[0][0], np.array(docs)[keep]))
-        if len(out) >= 20_000:
-            yield _listed(out)
-            out = []
-    if out:
-        yield _listed(out)
+                out.append((i, may))
+        if out:
+            yield rows[0][0], np.array(docs), out
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,8 +355,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _side(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """Broadcast a narrow table, but only if it is counted to have at most `most` rows (some 50 MB); else it is shuffled."""
+def _side(df: DataFrame, most: int = 400_000) -> DataFrame:
+    """Broadcast a narrow table, but only if it is counted to have at most `most` rows (some 20 MB); else it is shuffled."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
@@ -371,21 +388,31 @@ def _spanning(lists: DataFrame, labels: DataFrame) -> DataFrame:
     return lists.join(_side(written(several, "spanning")), "name", "left_semi")
 
 
-def _compared(lists: DataFrame, docs: DataFrame, sketches: DataFrame, labels: DataFrame | None, name: str) -> DataFrame:
-    """Links found within the lists: screened by sketches first, so only documents that may match bring their texts."""
+def _wide(lists: DataFrame, sketches: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows of the lists with component and sketch of each document."""
     rows = lists.select("name", F.explode("docs").alias("doc_id"))
     if labels is None:
         rows = rows.withColumn("component", F.col("doc_id"))
     else:
         rows = rows.join(_side(labels.withColumnRenamed("node", "doc_id")), "doc_id", "left")
         rows = rows.withColumn("component", F.coalesce("component", "doc_id"))
-    wide = rows.join(sketches, "doc_id").select("name", "doc_id", "component", "n", "sketch")
-    parts = pieces(docs, 12)
-    left = written(_sorted(wide, parts).mapInArrow(_screen, "name binary, docs array<long>"), f"{name}-lists")
-    few = left.select("name", F.explode("docs").alias("doc_id"))
-    texts = docs.join(_side(few), "doc_id").select("name", "doc_id", "text").mapInArrow(_packed, "name binary, doc_id long, packed binary")
-    found = _sorted(texts, parts).mapInArrow(_verify, "a long, b long")
-    return written(found.distinct(), f"{name}-links")
+    return rows.join(sketches, "doc_id").select("name", "doc_id", "component", "n", "sketch")
+
+
+def _stars(pairs: DataFrame) -> DataFrame:
+    """(name, doc_id): each document with its partners, in blocks of bounded size."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
+    dealt = pairs.join(parts, "a").withColumn("k", F.pmod(F.xxhash64("b"), F.col("k")))
+    name = F.unhex(F.concat(F.lpad(F.hex("a"), 16, "0"), F.lpad(F.hex("k"), 16, "0")))
+    rows = dealt.select(name.alias("name"), "a", "b")
+    return rows.select("name", F.col("b").alias("doc_id")).union(rows.select("name", "a").distinct())
+
+
+def _compared(few: DataFrame, docs: DataFrame, parts: int, name: str) -> DataFrame:
+    """Links found within the lists (name, doc_id): each text is compressed before it goes to its lists."""
+    packed = _within(docs, few.select("doc_id").distinct(), "left_semi").select("doc_id", "text").mapInArrow(_packed, "doc_id long, packed binary")
+    texts = packed.join(_side(few, 200_000), "doc_id").select("name", "doc_id", "packed")
+    return written(_sorted(texts, parts).mapInArrow(_verify, "a long, b long").distinct(), f"{name}-links")
 
 
 def links(docs: DataFrame) -> DataFrame:
@@ -411,10 +438,14 @@ def links(docs: DataFrame) -> DataFrame:
     place = F.max(F.struct(F.size("docs").alias("n"), "name"))["name"].alias("name")
     longest = lists.select("name", "docs", F.explode("docs").alias("doc_id")).groupBy("doc_id").agg(place).select("name").distinct()
     longest = written(longest, "longest")
-    found = _compared(lists.join(_side(longest), "name", "left_semi"), first, sketches, None, "first")
+    parts = pieces(docs, 12)
+    wide = _wide(lists.join(_side(longest), "name", "left_semi"), sketches, None)
+    left = written(_sorted(wide, parts).mapInArrow(_screen, "name binary, docs array<long>"), "first-lists")
+    found = _compared(left.select("name", F.explode("docs").alias("doc_id")), first, parts, "first")
     labels = components(found)
-    later = _spanning(lists.join(_side(longest), "name", "left_anti"), labels)
-    rest = _compared(later, first, sketches, labels, "second")
+    wide = _wide(_spanning(lists.join(_side(longest), "name", "left_anti"), labels), sketches, labels)
+    pairs = written(_sorted(wide, parts).mapInArrow(_screen_pairs, "a long, b long").distinct(), "pairs")
+    rest = _compared(_stars(pairs), first, parts, "second")
     every = found.union(rest).union(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
     odd = [x for r in made.where("name is null").select("docs").collect() for x in r["docs"]]
     if odd:  # sets that the pigeonhole does not cover, as good as never: a stated query set against all rows
