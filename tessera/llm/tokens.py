@@ -56,12 +56,14 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 class _Pieces(dict):
     """Ids of a piece, as little-endian bytes, encoded when first asked for."""
 
-    def __init__(self, tokenizer, lead: str):
-        self.tokenizer, self.lead = tokenizer, lead
+    def __init__(self, tokenizer, lead: str, marks: dict[str, bytes] | None = None):
+        super().__init__(marks or {})
+        self.tokenizer, self.lead, self.marks = tokenizer, lead, marks or {}
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= _CACHE:
+        if len(self) >= _CACHE + len(self.marks):
             self.clear()
+            self.update(self.marks)  # a document under way still needs them
         ids = array("I", self.tokenizer.encode(self.lead + piece, add_special_tokens=False).ids).tobytes()
         self[piece] = ids
         return ids
@@ -75,8 +77,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.after, self.first = _Pieces(self.tokenizer, " "), _Pieces(self.tokenizer, "")
-        self.feed, self.marks = self._whole("\n"), {_COMMA: self._whole(","), _STOP: self._whole(".")}
+        self.after = _Pieces(self.tokenizer, " ", {_COMMA: self._whole(","), _STOP: self._whole(".")})
+        self.first, self.feed = _Pieces(self.tokenizer, ""), self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -89,7 +91,6 @@ class Encoder:
         if letters <= _PROSE and text[0] not in ",." and not any(p in text for p in (*_PAIRS, " ,", " .", "\n,", "\n.")):
             # cutting marks off spares the cache a second and third form of most words
             text = text.replace(", ", f" {_COMMA} ").replace(". ", f" {_STOP} ").replace(".\n", f" {_STOP}\n")
-            self.after.update(self.marks)
         after, lines = self.after.__getitem__, []
         for line in text.split("\n"):
             words = line.split(" ")

@@ -296,6 +296,17 @@ def test_token_files_equal_the_tokenizer(spark, monkeypatch, block):
     assert ids == sorted(ids)
 
 
+@pytest.mark.parametrize("cache", [1, 2, 3, 5, 50])
+def test_small_piece_cache_gives_the_tokenizers_ids(monkeypatch, cache):
+    monkeypatch.setattr(tokens, "_CACHE", cache)
+    encoder, rng = tokens.Encoder(tokens.vocabulary()), random.Random(cache)
+    for _ in range(30):
+        words = ["".join(rng.choices("abcdé1", k=rng.randint(1, 6))) + rng.choice(["", "", ",", ".", ".\n"]) for _ in range(40)]
+        text = " ".join(words).replace("\n ", "\n").strip()
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert max(len(encoder.after) - 2, len(encoder.first)) <= cache
+
+
 def test_tokens_of_nothing(spark):
     assert tokens.round_trip(_frame(spark, [])).count() == 0
 
