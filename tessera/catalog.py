@@ -459,8 +459,8 @@ def tfidf_cosine(spark, sf):
 
 def _retrieved(spark, sf):
     k = cases(spark, sf)
-    opened = k.where("status = 'Undetected' and case_id % 40 = 2")
-    people = mentions(spark, sf).where("identity % 20 = 7").join(k.where("status <> 'Undetected'"), "case_id")
+    opened = k.where("status = 'Undetected'")
+    people = mentions(spark, sf).join(k.where("status <> 'Undetected'"), "case_id")
     modus = opened.join(people.select("identity", "head", "district"), ["head", "district"]).select("case_id", "identity").distinct().withColumn("cosine", F.lit(1.0))
     return retrieval.rank(opened, people.select("identity", "lat", "lon", "day", "district"), modus)
 
@@ -476,8 +476,8 @@ def retrieval_top(spark, sf):
 @query(f"WITH {_RET}, t AS (SELECT case_id, identity FROM m WHERE identity % 20 = 7 AND case_id IN (SELECT case_id FROM o)), f AS (SELECT t.case_id, min(r.place) AS place FROM t JOIN r ON r.case_id = t.case_id AND r.identity = t.identity AND r.place <= 10 GROUP BY t.case_id), x AS (SELECT d.case_id, f.place FROM (SELECT DISTINCT case_id FROM t) d LEFT JOIN f ON f.case_id = d.case_id) SELECT count(*) AS cases, round(avg(CASE WHEN place <= 1 THEN 1.0 ELSE 0.0 END), 4) AS hit_1, round(avg(CASE WHEN place <= 3 THEN 1.0 ELSE 0.0 END), 4) AS hit_3, round(avg(CASE WHEN place <= 10 THEN 1.0 ELSE 0.0 END), 4) AS hit_10, round(avg(CASE WHEN place <= 50 THEN 1.0 ELSE 0.0 END), 4) AS hit_50, round(avg(coalesce(1.0 / place, 0)), 4) AS mrr FROM x")
 def hit_rates(spark, sf):
     ranked = _retrieved(spark, sf)
-    k = cases(spark, sf).where("status = 'Undetected' and case_id % 40 = 2").select("case_id")
-    truth = mentions(spark, sf).where("identity % 20 = 7").join(k, "case_id").select("case_id", "identity")
+    k = cases(spark, sf).where("status = 'Undetected'").select("case_id")
+    truth = mentions(spark, sf).join(k, "case_id").select("case_id", "identity")
     return retrieval.hit_rates(ranked, truth)
 
 
