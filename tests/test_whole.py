@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from tessera import catalog
+from tessera.operators import retrieval
 from tessera.sources import adapter
 
 
@@ -38,3 +39,21 @@ def test_retrieval_asks_all_open_cases_for_all_people(spark, duck, sf_dir):
     _same(spark, duck, sf_dir, "retrieval_top", *SUBSETS)
     asked = catalog.mentions(spark, sf_dir).join(catalog.cases(spark, sf_dir).where("status = 'Undetected'"), "case_id")
     assert catalog.QUERIES["hit_rates"](spark, sf_dir).first()["cases"] == asked.select("case_id").distinct().count()
+
+
+def test_hit_rates_see_every_place(spark, duck, sf_dir):
+    _same(spark, duck, sf_dir, "hit_rates", *SUBSETS, " AND r.place <= 10")
+    r = catalog.QUERIES["hit_rates"](spark, sf_dir).first()
+    assert r["hit_50"] > r["hit_10"]
+
+
+def test_places_without_a_cut(spark):
+    opened = spark.createDataFrame([(1, 12.0, 75.0, "2020-01-01", 1)], "case_id long, lat double, lon double, day string, district long")
+    people = spark.createDataFrame([(i, 12.0 + i / 100, 75.0, "2020-01-01", 1) for i in range(60)], "identity long, lat double, lon double, day string, district long")
+    modus = spark.createDataFrame([], "case_id long, identity long, cosine double")
+    every = retrieval.rank(opened, people, modus, None)
+    assert [(r["identity"], r["place"]) for r in every.orderBy("place").collect()] == [(i, i + 1) for i in range(60)]
+    assert retrieval.rank(opened, people, modus).count() == 10
+    truth = spark.createDataFrame([(1, 29)], "case_id long, identity long")
+    r = retrieval.hit_rates(every, truth).first()
+    assert (r["hit_10"], r["hit_50"], r["mrr"]) == (0.0, 1.0, 0.0333)
