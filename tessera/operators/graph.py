@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,45 +68,60 @@ def ego(edge: DataFrame, node: int, before: bool = False) -> DataFrame:
     return kept.join(rings.withColumnRenamed("node", "a"), "a", "left_semi").join(rings.withColumnRenamed("node", "b"), "b", "left_semi")
 
 
-def _merge(total: int, most: int):
+def _merge(total: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """Greedy modularity within one component: merge the pair with the largest gain while there is one."""
-        links: dict[int, dict[int, float]] = {}
-        for a, b in zip(rows["a"].tolist(), rows["b"].tolist()):
-            links.setdefault(a, {})[b] = links.setdefault(b, {}).get(a, 0) + 1
-            links[b][a] = links[a][b]
-        if len(links) > most:
-            raise ValueError(f"a component of {len(links)} nodes is over the limit of {most}")
-        degree = {n: float(sum(x.values())) for n, x in links.items()}
-        group, members = {n: n for n in links}, {n: [n] for n in links}
-        while True:
-            best, pair = 1e-12, None
-            for a in sorted(links):
-                for b, w in sorted(links[a].items()):
-                    if a < b and (gain := w / total - degree[a] * degree[b] / (2 * total * total)) > best:
-                        best, pair = gain, (a, b)
-            if pair is None:
-                break
-            a, b = pair
-            for n, w in links.pop(b).items():
-                links[n].pop(b)
+        """Greedy modularity within one component: merge the pair with the largest gain while there is one.
+
+        Gains are whole numbers, in units of 1 / (2 total^2). The heap has one valid entry for each pair, at or above its gain: a
+        gain falls when an end grows and is then looked at again when its entry comes up; it is entered anew where links add up.
+        """
+        nodes = sorted({*rows["a"].tolist(), *rows["b"].tolist()})
+        at, size = {n: i for i, n in enumerate(nodes)}, len(nodes)
+        links: list[dict[int, int]] = [{} for _ in nodes]
+        for a, b in zip(map(at.get, rows["a"].tolist()), map(at.get, rows["b"].tolist())):
+            links[a][b] = links[b][a] = links[b].get(a, 0) + 1
+        degree, members = [sum(x.values()) for x in links], [[i] for i in range(size)]
+        gain = lambda a, b: 2 * total * links[a][b] - degree[a] * degree[b]
+        entered = {a * size + b: gain(a, b) for a in range(size) for b in links[a] if a < b}
+        heap = [(-g, pair) for pair, g in entered.items() if g > 0]
+        heapq.heapify(heap)
+        while heap:
+            key, pair = heapq.heappop(heap)
+            a, b = divmod(pair, size)
+            if entered.get(pair) != -key:
+                continue
+            if (now := gain(a, b)) != -key:
+                entered[pair] = now
+                if now > 0:
+                    heapq.heappush(heap, (-now, pair))
+                continue
+            degree[a], moved, links[b] = degree[a] + degree[b], links[b], {}
+            for n, w in moved.items():
+                del links[n][b]
+                del entered[min(n, b) * size + max(n, b)]
                 if n != a:
                     links[a][n] = links[n][a] = links[a].get(n, 0) + w
-            degree[a] += degree.pop(b)
-            for n in members[b]:
-                group[n] = a
-            members[a] += members.pop(b)
-        return pd.DataFrame({"node": list(group), "community": list(group.values())})
+                    fresh = min(a, n) * size + max(a, n)
+                    entered[fresh] = now = gain(a, n)
+                    if now > 0:
+                        heapq.heappush(heap, (-now, fresh))
+            members[a] += members[b]
+            members[b] = []
+        found = [(nodes[n], nodes[c]) for c, ns in enumerate(members) for n in ns]
+        return pd.DataFrame(found, columns=["node", "community"])
 
     return run
 
 
-def communities(edge: DataFrame, most: int = 5_000) -> DataFrame:
-    """(node, community) by greedy modularity, component by component; the gains use the edge count of the whole graph."""
+def communities(edge: DataFrame) -> DataFrame:
+    """(node, community) by greedy modularity, component by component; the gains use the edge count of the whole graph.
+
+    The merges of one component depend on each other and are one task, which holds the component's edges.
+    """
     flat = checkpointed(edge.select("a", "b"))
     total = flat.count()
     labelled = flat.join(components(flat).withColumnRenamed("node", "a"), "a")
-    return labelled.groupBy("component").applyInPandas(_merge(total, most), "node long, community long")
+    return labelled.groupBy("component").applyInPandas(_merge(total), "node long, community long")
 
 
 def modularity(edge: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,10 +1,13 @@
 """Registered queries take all rows: compared with their SQL after the subsets and cuts in it are taken out, and by brute force."""
 
+import random
+
 import duckdb
+import pandas as pd
 import pytest
 
 from tessera import catalog
-from tessera.operators import retrieval
+from tessera.operators import graph, retrieval
 from tessera.sources import adapter
 
 
@@ -57,3 +60,48 @@ def test_places_without_a_cut(spark):
     truth = spark.createDataFrame([(1, 29)], "case_id long, identity long")
     r = retrieval.hit_rates(every, truth).first()
     assert (r["hit_10"], r["hit_50"], r["mrr"]) == (0.0, 1.0, 0.0333)
+
+
+def test_modularity_counts_every_edge(spark, duck, sf_dir):
+    _same(spark, duck, sf_dir, "modularity", " WHERE shared_cases > 1")
+
+
+def test_communities_hold_every_linked_identity(spark, sf_dir):
+    e = graph.edges(catalog.mentions(spark, sf_dir))
+    sizes = [r["size"] for r in catalog.QUERIES["communities"](spark, sf_dir).collect()]
+    assert sum(sizes) == graph.degrees(e).count()
+    assert sorted(sizes) == sorted(r["count"] for r in graph.communities(e).groupBy("community").count().collect())
+
+
+def _greedy(edges, total):
+    """All pairs of groups looked at before each merge."""
+    nodes = sorted({n for e in edges for n in e})
+    group = {n: n for n in nodes}
+    while True:
+        degree, links = dict.fromkeys(nodes, 0), {}
+        for a, b in edges:
+            p, q = sorted((group[a], group[b]))
+            degree[p] += 1
+            degree[q] += 1
+            if p != q:
+                links[p, q] = links.get((p, q), 0) + 1
+        gains = sorted((degree[p] * degree[q] - 2 * total * w, p, q) for (p, q), w in links.items())
+        if not gains or gains[0][0] >= 0:
+            return group
+        group = {n: gains[0][1] if g == gains[0][2] else g for n, g in group.items()}
+
+
+def test_merging_equals_all_pairs_greedy():
+    rng = random.Random(4)
+    for _ in range(60):
+        n = rng.randint(2, 18)
+        edges = sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(rng.randint(1, 3 * n))})
+        total = len(edges) + rng.choice([0, 5])
+        found = graph._merge(total)(pd.DataFrame(edges, columns=["a", "b"]))
+        assert dict(zip(found["node"], found["community"])) == _greedy(edges, total)
+
+
+def test_a_component_of_many_nodes(spark):
+    e = spark.range(5_500).selectExpr("id as a", "id + 1 as b")
+    found = graph.communities(e)
+    assert found.count() == found.select("node").distinct().count() == 5_501
