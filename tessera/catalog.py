@@ -227,12 +227,14 @@ def name_scripts(spark, sf):
 
 @query(f"WITH {PAR} SELECT x.brand, count(*) AS pairs FROM q x JOIN q y ON x.id < y.id AND x.brand = y.brand AND len(list_intersect(x.heads, y.heads)) > 0 GROUP BY x.brand")
 def candidate_pairs(spark, sf):
-    """Pairs that share a four-letter head; the brand stands for a circle to keep the count of pairs in bounds."""
-    named = parts(spark, sf).select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), N.normalised(F.col("p_name")).alias("norm"))
-    heads = F.transform(blocking.keys(F.col("norm"), families=("P4",)), lambda k: F.concat(F.col("brand"), F.lit("|"), k))
-    keyed = named.withColumn("keys", heads)
-    pairs = blocking.candidate_pairs(keyed, "id", salt=4)
-    return pairs.join(named.select(F.col("id").alias("a"), "brand"), "a").groupBy("brand").agg(F.count(F.lit(1)).alias("pairs"))
+    """Pairs of the shipped families over all parts, counted by the brand of the first; the brand stands for a circle in TR."""
+    named = parts(spark, sf).select(F.col("p_partkey").alias("a"), F.col("p_brand").alias("brand"))
+    return _candidates(spark, sf).join(named, "a").groupBy("brand").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+def _candidates(spark, sf):
+    keyed = blocking.with_keys(parts(spark, sf), "p_name", "p_brand")
+    return blocking.candidate_pairs(keyed, "p_partkey", salt=4)
 
 
 @query(f"WITH {PAR}, b AS (SELECT unnest(heads) AS h, id FROM q), n AS (SELECT h, count(*) AS n FROM b GROUP BY h) SELECT 'P4' AS family, count(*) AS blocks, max(n) AS largest, round(avg(n), 2) AS mean_rows FROM n")
@@ -311,9 +313,20 @@ def _levels(spark, sf):
     )
 
 
+def _candidate_levels(spark, sf):
+    """Levels of all candidate pairs, as `_levels` has them for equal names of one brand."""
+    q = parts(spark, sf).select("p_partkey", "p_brand", "p_type", "p_size")
+    x, y = q.alias("x"), q.alias("y")
+    pairs = _candidates(spark, sf).join(x, F.col("a") == F.col("x.p_partkey")).join(y, F.col("b") == F.col("y.p_partkey"))
+    return pairs.select(
+        "a", "b", (F.col("x.p_brand") == F.col("y.p_brand")).cast("int").alias("brand"), (F.col("x.p_type") == F.col("y.p_type")).cast("int").alias("kind"),
+        M.temporal_level(F.col("x.p_size"), F.col("y.p_size")).alias("size"),
+    )
+
+
 @query(f"{_LV} SELECT brand, kind, size, count(*) AS n FROM p GROUP BY brand, kind, size")
 def pattern_collapse(spark, sf):
-    return linkage.patterns(_levels(spark, sf), ["brand", "kind", "size"])
+    return linkage.patterns(_candidate_levels(spark, sf), ["brand", "kind", "size"])
 
 
 @query(f"{_LV} SELECT a, b, round(CAST(2.25 + CASE kind WHEN 0 THEN -0.5 ELSE 1.75 END + CASE size WHEN 0 THEN -2.0 WHEN 1 THEN 0.5 ELSE 3.0 END AS DOUBLE), 6) AS score FROM p")
@@ -370,20 +383,20 @@ def routing_bands(spark, sf):
 
 @query()
 def isotonic_calibration(spark, sf):
-    s = _levels(spark, sf).select(linkage.score(_WEIGHTS).alias("v"), ((F.col("a") + F.col("b")) % 3 == 0).cast("int").alias("y"))
+    s = _candidate_levels(spark, sf).select(linkage.score(_WEIGHTS).alias("v"), ((F.col("a") + F.col("b")) % 3 == 0).cast("int").alias("y"))
     return calibrate.isotonic(s, "v", "y").groupBy("v").agg(F.round(F.first("probability"), 6).alias("probability"), F.count(F.lit(1)).alias("n"))
 
 
 @query()
 def em_fit(spark, sf):
-    model = linkage.fit(_levels(spark, sf), {"kind": 2, "size": 3}, {"kind": 1, "size": 2})
+    model = linkage.fit(_candidate_levels(spark, sf), {"brand": 2, "kind": 2, "size": 3}, {"brand": 1, "kind": 1, "size": 2})
     rows = [(s, i, float(w), model.support[s][i]) for s, ws in model.weights().items() for i, w in enumerate(ws)]
     return spark.createDataFrame(rows, "signal string, level int, weight double, support long").withColumn("p", F.lit(model.p))
 
 
 @query()
 def agglomerate(spark, sf):
-    s = _levels(spark, sf).withColumn("score", linkage.score(_WEIGHTS)).withColumns({"case_a": F.col("a") % 50, "case_b": F.col("b") % 50})
+    s = _candidate_levels(spark, sf).withColumn("score", linkage.score(_WEIGHTS)).withColumns({"case_a": F.col("a") % 50, "case_b": F.col("b") % 50})
     return cluster.agglomerate(s, 6.5)
 
 

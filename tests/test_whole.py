@@ -1,12 +1,15 @@
 """Registered queries take all rows: compared with their SQL after the subsets and cuts in it are taken out, and by brute force."""
 
 import random
+from collections import Counter
 
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import catalog
+from tessera.functions import names
 from tessera.operators import graph, retrieval
 from tessera.sources import adapter
 
@@ -19,8 +22,8 @@ def duck(sf_dir):
     return con
 
 
-def _rows(found, names):
-    cols = sorted(names)
+def _rows(found, columns):
+    cols = sorted(columns)
     return sorted([f"{r[c]:.5f}" if isinstance(r[c], float) else str(r[c]) for c in cols] for r in found)
 
 
@@ -30,9 +33,9 @@ def _same(spark, duck, sf_dir, name, *cuts):
         sql = sql.replace(cut, "")
     df = catalog.QUERIES[name](spark, sf_dir)
     cur = duck.execute(sql)
-    names = [c[0] for c in cur.description]
-    assert sorted(names) == sorted(df.columns)
-    assert _rows(df.collect(), names) == _rows([dict(zip(names, r)) for r in cur.fetchall()], names)
+    cols = [c[0] for c in cur.description]
+    assert sorted(cols) == sorted(df.columns)
+    assert _rows(df.collect(), cols) == _rows([dict(zip(cols, r)) for r in cur.fetchall()], cols)
 
 
 SUBSETS = " AND case_id % 40 = 2", "m.identity % 20 = 7 AND ", "identity % 20 = 7 AND "
@@ -105,3 +108,26 @@ def test_a_component_of_many_nodes(spark):
     e = spark.range(5_500).selectExpr("id as a", "id + 1 as b")
     found = graph.communities(e)
     assert found.count() == found.select("node").distinct().count() == 5_501
+
+
+def _blocked(spark, sf_dir):
+    """Pairs of parts with a common four-letter head, or a common letter within a brand."""
+    n = names.normalised(F.col("p_name"))
+    rows = catalog.parts(spark, sf_dir).select("p_partkey", "p_brand", "p_type", "p_size", n["tokens"].alias("tokens"), n["initials"].alias("initials")).collect()
+    rows = [(r, {t[:4] for t in r["tokens"]}, {t[:1] for t in r["tokens"]} | set(r["initials"])) for r in rows]
+    return [
+        (x, y) for x, hx, lx in rows for y, hy, ly in rows
+        if x["p_partkey"] < y["p_partkey"] and (hx & hy or x["p_brand"] == y["p_brand"] and lx & ly)
+    ]
+
+
+def test_candidate_pairs_and_levels_cross_brands(spark, sf_dir):
+    pairs = _blocked(spark, sf_dir)
+    found = {r["brand"]: r["pairs"] for r in catalog.QUERIES["candidate_pairs"](spark, sf_dir).collect()}
+    assert found == Counter(x["p_brand"] for x, _ in pairs)
+    level = lambda d: 2 if d <= 1 else 1 if d <= 2 else 0
+    want = Counter((int(x["p_brand"] == y["p_brand"]), int(x["p_type"] == y["p_type"]), level(abs(x["p_size"] - y["p_size"]))) for x, y in pairs)
+    assert {tuple(r[:3]): r[3] for r in map(tuple, catalog.QUERIES["pattern_collapse"](spark, sf_dir).collect())} == want
+    calibrated = catalog.QUERIES["isotonic_calibration"](spark, sf_dir).collect()
+    assert sum(r["n"] for r in calibrated) == len(pairs)
+    assert {r["signal"] for r in catalog.QUERIES["em_fit"](spark, sf_dir).collect()} == {"brand", "kind", "size"}
