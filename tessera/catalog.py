@@ -601,7 +601,7 @@ def hotspot_totals(spark, sf):
 @query(f"WITH {MEN}, z AS (SELECT mention, m.case_id, identity, (SELECT list(DISTINCT o.identity) FROM m o WHERE o.case_id = m.case_id AND o.identity <> m.identity) AS others FROM m WHERE identity % 50 = 7), p AS (SELECT x.mention AS a, y.mention AS b, coalesce(len(x.others), 0) AS nx, coalesce(len(y.others), 0) AS ny, coalesce(len(list_intersect(x.others, y.others)), 0) AS shared FROM z x JOIN z y ON x.identity = y.identity AND x.mention < y.mention) SELECT a, b, CAST(CASE WHEN nx = 0 OR ny = 0 THEN -1 WHEN shared > 0 THEN 2 ELSE 0 END AS INTEGER) AS relational FROM p")
 def relational_level(spark, sf):
     m = mentions(spark, sf)
-    some = m.where("identity % 50 = 7").select("mention", "identity")
+    some = m.select("mention", "identity")
     x, y = some.alias("x"), some.alias("y")
     pairs = x.join(y, (F.col("x.identity") == F.col("y.identity")) & (F.col("x.mention") < F.col("y.mention"))).select(F.col("x.mention").alias("a"), F.col("y.mention").alias("b"))
     return collective.relational(pairs, m.select(F.col("mention").alias("id"), "case_id", "identity"), "identity")

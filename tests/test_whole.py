@@ -131,3 +131,7 @@ def test_candidate_pairs_and_levels_cross_brands(spark, sf_dir):
     calibrated = catalog.QUERIES["isotonic_calibration"](spark, sf_dir).collect()
     assert sum(r["n"] for r in calibrated) == len(pairs)
     assert {r["signal"] for r in catalog.QUERIES["em_fit"](spark, sf_dir).collect()} == {"brand", "kind", "size"}
+
+
+def test_every_identity_has_relational_levels(spark, duck, sf_dir):
+    _same(spark, duck, sf_dir, "relational_level", " WHERE identity % 50 = 7")
