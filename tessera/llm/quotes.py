@@ -1,7 +1,7 @@
 """Quotation linking for message threads, with built-in functions only.
 
-Lines that begin with '>' are quotes, as deep as they have such marks. Each quoted paragraph is normalised and hashed, and
-joined to the message that has this paragraph (or line) as its own text. The rest of a message, without quotes and the
+Lines that begin with '>' are quotes, as deep as they have such marks. Each quoted paragraph is normalised and hashed, as a
+whole and line by line, and joined to the message that has this paragraph (or line) as its own text. The rest of a message, without quotes and the
 lines that announce them, is its clean text; messages are numbered in reply order within their conversation.
 
 Originals are looked up as minima per key (and per conversation and key), so a passage that a third of all messages share
@@ -34,6 +34,13 @@ def _key(text: Column) -> Column:
     return F.sha2(normalised(text), 256)
 
 
+def _looked_up(run: Column) -> Column:
+    """Keys of a quoted run: the whole at line 0, then each of its lines that has letters or digits."""
+    lines = F.filter(F.split(run, "\n"), lambda t: normalised(t) != "")
+    apart = F.transform(lines, lambda t, i: F.struct((i + 1).cast("int").alias("line"), _key(t).alias("key")))
+    return F.concat(F.array(F.struct(F.lit(0).alias("line"), _key(run).alias("key"))), F.when(F.size(lines) > 1, apart).otherwise(F.slice(apart, 1, 0)))
+
+
 def parse(messages: DataFrame) -> DataFrame:
     """mid, conv_id, turn, role, runs: paragraphs as array<struct<depth, text>> in order, announcing lines left out."""
     base = messages.select(
@@ -94,12 +101,16 @@ def link(messages: DataFrame) -> DataFrame:
     """One row per message: its clean text, quotes, the message it answers and its place in reply order.
 
     The original of a quoted paragraph is the first earlier message of the same conversation that has it as its own text,
-    or else the first such message anywhere. The parent is the original of the shallowest linked quote; ties go to the
+    or else the first such message anywhere; where there is none, that of its first line with one. The parent is the original of the shallowest linked quote; ties go to the
     first in (conv_id, turn) order.
     """
     parsed = parse(messages)
     quoted = parsed.select("mid", "conv_id", "turn", F.explode(F.filter("runs", lambda r: r["depth"] > 0)).alias("r"))
-    quoted = quoted.select("mid", "conv_id", "turn", F.col("r.depth").alias("depth"), _key(F.col("r.text")).alias("key")).distinct()
+    quoted = quoted.select("mid", "conv_id", "turn", F.col("r.depth").alias("depth"), _key(F.col("r.text")).alias("run"), _looked_up(F.col("r.text")).alias("k"))
+    # a run that repeats in a message is one quote; the same text can be broken into lines in more than one way
+    quoted = quoted.select("mid", "conv_id", "turn", "depth", "run", F.explode("k").alias("k")).select(
+        "mid", "conv_id", "turn", "depth", "run", F.col("k.key").alias("key"), F.col("k.line").alias("line")
+    ).groupBy("mid", "conv_id", "turn", "depth", "run", "key").agg(F.min("line").alias("line"))
     own = parsed.select("conv_id", "turn", F.filter("runs", lambda r: r["depth"] == 0).alias("own"))
     own = own.select(
         "conv_id", "turn",
@@ -117,7 +128,11 @@ def link(messages: DataFrame) -> DataFrame:
     target = F.when(F.col("in_key").isNotNull(), F.struct(F.col("in_conv").alias("conv_id"), F.col("first_turn").alias("turn"))).when(
         ~itself, F.col("first")
     )
-    links = hits.select("mid", "depth", target.alias("to")).groupBy("mid").agg(
+    # the whole run's original if it has one, or else that of its first line with one
+    found = hits.select("mid", "depth", "run", "line", target.alias("to")).groupBy("mid", "depth", "run").agg(
+        F.min(F.when(F.col("to").isNotNull(), F.struct("line", "to")))["to"].alias("to")
+    )
+    links = found.groupBy("mid").agg(
         F.count("to").alias("n_linked"), F.min(F.when(F.col("to").isNotNull(), F.struct("depth", "to")))["to"].alias("parent")
     )
     clean = parsed.select(

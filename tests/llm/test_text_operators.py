@@ -78,6 +78,20 @@ def test_quotes_link_to_their_originals(spark):
     assert sorted(r["reply_order"] for r in out if r["conv_id"] == 2) == [1, 2]
 
 
+def test_quotes_of_some_lines_of_a_paragraph(spark):
+    rows = [
+        (1, 0, "user", "First line here.\nSecond line here.\nThird line here."), (1, 1, "user", "> Second line here.\n> Third line here.\nYes."),
+        (1, 2, "user", "> not said anywhere\n> Third line here.\n\n> not said anywhere\n> third LINE here\nNo."),
+        (2, 0, "user", "> Second line here.\n> Yes.\nWell."), (3, 0, "user", "> ...\n> nothing of it\nHm."),
+        (4, 0, "user", "A one.\nA two."), (4, 1, "user", "A two."), (4, 2, "user", "> A one.\n> A two.\nSo."),
+    ]
+    out = {(r["conv_id"], r["turn"]): r for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert len(out) == len(rows)
+    parent = lambda c, t: (out[c, t]["n_quotes"], out[c, t]["n_linked"], out[c, t]["parent_conv"], out[c, t]["parent_turn"])
+    assert parent(1, 1) == (1, 1, 1, 0) and parent(1, 2) == (2, 1, 1, 0)
+    assert parent(2, 0) == (1, 1, 1, 0) and parent(3, 0) == (1, 0, None, None) and parent(4, 2) == (1, 1, 4, 0)
+
+
 def test_trees_follow_a_plain_walk():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(600, 4))
