@@ -43,8 +43,11 @@ _PROSE = frozenset(c for c in PRINTABLE if c.isalpha() or c.isdigit() and c.isas
 _PAIRS = (",,", ",.", ".,", "..")
 #: Stand-ins for a comma and a full stop cut off from the word before them.
 _COMMA, _STOP = "\x01", "\x02"
-#: Entries of a piece cache, some 250 MB when full.
-_CACHE = 1_000_000
+#: Pieces after a space, and at the head of a line, that a cache remembers at least; it holds at most twice as many, at some
+#: 200 bytes each, so about 80 MB for a Python worker.
+_RECENT, _HEADS = 150_000, 50_000
+#: Bytes of the ids that a remembered piece may have; longer pieces are encoded each time.
+_LONGEST = 64
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -53,18 +56,36 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _stand_ins() -> dict[int, str]:
+    """Byte-level BPE works on characters that stand for bytes: printable ones for themselves, the rest in order from 256 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = iter(range(0x100, 0x200))
+    of = [chr(b) if b in plain else chr(next(other)) for b in range(0x100)]
+    return {c: "".join(of[b] for b in chr(c).encode()) for c in (0x20, *(ord(c) for c in PRINTABLE))}
+
+
 class _Pieces(dict):
-    """Ids of a piece, as little-endian bytes, encoded when first asked for."""
+    """Ids of a piece, as little-endian bytes, encoded when first asked for.
 
-    def __init__(self, tokenizer, lead: str, marks: dict[str, bytes] | None = None):
+    Two generations: new pieces go into the dictionary itself; when it has `recent` of them, it becomes the older one, whose
+    pieces come back when asked for again and are otherwise forgotten at the next turn.
+    """
+
+    def __init__(self, encode, lead: str, recent: int, marks: dict[str, bytes] | None = None):
         super().__init__(marks or {})
-        self.tokenizer, self.lead, self.marks = tokenizer, lead, marks or {}
+        self.of, self.lead, self.marks, self.older = encode, lead, marks or {}, {}
+        self.most = recent + len(self.marks)
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= _CACHE + len(self.marks):
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.of(self.lead + piece)
+            if len(ids) > _LONGEST:
+                return ids
+        if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
             self.update(self.marks)  # a document under way still needs them
-        ids = array("I", self.tokenizer.encode(self.lead + piece, add_special_tokens=False).ids).tobytes()
         self[piece] = ids
         return ids
 
@@ -77,11 +98,18 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.after = _Pieces(self.tokenizer, " ", {_COMMA: self._whole(","), _STOP: self._whole(".")})
-        self.first, self.feed = _Pieces(self.tokenizer, ""), self._whole("\n")
+        self.model, self.stand_ins = self.tokenizer.model, _stand_ins()
+        self.after = _Pieces(self._piece, " ", _RECENT, {_COMMA: self._whole(","), _STOP: self._whole(".")})
+        self.first, self.feed = _Pieces(self._piece, "", _HEADS), self._whole("\n")
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, text: str) -> bytes:
+        """A piece of letters is a word of its own to the tokenizer, so its model can be asked directly, in half the time."""
+        if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+            return array("I", [t.id for t in self.model.tokenize(text.translate(self.stand_ins))]).tobytes()
+        return self._whole(text)
 
     def encode(self, text: str) -> bytes:
         letters = set(text)

@@ -298,7 +298,8 @@ def test_token_files_equal_the_tokenizer(spark, monkeypatch, block):
 
 @pytest.mark.parametrize("cache", [1, 2, 3, 5, 50])
 def test_small_piece_cache_gives_the_tokenizers_ids(monkeypatch, cache):
-    monkeypatch.setattr(tokens, "_CACHE", cache)
+    monkeypatch.setattr(tokens, "_RECENT", cache)
+    monkeypatch.setattr(tokens, "_HEADS", cache)
     encoder, rng = tokens.Encoder(tokens.vocabulary()), random.Random(cache)
     for _ in range(30):
         words = ["".join(rng.choices("abcdé1", k=rng.randint(1, 6))) + rng.choice(["", "", ",", ".", ".\n"]) for _ in range(40)]
