@@ -5,13 +5,19 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters that separate words: space and \x09-\x0D. Everything else belongs to a word.
 SPACE = "[\\x20\\x09-\\x0D]"
 WORD_BYTES = rb"[^\x20\x09-\x0D]+"
+#: Found in every text that has a word.
+HAS_WORD = "[^\\x20\\x09-\\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster, spark.checkpoint.dir; a temporary one of our own only where it is unset."""
+    """The shared folder of the cluster, spark.checkpoint.dir; a temporary one of our own only where it is unset and Spark is local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that all executors share")
     root = tempfile.mkdtemp(prefix="tessera-")
     spark.sparkContext.setCheckpointDir(f"file://{root}")
     return f"file://{root}"
@@ -90,3 +98,22 @@ def starts(owner: str) -> None:
     """Called when an operator's task starts in a Python worker: caches of other operators are dropped."""
     for name in [x for x in _CACHES if x != owner]:
         _CACHES.pop(name)()
+
+
+def side(df: DataFrame, most: int = 400_000) -> DataFrame:
+    """Broadcast a narrow table, but only if it is counted to have at most `most` rows (some 20 MB); else it is shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str, rows: int = 1_000, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most `rows` rows and about `size` bytes in `column`, so that what is made of one stays bounded."""
+    for batch in batches:
+        of = batch.column(batch.schema.get_field_index(column))
+        lengths = pc.fill_null(pc.binary_length(of), 0).to_numpy(zero_copy_only=False)
+        upto = np.cumsum(lengths, dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = int(upto[at - 1]) if at else 0
+            end = min(at + rows, max(at + 1, int(np.searchsorted(upto, before + size, "right"))))
+            yield batch.slice(at, end - at)
+            at = end

@@ -1,16 +1,30 @@
-"""Exact n-gram Jaccard join by partition and enumeration signatures.
+"""Exact n-gram Jaccard join by PartEnum signatures.
 
-A document's set is its distinct 5-word shingles. Sets are put into bands of sizes that may match each other (a factor of
-4/3). For each band, the feature domain is cut into partitions, a little more of them than two matching sets may differ in
-elements, so at least one non-empty partition has the same elements in both sets: a set's signatures are the hashes of its
-partitions. Because matching sets even share several of them, each set emits only as many as the pigeonhole needs, in one
-global order that puts signatures of many elements first; signatures of one (perhaps very common) shingle go first out.
+A document's set is its distinct 5-word shingles. Sets are put into bands of sizes in which a set can match only its own and
+the next band. Each band and the one above it are an instance of PartEnum: the feature domain is cut into first-level
+partitions, each of these into second-level ones, and a set's signatures are the hashes of what it has in every subset of all
+but one second-level partition of a first-level one. Matching sets of an instance differ in at most a third of the smaller
+one; with more first-level partitions than half of that, at least one of them differs in one element or none, and then the
+subset that leaves out the place of this element is equal in both sets.
 
-Sets that share a signature form a list. Lists are compared exactly, each within one task and with bounded size: the links
-found are a spanning forest of each list, so thousands of near copies cost no pairs among them. A first round takes each
-document's longest list; a second takes all other lists whose members are not yet connected; both together miss no link.
-Sketches (element counts by hash bucket) bound the common elements of two sets from above; documents that cannot match any
-other by that bound leave a list before texts are compared.
+Subsets without elements are no signatures. A set that has too few first-level partitions with elements in two or more
+places for the argument above is not covered; it sends signatures under a second, third, ... independent partitioning, too.
+A pair that is missed under one partitioning has both of its sets uncovered there, so both send more; after SEEDS
+partitionings the uncovered sets send the shingles of a prefix filter, which misses nothing. So no set needs a scan.
+
+Before that, sets that cannot match are left out. A linked set shares three quarters of its shingles at least. The shingles
+of a hash class (two fifths of all) are counted; a set with more than a quarter of its shingles in this class that no other
+set has is linked with nothing. It sends some bytes for each of them and no signature.
+
+Sets that share a signature form a list. Lists are cut into blocks of bounded size; each is compared exactly in one task,
+which gives a spanning forest, so thousands of near copies cost no pairs among them. A first round takes each document's
+longest list, its blocks tied together by one member; a second takes every list (and every two blocks of a list) whose
+documents are not yet connected. There, sketches (element counts by hash bucket) bound the common elements from above before
+any text moves. Both rounds together miss no link.
+
+One task holds the ids (20 bytes each) of those that share one signature, but never their texts.
+
+Shingles and equal texts are told apart by hashes of 64 and 256 bits: results are exact up to collisions of these.
 
 Defined results: null texts and texts without words have no shingles and are linked with nothing; null doc_ids get a null
 component; rows that repeat a doc_id are one node, linked by any of their texts; equal texts are collapsed first; empty
@@ -23,19 +37,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, starts, table, written
+from .common import HAS_WORD, pieces, side, sliced, starts, table, written
 
 SHINGLE = 5
-#: Sets up to this size use single shingles as partitions.
-SINGLE = 32
-#: Lists are cut into blocks of this many documents; every two blocks meet in one task.
-BLOCK = 1024
+#: Independent partitionings before the prefix filter.
+SEEDS = 8
+#: Sets up to this size have a second-level partition for (about) each element, larger ones THIRDS of them.
+FINE, THIRDS = 66, 3
+#: A block of a list has at most so many documents, and so many shingles if its documents were all as long as the longest.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Of 256 hash classes of shingles, those that are counted before signatures are made.
+CLASSES = 102
+BUCKETS = 256
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_32 = np.uint64(32)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -44,153 +64,345 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_IS_WORD = np.ones(256, bool)
+_IS_WORD[[9, 10, 11, 12, 13, 32]] = False
+#: A random number for each byte at each place of a word; a word's code is their sum.
+_PLACED = _mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * _A)
+
+
+def _codes(raw: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
+    """A code for each word, without regard to case."""
+    out = np.zeros(len(heads), np.uint64)
+    for a in range(0, len(heads), 1 << 16):
+        head, tail = heads[a : a + (1 << 16)], tails[a : a + (1 << 16)]
+        part = raw[head[0] : tail[-1]]
+        part, size = _LOWER[part[_IS_WORD[part]]], tail - head
+        begin = np.cumsum(size) - size
+        place = np.arange(len(part)) - np.repeat(begin, size)
+        value = _PLACED[((place & 255) << 8) | part]
+        if size.max() > 256:
+            value *= (2 * (place >> 8) + 1).astype(np.uint64)
+        out[a : a + (1 << 16)] = np.add.reduceat(value, begin) + size.astype(np.uint64)
+    return _mix(out)
+
+
+def sets_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of the 5-word shingles of each text, one text after another, and how many each text has.
+
+    A text of fewer words has one shingle, the whole sequence; one without words has none.
+    """
+    raw = np.frombuffer(b"\n".join([b"", *(t or b"" for t in texts), b""]), np.uint8)
+    word = _IS_WORD[raw]
+    heads = np.flatnonzero(word[1:] & ~word[:-1]) + 1
+    tails = np.flatnonzero(word[:-1] & ~word[1:]) + 1
+    ends = np.cumsum([len(t or b"") + 1 for t in texts]) if texts else np.zeros(0, np.int64)
+    upto = np.searchsorted(heads, ends, "right")
+    words = np.diff(upto, prepend=0)
+    codes = _codes(raw, heads, tails) if len(heads) else np.zeros(0, np.uint64)
+    counts = np.where(words >= SHINGLE, words - SHINGLE + 1, words > 0)
+    stops = np.cumsum(counts)
+    begins = stops - counts
+    out = np.zeros(int(counts.sum()), np.uint64)
+    long = words >= SHINGLE
+    n = len(codes) - SHINGLE + 1
+    if long.any():
+        chain = np.full(n, SHINGLE, np.uint64)
+        for k in range(SHINGLE):
+            chain = _mix(chain * _A + codes[k : k + n])
+        inside = np.arange(n) + SHINGLE <= np.repeat(upto, words)[:n]
+        out[np.repeat(long, counts)] = chain[inside]
+    for i in np.flatnonzero((words > 0) & ~long).tolist():
+        value = np.full(1, words[i], np.uint64)
+        for c in codes[upto[i] - words[i] : upto[i]]:
+            value = _mix(value * _A + c)
+        out[begins[i]] = value[0]
+    for a, b in zip(begins.tolist(), stops.tolist()):
+        out[a:b].sort()
+    keep = np.ones(len(out), bool)
+    keep[1:] = out[1:] != out[:-1]
+    keep[begins[counts > 0]] = True
+    total = np.append(0, np.cumsum(keep))
+    return out[keep], total[stops] - total[begins]
+
+
 def shingles(text: bytes | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the 5-word shingles, of the whole sequence where there are fewer words."""
-    words = (text or b"").lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    codes = np.fromiter([digest(w) for w in words], np.uint64, n)
-    size = min(SHINGLE, n)
-    out = np.full(n - size + 1, size, np.uint64)
-    for k in range(size):
-        out = _mix(out * _A + codes[k : k + len(out)])
-    return np.unique(out)
+    return sets_of([text])[0]
 
 
 def bands(top: int) -> np.ndarray:
-    """Lower bounds of the bands above SINGLE, so that matching sets are in the same band or in neighbours."""
-    out = [SINGLE + 1]
-    while out[-1] <= top:
-        out.append(4 * (out[-1] - 1) // 3 + 1)
-    return np.array([*out, 4 * (out[-1] - 1) // 3 + 1])
+    """The least size of each band: a set matches sets of its own band and of its neighbours only."""
+    most, out = 3, [1]
+    while most < top:
+        out.append(most + 1)
+        most = 4 * most // 3
+    return np.array([*out, most + 1])
+
+
+_BANDS = bands(1 << 30)
+#: First- and second-level partitions of the instance of each band and the one above it.
+_FIRST = np.maximum(1, -(-(_BANDS[1:] - 1) // 5))
+_SECOND = np.where(_BANDS[1:] - 1 <= FINE, 1 << 12, THIRDS)
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices begin[0], begin[0] + 1, ..., then those from begin[1] on, and so on."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
+def _under(elements: np.ndarray, begin: np.ndarray, size: np.ndarray, band: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of sets under one partitioning, the set of each, and each set's first-level partitions that count."""
+    h, owner = elements[_ranges(begin, size)], np.repeat(np.arange(len(size)), size)
+    where = h
+    if seed:
+        where = _mix(h + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        order = np.lexsort((where, owner))
+        where, h = where[order], h[order]
+    second = np.repeat(_SECOND[band], size)
+    place = (((where >> _32) * (np.repeat(_FIRST[band], size) * second).astype(np.uint64)) >> _32).astype(np.int64)
+    new = np.ones(len(h), bool)
+    new[1:] = (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])
+    cells = np.flatnonzero(new)
+    held = np.add.reduceat(_mix(h ^ _B), cells)
+    of, part = owner[cells], place[cells] // second[cells]
+    edge = np.ones(len(cells), bool)
+    edge[1:] = (part[1:] != part[:-1]) | (of[1:] != of[:-1])
+    parts = np.flatnonzero(edge)
+    n = np.diff(np.append(parts, len(cells)))
+    every, salt = np.add.reduceat(held, parts), _mix(((band + 1) * SEEDS + seed).astype(np.uint64) * _A)
+    good = n > 1
+    one = np.repeat(good, n)  # all but one place of a first-level partition
+    left = (np.repeat(every, n) - held)[one] + salt[of[one]]
+    whole = n < _SECOND[band][of[parts]]  # the place left out is an empty one
+    keys = _mix(np.concatenate([left, every[whole] + salt[of[parts[whole]]]]))
+    return keys, np.concatenate([of[one], of[parts[whole]]]), np.bincount(of[parts[good]], minlength=len(size))
+
+
+def signatures(elements: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of sets that lie one after another in `elements`, and the set of each."""
+    begin, some = np.cumsum(counts) - counts, np.flatnonzero(counts)
+    own = np.searchsorted(_BANDS, counts, "right") - 1
+    above = some[own[some] > 0]
+    # as the smaller set of a pair it differs from the other in a third of its size, as the larger one in two sevenths
+    who, band = np.concatenate([some, above]), np.concatenate([own[some], own[above] - 1])
+    need = np.concatenate([counts[some] // 3 // 2, 2 * counts[above] // 7 // 2])
+    keys, docs = [], []
+    for seed in range(SEEDS):
+        if not len(who):
+            break
+        key, of, good = _under(elements, begin[who], counts[who], band, seed)
+        keys.append(key), docs.append(who[of])
+        open_ = good <= need
+        who, band, need = who[open_], band[open_], need[open_]
+    if len(who):
+        size = counts[who] // 4 + 1
+        salt = np.repeat(_mix((band + 1).astype(np.uint64) * _B), size)
+        keys.append(_mix(elements[_ranges(begin[who], size)] + salt)), docs.append(np.repeat(who, size))
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(keys), np.concatenate(docs)
 
 
-_BANDS = bands(1 << 40)
+def linked(a: int, b: int, both: int) -> bool:
+    return 100 * both >= 75 * (a + b - both)
 
 
-def partitions(band: int) -> int:
-    """Number of partitions of a band: large enough that enough of them are non-empty, see `signatures`."""
-    top = int(_BANDS[band + 1]) - 1
-    return int(top * (1.0 if top <= 128 else 0.5 if top <= 512 else 0.42)) + 1
+def _raw(texts: pa.Array) -> list[bytes | None]:
+    return texts.cast(pa.large_binary()).to_pylist()
 
 
-def _signed(elements: np.ndarray, band: int, most: int) -> tuple[np.ndarray, int]:
-    """The first `most` signatures in global order, and how many there are in all. The top byte orders by element count."""
-    if band < 0:
-        sums, counts = elements, np.ones(len(elements), np.int64)
-    else:
-        part = ((elements >> np.uint64(32)) * np.uint64(partitions(band))) >> np.uint64(32)
-        starts = np.flatnonzero(np.diff(part, prepend=np.uint64(1 << 63)))
-        counts = np.diff(np.append(starts, len(elements)))
-        sums = np.add.reduceat(_mix(elements), starts)
-    seed = np.uint64((band + 2) * 0x632BE59BD9B4E019 & (1 << 64) - 1)
-    order = (255 - np.minimum(counts, 255)).astype(np.uint64) << np.uint64(56)
-    keys = order | (_mix(sums + seed) >> np.uint64(8))
-    return (np.partition(keys, most - 1)[:most] if most < len(keys) else keys), len(keys)
+def _batch(kinds: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) if rows else [[] for _ in kinds]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
 
 
-def signatures(elements: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Signatures of a set; False where the pigeonhole does not cover it and it has to be compared with all sets.
+def _by_shard(shard: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    return [(int(shard[at[0]]), at) for at in np.split(order, cuts[1:])] if len(order) else []
 
-    Matching sets of sizes a <= b differ in at most (a + b) / 7 elements, at most a / 3 for the smaller one and 2b / 7 for
-    the larger one. If the smaller set has more non-empty partitions than that, one of them is equal in both; and the
-    signatures that a set may leave out are those beyond this bound, counted from the front of the global order.
-    """
-    n = len(elements)
-    if not n:
-        return elements, True
-    band = int(np.searchsorted(_BANDS, n, "right")) - 1
-    lower, total = _signed(elements, band, n // 3 + 1)
-    upper = _signed(elements, band - 1, 2 * n // 7 + 1)[0] if band >= 0 else elements[:0]
-    return np.concatenate([lower, upper]), total > n // 3
 
+# --- sets that can match nothing ----------------------------------------------------------------------------------------
 
-def linked(a: int, b: int, both: int) -> bool:
-    return 100 * both >= 75 * (a + b - both)
+_ASKED = {"shard": pa.int32(), "slice": pa.int64(), "tags": pa.binary(), "local": pa.binary(), "docs": pa.binary(), "sizes": pa.binary()}
+_SEVERAL = 0xFFFF
 
 
-def _raw(texts: pa.Array) -> Iterator[bytes]:
-    for x in texts.cast(pa.large_binary()):
-        yield x.as_py() or b""
+def _ask(shards: int):
+    """For each slice of documents, a row per shard with the counted shingles (by tag) and the document of each.
 
+    A shingle of several documents of the slice is sent once and without a document, so a common line costs a row a slice.
+    """
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that what is made of one stays small beside the batch itself."""
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts("jaccard")
+        number = TaskContext.get().partitionId() << 32
+        for batch in sliced(batches, "text"):
+            elements, counts = sets_of(_raw(batch.column(1)))
+            chosen = np.flatnonzero((elements & np.uint64(255)) < CLASSES)
+            local = np.repeat(np.arange(len(counts)), counts)[chosen].astype("<u2")
+            order = np.argsort(elements[chosen])
+            h, local = elements[chosen][order], local[order]
+            first = np.ones(len(h), bool)
+            first[1:] = h[1:] != h[:-1]
+            local[:-1][~first[1:]] = _SEVERAL
+            h, local = h[first], local[first]
+            tags, rows = (h >> _32).astype("<u4"), []
+            for shard, at in _by_shard(((h >> np.uint64(8)) & np.uint64(0xFFFFFF)).astype(np.int64) % shards):
+                rows.append((shard, number, tags[at].tobytes(), local[at].tobytes(), b"", b""))
+            docs = np.array(batch.column(0).to_pylist(), "<i8")
+            rows.append((number % shards, number, b"", b"", docs.tobytes(), counts.astype("<i8").tobytes()))
+            yield _batch(_ASKED, rows)
+            number += 1
+
+    return ask
+
+
+_ANSWERED = {"slice": pa.int64(), "alone": pa.binary(), "docs": pa.binary(), "sizes": pa.binary()}
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each slice, how many shingles of this shard each of its documents has alone."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        about = []
+        for shard, number, tags, local, docs, sizes in zip(*(c.to_pylist() for c in batch.columns)):
+            if docs:
+                about.append((number, b"", docs, sizes))
+            else:
+                held.setdefault(shard, []).append((number, np.frombuffer(tags, "<u4"), np.frombuffer(local, "<u2")))
+        if about:
+            yield _batch(_ANSWERED, about)
+    for rows in held.values():
+        tags, local = np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows])
+        order = np.argsort(tags)
+        ordered = tags[order]
+        same = np.zeros(len(order) + 1, bool)
+        same[1:-1] = ordered[1:] == ordered[:-1]
+        alone = np.zeros(len(order), bool)
+        alone[order] = ~(same[1:] | same[:-1])
+        alone &= local != _SEVERAL
+        out, at = [], 0
+        for number, mine, _ in rows:
+            part = slice(at, at + len(mine))
+            at += len(mine)
+            out.append((number, np.bincount(local[part][alone[part]]).astype("<u2").tobytes(), b"", b""))
+        yield _batch(_ANSWERED, out)
+
+
+def _stay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id of the documents of each slice that may be linked."""
+    alone: dict[int, np.ndarray] = {}
+    known = {}
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        for number, counts, docs, sizes in zip(*(c.to_pylist() for c in batch.columns)):
+            if docs:
+                known[number] = (np.frombuffer(docs, "<i8"), np.frombuffer(sizes, "<i8"))
+                continue
+            counts, sum_ = np.frombuffer(counts, "<u2"), alone.setdefault(number, np.zeros(0, np.int64))
+            if len(sum_) < len(counts):
+                sum_ = alone[number] = np.append(sum_, np.zeros(len(counts) - len(sum_), np.int64))
+            sum_[: len(counts)] += counts
+    for number, (docs, sizes) in known.items():
+        sum_ = alone.get(number, np.zeros(0, np.int64))
+        sum_ = np.append(sum_, np.zeros(len(docs) - len(sum_), np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(docs[(sum_ <= sizes // 4) & (sizes > 0)])], ["doc_id"])
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """doc_id of the documents (doc_id, text) that share enough shingles with others to be linked."""
+    shards = pieces(docs, 24)
+    asked = docs.mapInArrow(_ask(shards), "shard int, slice long, tags binary, local binary, docs binary, sizes binary")
+    told = asked.repartitionById(shards, F.col("shard")).mapInArrow(_answer, "slice long, alone binary, docs binary, sizes binary")
+    return told.repartition(shards, "slice").mapInArrow(_stay, "doc_id long").distinct()
+
+
+# --- lists --------------------------------------------------------------------------------------------------------------
+
+_EMITTED = {"shard": pa.int32(), "key": pa.binary(), "doc": pa.binary(), "size": pa.binary()}
 
 
 def _emit(shards: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts("jaccard")
-        for batch in _slices(batches):
-            keys, docs, sizes, bad = [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), _raw(batch.column(1))):
-                elements = shingles(text)
-                sig, good = signatures(elements)
-                keys.append(sig)
-                docs.append(np.full(len(sig), doc))
-                sizes.append(np.full(len(sig), len(elements)))
-                if not good:
-                    bad.append(doc)
-            key, doc, size = np.concatenate(keys), np.concatenate(docs), np.concatenate(sizes)
-            shard = (_mix(key) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
-            rows = [[], [], [], []]
-            for at in np.split(order, cuts[1:]) if len(order) else []:
-                rows[0].append(int(shard[at[0]]))
-                rows[1].append(key[at].tobytes())
-                rows[2].append(doc[at].astype("<i8").tobytes())
-                rows[3].append(size[at].astype("<i4").tobytes())
-            if bad:  # shard -1: what has to meet all sets
-                for column, value in zip(rows, (-1, b"", np.array(bad, "<i8").tobytes(), b"")):
-                    column.append(value)
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["shard", "key", "doc", "size"])
+        for batch in sliced(batches, "text"):
+            elements, counts = sets_of(_raw(batch.column(1)))
+            key, of = signatures(elements, counts)
+            docs = np.array(batch.column(0).to_pylist(), "<i8")
+            rows = [
+                (shard, key[at].tobytes(), docs[of[at]].tobytes(), counts[of[at]].astype("<i4").tobytes())
+                for shard, at in _by_shard((_mix(key) % np.uint64(shards)).astype(np.int64))
+            ]
+            yield _batch(_EMITTED, rows)
 
     return emit
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    key, doc, size = [], [], []
-    for batch in batches:
-        for k, d, s in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-            key.append(np.frombuffer(k, np.uint64)), doc.append(np.frombuffer(d, "<i8")), size.append(np.frombuffer(s, "<i4"))
-    if not key:
-        return
-    key, doc, size = np.concatenate(key), np.concatenate(doc), np.concatenate(size)
-    order = np.lexsort((doc, key))
-    key, doc, size = key[order], doc[order], size[order]
-    starts = np.flatnonzero(np.diff(key, prepend=~key[:1]))
-    ends = np.append(starts[1:], len(key))
-    seen, out = set(), []
-    for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
-        sizes = np.sort(size[a:b])
-        if not (4 * sizes[:-1].astype(np.int64) >= 3 * sizes[1:]).any():  # no two of them can match
-            continue
-        members = np.unique(doc[a:b])
-        if len(members) < 2:
-            continue
-        name = xxhash.xxh128_digest(members.tobytes())
-        if name not in seen:
-            seen.add(name)
-            out.append((name, members))
-            if len(out) >= 20_000:
-                yield _listed(out)
-                out = []
-    if out:
-        yield _listed(out)
+_LISTED = {"name": pa.binary(), "part": pa.int32(), "m": pa.int32(), "pivot": pa.int64(), "docs": pa.list_(pa.int64())}
+
 
+def _lists(block: int):
+    return lambda batches: _listed(batches, block)
 
-def _listed(out: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([
-        pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.list_(pa.int64())),
-    ], ["name", "docs"])
 
+def _listed(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Documents that share a signature, in blocks: name of the list, block, size of the list, its first document, documents."""
+    shards: dict[int, list] = {}
+    for batch in batches:
+        for shard, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            shards.setdefault(shard, []).append([np.frombuffer(x, kind) for x, kind in zip(row, ("<u8", "<i8", "<i4"))])
+    for rows in shards.values():
+        key, doc, size = (np.concatenate([r[i] for r in rows]) for i in range(3))
+        rows.clear()
+        order = np.argsort(key)
+        same = np.zeros(len(order) + 1, bool)
+        same[1:-1] = key[order[1:]] == key[order[:-1]]
+        order = order[same[1:] | same[:-1]]
+        order = order[np.lexsort((doc[order], size[order], key[order]))]
+        key, doc, size = key[order], doc[order], size[order].astype(np.int64)
+        if len(key):
+            yield from _named(*_once(key, doc, size), block)
+
+
+def _once(key: np.ndarray, doc: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Without repeated rows."""
+    keep = np.ones(len(key), bool)
+    keep[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (size[1:] != size[:-1])
+    return key[keep], doc[keep], size[keep]
+
+
+def _named(key: np.ndarray, doc: np.ndarray, size: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
+    edge = np.ones(len(key), bool)
+    edge[1:] = key[1:] != key[:-1]
+    begin = np.flatnonzero(edge)
+    m = np.diff(np.append(begin, len(key)))
+    near = np.zeros(len(key), bool)  # may it match the one before it?
+    near[1:] = ~edge[1:] & (4 * size[:-1] >= 3 * size[1:]) & (doc[1:] != doc[:-1])
+    names = np.stack([np.add.reduceat(_mix(doc.astype(np.uint64) + c), begin) + m.astype(np.uint64) for c in (_A, _B)], 1)
+    order = np.lexsort((names[:, 1], names[:, 0]))
+    new = np.ones(len(order), bool)
+    new[1:] = (names[order[1:]] != names[order[:-1]]).any(1)
+    wanted = np.zeros(len(begin), bool)
+    wanted[order[new]] = True
+    wanted &= np.logical_or.reduceat(near, begin)
+    most = np.clip(BLOCK_SHINGLES // np.maximum.reduceat(size, begin), 2, block)
+    short = np.flatnonzero(wanted & (m <= most))
+    for a in range(0, len(short), 50_000):
+        at = short[a : a + 50_000]
+        flat = pa.array(doc[_ranges(begin[at], m[at])])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(m[at])), pa.int32()), flat)
+        title = pa.array([x.tobytes() for x in names[at]], pa.binary())
+        none = pa.nulls(len(at), pa.int64())
+        columns = [title, pa.array(np.zeros(len(at), np.int32)), pa.array(m[at].astype(np.int32)), none, lists]
+        yield pa.RecordBatch.from_arrays(columns, list(_LISTED))
+    for i in np.flatnonzero(wanted & (m > most)).tolist():
+        members, title = doc[begin[i] : begin[i] + m[i]], names[i].tobytes()
+        for part, a in enumerate(range(0, len(members), int(most[i]))):
+            yield _batch(_LISTED, [(title, part, len(members), members[0], members[a : a + most[i]])])
+
+
+# --- comparing ----------------------------------------------------------------------------------------------------------
 
 #: Elements of a list that are sorted together when sets are compared.
 PIECE = 1 << 20
@@ -204,15 +416,19 @@ def _pieces_of(sets: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
         if size >= PIECE or i + 1 == len(sets):
             flat = np.concatenate(sets[start : i + 1])
             owner = np.repeat(np.arange(start, i + 1, dtype=np.int32), [len(x) for x in sets[start : i + 1]])
-            by = np.argsort(flat, kind="stable")
+            by = np.argsort(flat)
             out.append((flat[by], owner[by]))
             start, size = i + 1, 0
     return out
 
 
-def forest(sets: list[np.ndarray]) -> np.ndarray:
-    """Root (smallest position) of each set under the links of the list. Only sets of different trees are ever compared."""
-    n, roots = len(sets), np.arange(len(sets))
+def forest(sets: list[np.ndarray], roots: np.ndarray | None = None) -> np.ndarray:
+    """Root (a position) of each set under the links of the list. Only sets of different trees are ever compared.
+
+    roots: trees that are known before.
+    """
+    n = len(sets)
+    roots = np.arange(n) if roots is None else roots.copy()
     sizes = np.array([len(s) for s in sets])
     sorted_pieces = _pieces_of(sets)
     for i in range(n):
@@ -222,9 +438,7 @@ def forest(sets: list[np.ndarray]) -> np.ndarray:
         both = np.zeros(n, np.int64)
         for flat, owner in sorted_pieces:
             lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
-            spans = hi - lo
-            at = np.repeat(lo - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
-            both += np.bincount(owner[at], minlength=n)
+            both += np.bincount(owner[_ranges(lo, hi - lo)], minlength=n)
         hit = apart & (100 * both >= 75 * (sizes + sizes[i] - both))
         if hit.any():
             trees = np.append(roots[hit], roots[i])
@@ -232,28 +446,26 @@ def forest(sets: list[np.ndarray]) -> np.ndarray:
     return roots
 
 
-BUCKETS = 256
+_DESCRIBED = {"doc_id": pa.int64(), "n": pa.int64(), "sketch": pa.binary()}
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, n and sketch. The sketch counts elements by hash bucket; null where a count is over 255."""
-    for batch in _slices(batches):
-        rows = [[], [], []]
-        for doc, text in zip(batch.column(0).to_pylist(), _raw(batch.column(1))):
-            elements = shingles(text)
-            counts = np.bincount((elements & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-            sketch = counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else None
-            for column, value in zip(rows, (doc, len(elements), sketch)):
-                column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["doc_id", "n", "sketch"])
+    starts("jaccard")
+    for batch in sliced(batches, "text"):
+        elements, counts = sets_of(_raw(batch.column(1)))
+        bucket = np.repeat(np.arange(len(counts)), counts) * BUCKETS + (elements & np.uint64(BUCKETS - 1)).astype(np.int64)
+        sketch = np.bincount(bucket, minlength=len(counts) * BUCKETS).reshape(-1, BUCKETS)
+        raw = [x.astype(np.uint8).tobytes() if x.max() < 256 else None for x in sketch]
+        yield _batch(_DESCRIBED, list(zip(batch.column(0).to_pylist(), counts.tolist(), raw)))
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed one by one, a third of what the shuffle would make of them."""
+    starts("jaccard")
     packer = zstandard.ZstdCompressor(level=3)
-    for batch in _slices(batches):
-        packed = pa.array([packer.compress(t) for t in _raw(batch.column(1))], pa.binary())
+    for batch in sliced(batches, "text"):
+        packed = pa.array([packer.compress(t or b"") for t in _raw(batch.column(1))], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), packed], ["doc_id", "packed"])
 
 
@@ -261,76 +473,74 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """Rows of one name at a time, from rows sorted by name."""
     rows: list[tuple] = []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if rows and row[0] != rows[0][0]:
-                yield rows
-                rows = []
-            rows.append(row)
+        for at in range(0, batch.num_rows, 256):
+            for row in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns)):
+                if rows and row[0] != rows[0][0]:
+                    yield rows
+                    rows = []
+                rows.append(row)
     if rows:
         yield rows
 
 
-def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists without the documents that can match no document of another component, by an upper bound on common elements."""
-    out = []
-    for name, docs, pairs in _may_match(batches):
-        keep = np.zeros(len(docs), bool)
-        for i, partners in pairs:
-            keep[partners] = keep[i] = True
-        if keep.any():
-            out.append((name, docs[keep]))
-        if len(out) >= 20_000:
-            yield _listed(out)
-            out = []
-    if out:
-        yield _listed(out)
+_SCREENED = {"name": pa.binary(), "docs": pa.list_(pa.int64())}
 
 
-def _screen_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of different components that may match by that bound."""
-    for _, docs, pairs in _may_match(batches):
-        for i, partners in pairs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(partners), docs[i])), pa.array(docs[partners])], ["a", "b"])
-
-
-def _may_match(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, np.ndarray, list[tuple[int, np.ndarray]]]]:
-    """Name, documents and (position, positions of partners) of each list."""
+def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of documents that may match one another: by an upper bound on common elements, and not yet in one component."""
+    starts("jaccard")
+    out = []
     for rows in _grouped(batches):
         _, docs, component, n, sketch = zip(*rows)
-        component, n = np.array(component), np.array(n)
+        docs, component, n = np.array(docs), np.array(component), np.array(n)
         if (component == component[0]).all():
             continue
         open_end = np.array([x is None for x in sketch])
         counts = np.array([np.frombuffer(x or bytes(BUCKETS), np.uint8) for x in sketch])
         names, sizes = np.unique(component, return_counts=True)
-        out = []
+        trees, touched = np.arange(len(docs)), np.zeros(len(docs), bool)
         # of two documents of different components, one at least is not of the largest
         for i in np.flatnonzero(component != names[sizes.argmax()]).tolist():
             near = np.flatnonzero((component != component[i]) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i])))
             most = np.minimum(counts[i], counts[near]).sum(1, dtype=np.int64)
             may = near[(100 * most >= 75 * (n[near] + n[i] - most)) | open_end[near] | open_end[i]]
             if len(may):
-                out.append((i, may))
-        if out:
-            yield rows[0][0], np.array(docs), out
+                touched[i] = touched[may] = True
+                joined = np.append(trees[may], trees[i])
+                trees[np.isin(trees, joined)] = joined.min()
+        for tree in np.unique(trees[touched]).tolist():
+            found = np.unique(docs[(trees == tree) & touched])
+            name = b"".join(int(_mix(found.astype(np.uint64) + c).sum(dtype=np.uint64)).to_bytes(8, "little") for c in (_A, _B))
+            out.append((name, found))
+        if len(out) >= 20_000:
+            yield _batch(_SCREENED, out)
+            out = []
+    if out:
+        yield _batch(_SCREENED, out)
+
+
+_LINKS = {"a": pa.int64(), "b": pa.int64()}
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (name, doc_id, packed text) sorted by name: links between each document and the root of its tree."""
+    """Rows (name, doc_id, component, packed text) sorted by name: links between each document and the root of its tree."""
+    starts("jaccard")
     reader, links = zstandard.ZstdDecompressor(), []
     for rows in _grouped(batches):
         docs = [r[1] for r in rows]
-        roots = forest([shingles(reader.decompress(r[2])) for r in rows])
-        links += [(docs[r], d) for r, d in zip(roots.tolist(), docs) if docs[r] != d]
+        known = np.unique([r[2] for r in rows], return_inverse=True)[1]
+        if len(rows) < 2 or (known == known[0]).all():
+            continue
+        first = np.full(len(rows), len(rows))
+        np.minimum.at(first, known, np.arange(len(rows)))
+        before = first[known]
+        roots = forest([shingles(reader.decompress(r[3])) for r in rows], before)
+        links += [(docs[r], d) for r, d, b in zip(roots.tolist(), docs, before.tolist()) if r != b and docs[r] != d]
         if len(links) > 50_000:
-            yield _linked(links)
+            yield _batch(_LINKS, links)
             links = []
     if links:
-        yield _linked(links)
-
-
-def _linked(links: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+        yield _batch(_LINKS, links)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -355,164 +565,123 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _side(df: DataFrame, most: int = 400_000) -> DataFrame:
-    """Broadcast a narrow table, but only if it is counted to have at most `most` rows (some 20 MB); else it is shuffled."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def _within(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Semi or anti join on doc_id."""
-    return docs.join(_side(ids), "doc_id", how)
+    return docs.join(side(ids), "doc_id", how)
 
 
-def _bounded(lists: DataFrame) -> DataFrame:
-    """Lists longer than two blocks as lists of every two of their blocks."""
-    n = F.ceil(F.size("docs") / F.lit(BLOCK)).cast("int")
-    block = lambda i: F.slice("docs", i * BLOCK + 1, BLOCK)
-    pairs = F.flatten(
-        F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.transform(F.sequence(i + 1, n - 1), lambda j: F.concat(block(i), block(j))))
-    )
-    cut = lists.select("name", F.explode(F.when(n > 2, pairs).otherwise(F.array("docs"))).alias("docs"))
-    return cut.select(F.concat("name", F.unhex(F.lpad(F.hex(F.xxhash64("docs")), 16, "0"))).alias("name"), "docs")
+def _copies(known: DataFrame) -> DataFrame:
+    """(doc_id, first): documents whose text another one of smaller doc_id has, too.
+
+    A text that more than a thousandth of the rows have is joined by broadcast (there are at most a thousand of them), so no
+    key of the shuffled join is larger.
+    """
+    hashed = written(known.select("doc_id", F.sha2("text", 256).alias("h")), "texts")
+    bound = max(1000, hashed.count() // 1000)
+    groups = written(hashed.groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
+    hot, rest = F.broadcast(groups.where(F.col("n") > bound)), groups.where(F.col("n") <= bound)
+    common = hashed.join(hot, "h")
+    other = hashed.join(hot.select("h"), "h", "left_anti").join(side(rest), "h")
+    return common.union(other).where("doc_id <> first").select("doc_id", "first")
 
 
 def _sorted(rows: DataFrame, parts: int) -> DataFrame:
     return rows.repartition(parts, "name").sortWithinPartitions("name", "doc_id")
 
 
-def _spanning(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Lists whose documents are in more than one component."""
-    rows = lists.select("name", F.explode("docs").alias("doc_id")).join(_side(labels.withColumnRenamed("node", "doc_id")), "doc_id", "left")
-    where = F.coalesce("component", "doc_id")
-    several = rows.groupBy("name").agg(F.min(where).alias("lo"), F.max(where).alias("hi")).where("lo < hi").select("name")
-    return lists.join(_side(written(several, "spanning")), "name", "left_semi")
-
-
-def _wide(lists: DataFrame, sketches: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows of the lists with component and sketch of each document."""
-    rows = lists.select("name", F.explode("docs").alias("doc_id"))
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows with the component of their doc_id, itself without one."""
     if labels is None:
-        rows = rows.withColumn("component", F.col("doc_id"))
-    else:
-        rows = rows.join(_side(labels.withColumnRenamed("node", "doc_id")), "doc_id", "left")
-        rows = rows.withColumn("component", F.coalesce("component", "doc_id"))
-    return rows.join(sketches, "doc_id").select("name", "doc_id", "component", "n", "sketch")
+        return rows.withColumn("component", F.col("doc_id"))
+    named = rows.join(side(labels.withColumnRenamed("node", "doc_id")), "doc_id", "left")
+    return named.withColumn("component", F.coalesce("component", "doc_id"))
+
 
+def _unsettled(lists: DataFrame, done: DataFrame, labels: DataFrame) -> DataFrame:
+    """(name, doc_id, component): lists, and two blocks of one list, whose documents are in more than one component.
 
-def _stars(pairs: DataFrame) -> DataFrame:
-    """(name, doc_id): each document with its partners, in blocks of bounded size."""
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
-    dealt = pairs.join(parts, "a").withColumn("k", F.pmod(F.xxhash64("b"), F.col("k")))
-    name = F.unhex(F.concat(F.lpad(F.hex("a"), 16, "0"), F.lpad(F.hex("k"), 16, "0")))
-    rows = dealt.select(name.alias("name"), "a", "b")
-    return rows.select("name", F.col("b").alias("doc_id")).union(rows.select("name", "a").distinct())
+    done: names of the lists whose blocks have been compared, each by itself.
+    """
+    title = F.concat("name", F.unhex(F.lpad(F.hex("part"), 8, "0"))).alias("title")
+    blocks = lists.select("name", "part", title, F.col("pivot").isNotNull().alias("cut"), F.explode("docs").alias("doc_id"))
+    rows = _labelled(blocks, labels)
+    spans = rows.groupBy("name", "part", "title", "cut").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    spans = written(spans.where("cut or lo < hi"), "spans")
+    inside = spans.where("lo < hi").join(side(done), "name", "left_anti").select("title", F.col("title").alias("pair"))
+    cut = spans.where("cut")
+    one, two = (cut.select("name", *(F.col(c).alias(f"{c}_{k}") for c in ("part", "title", "lo", "hi"))) for k in "ij")
+    across = one.join(two, "name").where("part_i < part_j and (lo_i < hi_i or lo_j < hi_j or lo_i <> lo_j)")
+    across = across.select("title_i", "title_j", F.concat("title_i", "title_j").alias("pair"))
+    ends = across.select(F.col("title_i").alias("title"), "pair").union(across.select(F.col("title_j").alias("title"), "pair"))
+    return rows.join(side(written(inside.union(ends), "unsettled")), "title").select(F.col("pair").alias("name"), "doc_id", "component")
 
 
 def _compared(few: DataFrame, docs: DataFrame, parts: int, name: str) -> DataFrame:
-    """Links found within the lists (name, doc_id): each text is compressed before it goes to its lists."""
+    """Links found within the lists (name, doc_id, component): each text is compressed before it goes to its lists."""
+    few = written(few.distinct(), f"{name}-rows")
     packed = _within(docs, few.select("doc_id").distinct(), "left_semi").select("doc_id", "text").mapInArrow(_packed, "doc_id long, packed binary")
-    texts = packed.join(_side(few, 200_000), "doc_id").select("name", "doc_id", "packed")
+    texts = packed.join(side(few), "doc_id").select("name", "doc_id", "component", "packed")
     return written(_sorted(texts, parts).mapInArrow(_verify, "a long, b long").distinct(), f"{name}-links")
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """(a, b): links that connect exactly what the Jaccard links of `docs` (doc_id, text) connect."""
-    known = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    hashed = known.select("doc_id", F.sha2("text", 256).alias("h"))
-    groups = hashed.groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = hashed.join(groups, "h").where("doc_id <> first").select("doc_id", "first")
-    copies = written(copies, "copies")
+def links(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(a, b): links that connect exactly what the Jaccard links of `docs` (doc_id, text) connect.
+
+    block: the most documents that are compared in one task; longer lists are compared block by block.
+    """
+    known = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(HAS_WORD)).select("doc_id", "text")
+    copies = written(_copies(known), "copies")
     # a doc_id of several texts stays: it may be a copy by one and not by another
     several = known.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    spare = copies.select("doc_id").distinct().join(several, "doc_id", "left_anti")
+    spare = written(copies.select("doc_id").distinct().join(several, "doc_id", "left_anti"), "spare")
     first = _within(known, spare, "left_anti")
-    shards = pieces(docs, 12)
-    emitted = first.mapInArrow(_emit(shards), "shard long, key binary, doc binary, size binary")
-    dealt = emitted.repartitionById(shards + 1, (F.col("shard") + 1).cast("int"))
-    made = written(dealt.mapInArrow(_route, "name binary, docs array<long>"), "lists")
-    lists = written(_bounded(made.where("name is not null").dropDuplicates(["name"])), "distinct-lists")
-    members = lists.select(F.explode("docs").alias("doc_id")).distinct()
-    near = _within(first, members, "left_semi").select("doc_id", "text")
-    sketches = written(near.mapInArrow(_described, "doc_id long, n long, sketch binary"), "sketches")
+    near = _within(first, written(candidates(first), "candidates"), "left_semi")
+    shards, parts = pieces(docs, 24), pieces(docs, 12)
+    emitted = near.mapInArrow(_emit(shards), "shard int, key binary, doc binary, size binary")
+    made = emitted.repartitionById(shards, F.col("shard")).mapInArrow(_lists(block), "name binary, part int, m int, pivot long, docs array<long>")
+    lists = written(made.dropDuplicates(["name", "part"]), "lists")
     # each document's longest list first: for most groups of near copies these few lists connect all of them
-    place = F.max(F.struct(F.size("docs").alias("n"), "name"))["name"].alias("name")
-    longest = lists.select("name", "docs", F.explode("docs").alias("doc_id")).groupBy("doc_id").agg(place).select("name").distinct()
+    place = F.max(F.struct("m", "name"))["name"].alias("name")
+    longest = lists.select("name", "m", F.explode("docs").alias("doc_id")).groupBy("doc_id").agg(place).select("name").distinct()
     longest = written(longest, "longest")
-    parts = pieces(docs, 12)
-    wide = _wide(lists.join(_side(longest), "name", "left_semi"), sketches, None)
-    left = written(_sorted(wide, parts).mapInArrow(_screen, "name binary, docs array<long>"), "first-lists")
-    found = _compared(left.select("name", F.explode("docs").alias("doc_id")), first, parts, "first")
+    chosen = lists.join(side(longest), "name", "left_semi")
+    title = F.concat("name", F.unhex(F.lpad(F.hex("part"), 8, "0"))).alias("name")
+    tied = F.when(F.col("pivot").isNull(), F.col("docs")).otherwise(F.array_union("docs", F.array("pivot")))
+    found = _compared(_labelled(chosen.select(title, F.explode(tied).alias("doc_id")), None), near, parts, "first")
     labels = components(found)
-    wide = _wide(_spanning(lists.join(_side(longest), "name", "left_anti"), labels), sketches, labels)
-    pairs = written(_sorted(wide, parts).mapInArrow(_screen_pairs, "a long, b long").distinct(), "pairs")
-    rest = _compared(_stars(pairs), first, parts, "second")
-    every = found.union(rest).union(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
-    odd = [x for r in made.where("name is null").select("docs").collect() for x in r["docs"]]
-    if odd:  # sets that the pigeonhole does not cover, as good as never: a stated query set against all rows
-        every = every.union(_against_all(first, odd))
-    # copies of texts without words are linked with nothing
-    words = known.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select("doc_id").distinct()
-    blank = known.where(~F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select("doc_id").join(words, "doc_id", "left_anti")
-    return every.join(blank.withColumnRenamed("doc_id", "a").distinct(), "a", "left_anti")
-
-
-def _route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, odd = [], []
-    for batch in batches:
-        special = np.array(batch.column(0).to_pylist(), np.int64) < 0
-        odd += [np.frombuffer(x, "<i8") for x in batch.column(2).filter(pa.array(special)).to_pylist()]
-        held.append(batch.filter(pa.array(~special)))
-    if odd:
-        kinds = (pa.binary(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((None, np.concatenate(odd)), kinds)], ["name", "docs"])
-    yield from _lists(iter(held))
-
-
-def _against_all(docs: DataFrame, odd: list[int]) -> DataFrame:
-    spark = docs.sparkSession
-    asked = docs.where(F.col("doc_id").isin(odd)).toArrow()
-    sets = spark.sparkContext.broadcast([(d, shingles(t.encode())) for d, t in zip(asked["doc_id"].to_pylist(), asked["text"].to_pylist())])
-
-    def scan(batches):
-        for batch in batches:
-            out = []
-            for d, t in zip(batch.column(0).to_pylist(), _raw(batch.column(1))):
-                mine = shingles(t)
-                for other, theirs in sets.value:
-                    if other != d and linked(len(mine), len(theirs), len(np.intersect1d(mine, theirs, True))):
-                        out.append((min(d, other), max(d, other)))
-            if out:
-                yield _linked(out)
-
-    return docs.select("doc_id", "text").mapInArrow(scan, "a long, b long")
+    open_ = written(_unsettled(lists, longest, labels), "open")
+    sketches = _within(near, open_.select("doc_id").distinct(), "left_semi").mapInArrow(_described, "doc_id long, n long, sketch binary")
+    wide = open_.join(side(written(sketches, "sketches"), 100_000), "doc_id").select("name", "doc_id", "component", "n", "sketch")
+    left = _sorted(wide, parts).mapInArrow(_screen, "name binary, docs array<long>").dropDuplicates(["name"])
+    rest = _compared(_labelled(left.select("name", F.explode("docs").alias("doc_id")), labels), near, parts, "second")
+    return found.union(rest).union(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
 
 
-def _counted(texts: pa.Array) -> pa.Array:
-    return pa.array([len(shingles(t)) for t in _raw(texts)], pa.int64())
-
-
-def join(docs: DataFrame) -> DataFrame:
+def join(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of `docs` (doc_id, text)."""
 
     @F.arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
-        return _counted(texts)
+        starts("jaccard")
+        parts = [sets_of(_raw(x.column(0)))[1] for x in sliced([pa.record_batch([texts], ["text"])], "text")]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.int64())
 
-    labels = components(written(links(docs), "links"))
+    labels = components(written(links(docs, block), "links"))
     sized = docs.select("doc_id", count("text").alias("n_shingles"))
-    return sized.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+    return sized.join(side(labels.withColumnRenamed("node", "doc_id")), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, that are kept: the smallest doc_id of each component, one row of it."""
+    """The rows of `docs`, all columns, that are kept: the smallest doc_id of each component, of its rows the first by content."""
     labels = components(written(links(docs), "links"))
     gone = labels.where("component < node").select(F.col("node").alias("doc_id"))
     kept = _within(docs, gone, "left_anti")
     several = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
     if several.limit(1).count():
-        once = _within(kept, several, "left_semi").dropDuplicates(["doc_id"])
+        rows = _within(kept, several, "left_semi").select("doc_id", F.struct(*docs.columns).alias("row"))
+        once = rows.groupBy("doc_id").agg(F.min("row").alias("row")).select("row.*")
         kept = _within(kept, several, "left_anti").unionByName(once)
     return kept
 

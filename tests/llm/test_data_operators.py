@@ -162,32 +162,61 @@ def test_join_equals_brute_force(spark, words):
     assert {(r["doc_id"], r["component_id"]) for r in out} == {(d, want.get(d)) for d, _ in rows}
 
 
+def test_shingles_equal_brute_force():
+    rng = random.Random(1)
+    pick = ["a", "b", "Ab", "ab", "é" * 3, "x" * 300, "x" * 299 + "y", "\n", "\x1c", "\u00a0"]
+    texts = [None, b"", *(" ".join(rng.choices(pick, k=rng.choice([0, 1, 3, 4, 5, 6, 20, 200]))).encode() for _ in range(150))]
+    elements, counts = jaccard.sets_of(texts)
+    sets = np.split(elements, np.cumsum(counts)[:-1])
+    words = [(t or b"").lower().split() for t in texts]
+    plain = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    assert counts.tolist() == [len(x) for x in plain]
+    for _ in range(1500):
+        i, j = rng.randrange(len(texts)), rng.randrange(len(texts))
+        assert len(plain[i] & plain[j]) == len(np.intersect1d(sets[i], sets[j]))
+
+
 def test_signatures_are_shared_by_all_matching_sets():
+    """Pairs at and above the threshold, of all sizes; some sets are so small or so uneven that they need the further partitionings."""
     rng = np.random.default_rng(4)
-    for n in [1, 2, 3, 4, 8, 20, 32, 33, 40, 43, 57, 90, 130, 300, 520, 900, 3000]:
-        for _ in range(30):
-            a = np.unique(rng.integers(0, (1 << 64) - 1, n, dtype=np.uint64))
-            drop = rng.integers(0, n // 7 + 1)
-            add = rng.integers(0, n // 3 + 1)
-            b = np.unique(np.concatenate([rng.permutation(a)[: len(a) - drop], rng.integers(0, (1 << 64) - 1, add, dtype=np.uint64)]))
-            if len(b) and jaccard.linked(len(a), len(b), len(np.intersect1d(a, b))):
-                x, y = jaccard.signatures(a), jaccard.signatures(b)
-                assert x[1] and y[1] and len(np.intersect1d(x[0], y[0])), (n, len(b))
-
-
-def test_forest_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    for n in [*range(1, 40), 66, 67, 90, 130, 300, 520, 900, 3000]:
+        for _ in range(40):
+            m = int(rng.integers(n, 4 * n // 3 + 1))
+            least = -(-3 * (n + m) // 7)
+            if least > n:
+                continue
+            both = least if rng.random() < 0.7 else int(rng.integers(least, n + 1))
+            pool = rng.integers(0, (1 << 64) - 1, n + m - both, dtype=np.uint64)
+            assert jaccard.linked(n, m, both) and len(np.unique(pool)) == len(pool)
+            keys, of = jaccard.signatures(np.concatenate([np.sort(pool[:n]), np.sort(pool[n - both :])]), np.array([n, m]))
+            assert len(np.intersect1d(keys[of == 0], keys[of == 1])), (n, m, both)
+
+
+def test_uneven_sets_are_covered(monkeypatch):
+    """All elements in one corner of the domain: no partitioning by the first hash covers them, and the prefix filter comes last."""
+    rng = np.random.default_rng(5)
+    for seeds in (1, 2, 8):
+        monkeypatch.setattr(jaccard, "SEEDS", seeds)
+        for n in (1, 2, 5, 9, 30, 70, 400):
+            pool = np.unique(rng.integers(0, 1 << 30, 3 * n, dtype=np.uint64))[: n + n // 7]
+            a, b = pool[:n], pool[n // 7 :] if n > 6 else pool[:n]
+            if jaccard.linked(len(a), len(b), len(np.intersect1d(a, b))):
+                keys, of = jaccard.signatures(np.concatenate([a, b]), np.array([len(a), len(b)]))
+                assert len(np.intersect1d(keys[of == 0], keys[of == 1])), (seeds, n)
+
+
+def test_only_documents_that_can_match_send_signatures(spark):
+    rows = _near_copies(2, 3, 3, 300)
+    alone = [(100 + i, " ".join(f"w{i}x{j}" for j in range(300))) for i in range(30)]
+    left = {r["doc_id"] for r in jaccard.candidates(_frame(spark, rows + alone)).collect()}
+    assert {d for d, _ in rows} <= left and len(left & {d for d, _ in alone}) <= 2
+
+
+@pytest.mark.parametrize("block", [2, 4, 512])
+def test_lists_in_blocks(spark, block):
     rows = _near_copies(1, 2, 30, 80)
-    out = jaccard.join(_frame(spark, rows)).collect()
-    want = _components(rows)
-    assert {r["doc_id"]: r["component_id"] for r in out} == want
-
-
-def test_sets_beyond_the_pigeonhole_meet_all_rows(spark):
-    rows = _near_copies(8, 3, 3, 50)
-    found = jaccard._against_all(_frame(spark, rows), [0, 4]).collect()
-    want = _components(rows)
-    assert {want[r["a"]] == want[r["b"]] for r in found} == {True} and {r["a"] for r in found} | {r["b"] for r in found} >= {0, 4}
+    out = jaccard.join(_frame(spark, rows), block).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == _components(rows)
 
 
 def test_representatives_and_empty_tables(spark):
