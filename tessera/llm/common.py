@@ -117,3 +117,29 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, rows: int = 1_000, si
             end = min(at + rows, max(at + 1, int(np.searchsorted(upto, before + size, "right"))))
             yield batch.slice(at, end - at)
             at = end
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each 64-bit number."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: A random number for each byte at each place of a word; a word's code is their sum.
+_PLACED = mixed(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices begin[0], begin[0] + 1, ..., then those from begin[1] on, and so on."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
+def word_codes(letters: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit code of each word; `letters` are the bytes of the words, one word after another, each of at least one byte."""
+    begin = np.cumsum(size) - size
+    place = np.arange(len(letters)) - np.repeat(begin, size)
+    value = _PLACED[((place & 255) << 8) | letters]
+    if size.max(initial=0) > 256:
+        value *= (2 * (place >> 8) + 1).astype(np.uint64)
+    return (np.add.reduceat(value, begin) if len(size) else np.zeros(0, np.uint64)) + size.astype(np.uint64)

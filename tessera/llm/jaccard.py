@@ -18,9 +18,10 @@ set has is linked with nothing. It sends some bytes for each of them and no sign
 
 Sets that share a signature form a list. Lists are cut into blocks of bounded size; each is compared exactly in one task,
 which gives a spanning forest, so thousands of near copies cost no pairs among them. A first round takes each document's
-longest list, its blocks tied together by one member; a second takes every list (and every two blocks of a list) whose
-documents are not yet connected. There, sketches (element counts by hash bucket) bound the common elements from above before
-any text moves. Both rounds together miss no link.
+longest list, its blocks tied together by one member; a second looks at every list (and every two blocks of a list) whose
+documents are not yet connected. There, sketches (element counts by hash bucket) bound the common elements from above. Only
+documents that may match by that bound are compared, once for all lists: those that such possible links connect go to one
+task, or, where they are many, block by block. Both rounds together miss no link.
 
 One task holds the ids (20 bytes each) of those that share one signature, but never their texts.
 
@@ -42,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HAS_WORD, pieces, side, sliced, starts, table, written
+from .common import HAS_WORD, mixed as _mix, pieces, ranges, side, sliced, starts, table, word_codes, written
 
 SHINGLE = 5
 #: Independent partitionings before the prefix filter.
@@ -58,18 +59,10 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _32 = np.uint64(32)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _B
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[9, 10, 11, 12, 13, 32]] = False
-#: A random number for each byte at each place of a word; a word's code is their sum.
-_PLACED = _mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * _A)
 
 
 def _codes(raw: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
@@ -78,13 +71,7 @@ def _codes(raw: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
     for a in range(0, len(heads), 1 << 16):
         head, tail = heads[a : a + (1 << 16)], tails[a : a + (1 << 16)]
         part = raw[head[0] : tail[-1]]
-        part, size = _LOWER[part[_IS_WORD[part]]], tail - head
-        begin = np.cumsum(size) - size
-        place = np.arange(len(part)) - np.repeat(begin, size)
-        value = _PLACED[((place & 255) << 8) | part]
-        if size.max() > 256:
-            value *= (2 * (place >> 8) + 1).astype(np.uint64)
-        out[a : a + (1 << 16)] = np.add.reduceat(value, begin) + size.astype(np.uint64)
+        out[a : a + (1 << 16)] = word_codes(_LOWER[part[_IS_WORD[part]]], tail - head)
     return _mix(out)
 
 
@@ -146,14 +133,9 @@ _FIRST = np.maximum(1, -(-(_BANDS[1:] - 1) // 5))
 _SECOND = np.where(_BANDS[1:] - 1 <= FINE, 1 << 12, THIRDS)
 
 
-def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Indices begin[0], begin[0] + 1, ..., then those from begin[1] on, and so on."""
-    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-
-
 def _under(elements: np.ndarray, begin: np.ndarray, size: np.ndarray, band: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Signatures of sets under one partitioning, the set of each, and each set's first-level partitions that count."""
-    h, owner = elements[_ranges(begin, size)], np.repeat(np.arange(len(size)), size)
+    h, owner = elements[ranges(begin, size)], np.repeat(np.arange(len(size)), size)
     where = h
     if seed:
         where = _mix(h + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
@@ -198,7 +180,7 @@ def signatures(elements: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np
     if len(who):
         size = counts[who] // 4 + 1
         salt = np.repeat(_mix((band + 1).astype(np.uint64) * _B), size)
-        keys.append(_mix(elements[_ranges(begin[who], size)] + salt)), docs.append(np.repeat(who, size))
+        keys.append(_mix(elements[ranges(begin[who], size)] + salt)), docs.append(np.repeat(who, size))
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(keys), np.concatenate(docs)
@@ -390,7 +372,7 @@ def _named(key: np.ndarray, doc: np.ndarray, size: np.ndarray, block: int) -> It
     short = np.flatnonzero(wanted & (m <= most))
     for a in range(0, len(short), 50_000):
         at = short[a : a + 50_000]
-        flat = pa.array(doc[_ranges(begin[at], m[at])])
+        flat = pa.array(doc[ranges(begin[at], m[at])])
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(m[at])), pa.int32()), flat)
         title = pa.array([x.tobytes() for x in names[at]], pa.binary())
         none = pa.nulls(len(at), pa.int64())
@@ -438,7 +420,7 @@ def forest(sets: list[np.ndarray], roots: np.ndarray | None = None) -> np.ndarra
         both = np.zeros(n, np.int64)
         for flat, owner in sorted_pieces:
             lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
-            both += np.bincount(owner[_ranges(lo, hi - lo)], minlength=n)
+            both += np.bincount(owner[ranges(lo, hi - lo)], minlength=n)
         hit = apart & (100 * both >= 75 * (sizes + sizes[i] - both))
         if hit.any():
             trees = np.append(roots[hit], roots[i])
@@ -483,43 +465,41 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield rows
 
 
-_SCREENED = {"name": pa.binary(), "docs": pa.list_(pa.int64())}
+_LINKS = {"a": pa.int64(), "b": pa.int64()}
 
 
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of documents that may match one another: by an upper bound on common elements, and not yet in one component."""
+    """Edges that connect the documents of a list that may match: by an upper bound on common elements, and not yet in one component.
+
+    At most one edge for each document of a list, not one for each pair.
+    """
     starts("jaccard")
     out = []
     for rows in _grouped(batches):
         _, docs, component, n, sketch = zip(*rows)
-        docs, component, n = np.array(docs), np.array(component), np.array(n)
+        component, n = np.array(component), np.array(n)
         if (component == component[0]).all():
             continue
         open_end = np.array([x is None for x in sketch])
         counts = np.array([np.frombuffer(x or bytes(BUCKETS), np.uint8) for x in sketch])
         names, sizes = np.unique(component, return_counts=True)
-        trees, touched = np.arange(len(docs)), np.zeros(len(docs), bool)
+        trees = np.arange(len(docs))
         # of two documents of different components, one at least is not of the largest
         for i in np.flatnonzero(component != names[sizes.argmax()]).tolist():
-            near = np.flatnonzero((component != component[i]) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i])))
+            near = np.flatnonzero(
+                (trees != trees[i]) & (component != component[i]) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i]))
+            )
             most = np.minimum(counts[i], counts[near]).sum(1, dtype=np.int64)
             may = near[(100 * most >= 75 * (n[near] + n[i] - most)) | open_end[near] | open_end[i]]
             if len(may):
-                touched[i] = touched[may] = True
                 joined = np.append(trees[may], trees[i])
                 trees[np.isin(trees, joined)] = joined.min()
-        for tree in np.unique(trees[touched]).tolist():
-            found = np.unique(docs[(trees == tree) & touched])
-            name = b"".join(int(_mix(found.astype(np.uint64) + c).sum(dtype=np.uint64)).to_bytes(8, "little") for c in (_A, _B))
-            out.append((name, found))
+        out += [(docs[t], docs[i]) for i, t in enumerate(trees.tolist()) if docs[t] != docs[i]]
         if len(out) >= 20_000:
-            yield _batch(_SCREENED, out)
+            yield _batch(_LINKS, out)
             out = []
     if out:
-        yield _batch(_SCREENED, out)
-
-
-_LINKS = {"a": pa.int64(), "b": pa.int64()}
+        yield _batch(_LINKS, out)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -616,6 +596,21 @@ def _unsettled(lists: DataFrame, done: DataFrame, labels: DataFrame) -> DataFram
     return rows.join(side(written(inside.union(ends), "unsettled")), "title").select(F.col("pair").alias("name"), "doc_id", "component")
 
 
+def _together(may: DataFrame, labels: DataFrame, sketches: DataFrame, block: int) -> DataFrame:
+    """(name, doc_id, component): documents that edges of `may` connect, each group as a list, or as every two of its blocks."""
+    rows = _labelled(components(may).select(F.col("node").alias("doc_id"), F.col("component").alias("g")), labels)
+    rows = written(rows.join(side(sketches.groupBy("doc_id").agg(F.max("n").alias("n"))), "doc_id"), "together")
+    half = block / 2
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / half), F.ceil(2 * F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    spans = rows.groupBy("g").agg(blocks.alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    k = F.when(F.col("k") == 2, 1).otherwise(F.col("k"))  # two halves are one block
+    dealt = rows.join(side(written(spans.where("lo < hi").select("g", k.alias("k")), "groups")), "g")
+    own = F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int")
+    title = lambda *x: F.unhex(F.concat(*(F.lpad(F.hex(c), n, "0") for c, n in zip(x, (16, 8, 8)))))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: title(F.col("g"), F.least(own, j), F.greatest(own, j)))
+    return dealt.select(F.explode(pairs).alias("name"), "doc_id", "component")
+
+
 def _compared(few: DataFrame, docs: DataFrame, parts: int, name: str) -> DataFrame:
     """Links found within the lists (name, doc_id, component): each text is compressed before it goes to its lists."""
     few = written(few.distinct(), f"{name}-rows")
@@ -651,9 +646,10 @@ def links(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     labels = components(found)
     open_ = written(_unsettled(lists, longest, labels), "open")
     sketches = _within(near, open_.select("doc_id").distinct(), "left_semi").mapInArrow(_described, "doc_id long, n long, sketch binary")
-    wide = open_.join(side(written(sketches, "sketches"), 100_000), "doc_id").select("name", "doc_id", "component", "n", "sketch")
-    left = _sorted(wide, parts).mapInArrow(_screen, "name binary, docs array<long>").dropDuplicates(["name"])
-    rest = _compared(_labelled(left.select("name", F.explode("docs").alias("doc_id")), labels), near, parts, "second")
+    sketches = written(sketches, "sketches")
+    wide = open_.join(side(sketches, 100_000), "doc_id").select("name", "doc_id", "component", "n", "sketch")
+    may = written(_sorted(wide, parts).mapInArrow(_screen, "a long, b long").distinct(), "may")
+    rest = _compared(_together(may, labels, sketches, block), near, parts, "second")
     return found.union(rest).union(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
 
 

@@ -6,8 +6,8 @@ the index: place, size and plane lengths of each block, and doc_id and length of
 the rows out with an empty skippable frame as separator, so files are committed like any other output and any file system
 works. A reader finds the index from the end of the file.
 
-Tokenizing: texts are cut where the tokenizer certainly starts a new token (a single space or line feed between printable
-characters); the ids of each piece are kept in a bounded cache. Texts with anything unusual are encoded whole.
+Tokenizing: texts are cut where the tokenizer certainly starts a new token; the ids of each piece are kept in a bounded
+cache. Texts with anything unusual are encoded whole.
 
 Defined results: null and empty texts are a single end id; null doc_ids come first; equal doc_ids stay together, ordered by
 content; repeated rows are written each; an empty table gives files without blocks; other columns are ignored.
@@ -30,24 +30,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keeps, pieces, scratch_path, starts, table, written
+from .common import keeps, mixed, pieces, ranges, scratch_path, sliced, starts, table, word_codes, written
 from .warc import EMPTY_FRAME
 
 INDEX_MAGIC = 0x184D2A5E
 TAIL = b"BPIX"
 BLOCK = 1 << 16
-PRINTABLE = frozenset(map(chr, [*range(0x21, 0x7F), *range(0xC0, 0x250)]))
-_LINE = PRINTABLE | {" ", "\n"}
-#: Texts of these only: a comma or full stop after a letter is a token of its own.
-_PROSE = frozenset(c for c in PRINTABLE if c.isalpha() or c.isdigit() and c.isascii()) | {" ", "\n", ",", "."}
-_PAIRS = (",,", ",.", ".,", "..")
-#: Stand-ins for a comma and a full stop cut off from the word before them.
-_COMMA, _STOP = "\x01", "\x02"
-#: Pieces after a space, and at the head of a line, that a cache remembers at least; it holds at most twice as many, at some
-#: 200 bytes each, so about 80 MB for a Python worker.
-_RECENT, _HEADS = 150_000, 50_000
-#: Bytes of the ids that a remembered piece may have; longer pieces are encoded each time.
-_LONGEST = 64
+#: Bytes of texts that are cut: printable ASCII, space, line feed, and the letters (and two signs) from U+00C0 to U+023F.
+_CUT = np.zeros(256, bool)
+_CUT[[0x0A, *range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC3, 0xC9)]] = True
+#: Marks that make one word of the tokenizer where they follow one another; no apostrophe, which may begin one.
+_MARKS = "".join(chr(c) for c in range(0x21, 0x7F) if not chr(c).isalnum() and c != 0x27)
+_ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
+#: Pieces that a Python worker remembers at most, at some 40 bytes each, and how many new ones are put among them at a time.
+_MOST, _FRESH = 1_500_000, 200_000
+#: Bytes of text that are cut into pieces at a time.
+_SLICE = 1 << 21
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -61,37 +59,40 @@ def _stand_ins() -> dict[int, str]:
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     other = iter(range(0x100, 0x200))
     of = [chr(b) if b in plain else chr(next(other)) for b in range(0x100)]
-    return {c: "".join(of[b] for b in chr(c).encode()) for c in (0x20, *(ord(c) for c in PRINTABLE))}
+    return {c: "".join(of[b] for b in chr(c).encode()) for c in (*range(0x20, 0x7F), *range(0xC0, 0x240))}
 
 
-class _Pieces(dict):
-    """Ids of a piece, as little-endian bytes, encoded when first asked for.
+class _Known:
+    """Pieces, told apart by two 64-bit hashes and sorted by the first, and the ids of each."""
 
-    Two generations: new pieces go into the dictionary itself; when it has `recent` of them, it becomes the older one, whose
-    pieces come back when asked for again and are otherwise forgotten at the next turn.
-    """
+    def __init__(self, code=(), check=(), size=(), ids=()):
+        self.code, self.check = np.array(code, np.uint64), np.array(check, np.uint64)
+        self.size, self.ids = np.array(size, np.int32), np.array(ids, np.uint32)
+        self.start = (np.cumsum(self.size) - self.size).astype(np.int32)
+
+    def find(self, code: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the asked pieces are here, and where those are."""
+        if not len(self.code):
+            return np.zeros(len(code), bool), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+        hit = (self.code[at] == code) & (self.check[at] == check)
+        return hit, at[hit]
 
-    def __init__(self, encode, lead: str, recent: int, marks: dict[str, bytes] | None = None):
-        super().__init__(marks or {})
-        self.of, self.lead, self.marks, self.older = encode, lead, marks or {}, {}
-        self.most = recent + len(self.marks)
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece)
-        if ids is None:
-            ids = self.of(self.lead + piece)
-            if len(ids) > _LONGEST:
-                return ids
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-            self.update(self.marks)  # a document under way still needs them
-        self[piece] = ids
-        return ids
+    def add(self, other: _Known) -> None:
+        start = np.append(self.start, other.start + np.int32(len(self.ids)))
+        code = np.append(self.code, other.code)
+        order = np.argsort(code)
+        self.code, self.check, self.start = code[order], np.append(self.check, other.check)[order], start[order]
+        self.size, self.ids = np.append(self.size, other.size)[order], np.append(self.ids, other.ids)
 
 
 class Encoder:
-    """Texts to ids, equal to the tokenizer's own for byte-level BPE without a prefix space."""
+    """Texts to ids, equal to the tokenizer's own for byte-level BPE without a prefix space.
+
+    A single space or line feed between printable characters begins a token, and so does a comma or full stop at the end of
+    a piece, after a letter or digit. Texts are cut there, many at once; each different piece of a slice is looked up once.
+    Texts with other white space, or with characters beyond U+023F, are encoded whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -99,32 +100,107 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.stand_ins = self.tokenizer.model, _stand_ins()
-        self.after = _Pieces(self._piece, " ", _RECENT, {_COMMA: self._whole(","), _STOP: self._whole(".")})
-        self.first, self.feed = _Pieces(self._piece, "", _HEADS), self._whole("\n")
+        if hasattr(self.model, "_resize_cache"):  # pieces are remembered here; a small second cache costs more than it saves
+            self.model._resize_cache(0)
+        self.old, self.fresh = _Known(), _Known()
+        self.signs = [np.frombuffer(self.whole(x), "<u4") for x in (",", ".", "\n")]
 
-    def _whole(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _piece(self, text: str) -> bytes:
-        """A piece of letters is a word of its own to the tokenizer, so its model can be asked directly, in half the time."""
-        if text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
-            return array("I", [t.id for t in self.model.tokenize(text.translate(self.stand_ins))]).tobytes()
-        return self._whole(text)
-
-    def encode(self, text: str) -> bytes:
-        letters = set(text)
-        plain = letters <= _LINE and text and not text[0].isspace() and not text[-1].isspace()
-        if not plain or "  " in text or "\n\n" in text or "\n " in text or " \n" in text:
-            return self._whole(text) if text else b""
-        if letters <= _PROSE and text[0] not in ",." and not any(p in text for p in (*_PAIRS, " ,", " .", "\n,", "\n.")):
-            # cutting marks off spares the cache a second and third form of most words
-            text = text.replace(", ", f" {_COMMA} ").replace(". ", f" {_STOP} ").replace(".\n", f" {_STOP}\n")
-        after, lines = self.after.__getitem__, []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            head = self.first[words[0]]
-            lines.append(head + b"".join(map(after, words[1:])))
-        return self.feed.join(lines)
+    def _piece(self, text: str) -> array:
+        """Ids of a piece. A run of letters, or of marks after them, is a word of its own to the tokenizer: its model is asked directly."""
+        letters = text.rstrip(_MARKS)
+        if letters[1:].isalpha() and (letters[0] == " " or letters[0].isalpha()):
+            parts = (letters, text[len(letters) :]) if len(letters) < len(text) else (text,)
+            return array("I", [t.id for p in parts for t in self.model.tokenize(p.translate(self.stand_ins))])
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _looked_up(self, code: np.ndarray, check: np.ndarray, piece) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different pieces, one piece after another, and how many each has. piece(i): the text of the i-th."""
+        size, sources, left = np.zeros(len(code), np.int64), [], np.arange(len(code))
+        for known in (self.old, self.fresh):
+            hit, at = known.find(code[left], check[left])
+            size[left[hit]] = known.size[at]
+            sources.append((left[hit], known.ids, known.start[at]))
+            left = left[~hit]
+        made, sizes = array("I"), []
+        for i in left.tolist():
+            ids = self._piece(piece(i))
+            made += ids
+            sizes.append(len(ids))
+        size[left] = sizes
+        new = _Known(code[left], check[left], sizes, made)
+        sources.append((left, new.ids, new.start))
+        out, place = np.empty(int(size.sum()), np.uint32), np.cumsum(size) - size
+        for who, ids, start in sources:
+            out[ranges(place[who], size[who])] = ids[ranges(start.astype(np.int64), size[who])]
+        self.fresh.add(new)
+        if len(self.fresh.code) > _FRESH:
+            if len(self.old.code) > _MOST:
+                self.old = _Known()
+            self.old.add(self.fresh)
+            self.fresh = _Known()
+        return out, size
+
+    def encode(self, texts: list[bytes | None], end: bytes = b"") -> list[np.ndarray]:
+        """Ids of each text (UTF-8), each followed by those in `end`."""
+        out = [np.frombuffer(end, "<u4")] * len(texts)
+        some = [i for i, t in enumerate(texts) if t]
+        if not some:
+            return out
+        raw = np.frombuffer(b"\n".join([b"", *(texts[i] for i in some), b""]), np.uint8)
+        stops = np.cumsum([len(texts[i]) + 1 for i in some])  # place of the line feed after each text
+        blank = (raw == 0x0A) | (raw == 0x20)
+        odd = ~_CUT[raw]
+        odd[1:] |= blank[1:] & blank[:-1]
+        odd[:-1] |= blank[1:] & blank[:-1]
+        odd[0] = False
+        odd[stops] = False
+        cut = np.add.reduceat(odd, np.append(1, stops[:-1] + 1)) == 0
+        for i, good in zip(some, cut.tolist()):
+            if not good:
+                out[i] = np.frombuffer(self.whole(texts[i].decode()) + end, "<u4")
+        if cut.any():
+            ids, counts = self._cut(raw, blank, stops, cut, end)
+            for i, part in zip((i for i, good in zip(some, cut.tolist()) if good), np.split(ids, np.cumsum(counts)[:-1])):
+                out[i] = part
+        return out
+
+    def _cut(self, raw: np.ndarray, blank: np.ndarray, stops: np.ndarray, cut: np.ndarray, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts that can be cut, and how many each has."""
+        heads = np.flatnonzero(~blank[1:] & blank[:-1]) + 1
+        tails = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
+        text = np.searchsorted(stops, heads)
+        mine = cut[text]
+        heads, tails, text = heads[mine], tails[mine], text[mine]
+        last, before, lead = raw[tails - 1], raw[tails - 2], raw[np.maximum(tails, 3) - 3]
+        letter = _ALNUM[before] | ((before >= 0x80) & ~((lead == 0xC3) & ((before == 0x97) | (before == 0xB7))))
+        sign = np.where((tails - heads > 1) & letter, np.where(last == 0x2C, 0, np.where(last == 0x2E, 1, 4)), 4)
+        size = tails - heads - (sign < 4)
+        spaced = raw[heads - 1] == 0x20
+        code = mixed(word_codes(raw[ranges(heads, size)], size) * np.uint64(2) + spaced)
+        eight = np.lib.stride_tricks.sliding_window_view(np.append(raw, np.zeros(8, np.uint8)), 8)
+        front, back = (eight[x].view("<u8")[:, 0] for x in (heads, np.maximum(heads, heads + size - 8)))
+        short = np.uint64(8) * (np.uint64(8) - np.minimum(size, 8).astype(np.uint64))
+        check = mixed(((front << short) >> short) + size.astype(np.uint64)) + ((back << short) >> short)
+        order = np.argsort(code)
+        new = np.ones(len(order), bool)
+        new[1:] = (code[order[1:]] != code[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
+        like = np.empty(len(order), np.int64)
+        like[order] = np.cumsum(new) - 1
+        first, data = order[new], raw.tobytes()
+        begin, stop = (heads - spaced)[first].tolist(), (heads + size)[first].tolist()
+        ids, length = self._looked_up(code[first], check[first], lambda i: data[begin[i] : stop[i]].decode())
+        n, more = len(first), [*self.signs, np.frombuffer(end, "<u4"), np.zeros(0, np.uint32)]
+        ids, length = np.concatenate([ids, *more]), np.append(length, [len(x) for x in more])
+        place = np.cumsum(length) - length
+        feed = np.where(raw[tails] == 0x0A, 2, 4)
+        feed[np.flatnonzero(np.diff(text, append=-1))] = 3  # the last piece of a text
+        items = np.stack([like, n + sign, n + feed], 1)
+        counts = length[items]
+        of = np.bincount(text, counts.sum(1), len(cut)).astype(np.int64)[cut]
+        return ids[ranges(place[items.ravel()], counts.ravel())], of
 
 
 @lru_cache(1)
@@ -197,12 +273,12 @@ def _encode(path: str, end_id: int, bits: bool):
         encoder, end = _encoder(path), np.array([end_id], "<u4").tobytes()
         waiting, held, offset, blocks, docs = [], 0, 0, [], []
         frame = lambda x: pa.RecordBatch.from_arrays([pa.array([x], pa.binary())], ["frame"])
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(text.as_py() or "") + end
-                docs.append((doc_id, len(ids) // 4))
-                waiting.append(ids)
-                held += len(ids)
+        for batch in sliced(batches, "text", 4_000, _SLICE):
+            texts = batch.column(1).cast(pa.large_binary()).to_pylist()
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts, end)):
+                docs.append((doc_id, len(ids)))
+                waiting.append(ids.tobytes())
+                held += 4 * len(ids)
                 if held >= 4 * BLOCK:
                     flat = b"".join(waiting)
                     cut = len(flat) // (4 * BLOCK) * (4 * BLOCK)
