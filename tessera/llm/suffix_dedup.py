@@ -1,21 +1,20 @@
 """Removal of repeated 100-byte strings by a logarithmic family of suffix arrays.
 
-Suffixes are cut at `length` bytes. A window's shard is chosen by the smallest 32-byte hash in it, which equal windows share,
-so every shard holds a part of the suffix space of the whole corpus, and neighbouring windows mostly go to the same shard as
-one stretch of text. Per shard, stretches come in document order, batch by batch: a batch's windows are sorted into an array,
-merge-scanned against the arrays of all existing levels (a hit starts earlier), and what is new becomes a level of its own;
-levels of equal size merge, so there are logarithmically many.
-
-Order within an array is that of a 64-bit fingerprint of the window, not alphabetical: scans and merges only ask whether
-whole windows are equal.
+A window's shard is chosen by the smallest 32-byte hash in it, which equal windows share, so every shard holds a part of the
+suffix space of the whole corpus, and neighbouring windows mostly go to the same shard as one stretch of text. Per shard,
+stretches come in document order, batch by batch: a batch gets a suffix array (the windows in the order of their bytes, by
+doubling of ranks), is merge-scanned against the arrays of all existing levels for matches of the whole length (a hit starts
+earlier), and what is new becomes a level of its own; levels of equal size merge, so there are logarithmically many. Windows
+are compared by their bytes throughout.
 
 Only stretches whose smallest hash occurs twice in the corpus can hold a repeat. A first exchange finds those: each batch of
-documents sends its distinct hashes, one row per shard, and gets a bit for each back. So a passage in a third of all
-documents costs one hash per batch there. Batches are formed once by a hash of doc_id; that exchange is reused.
+documents sends its distinct hashes, one row per shard, and gets a bit for each back. Of stretches with equal bytes, a batch
+sends only the first; the others are repeats as a whole. So a passage in a third of all documents costs one hash and one
+stretch per batch there. Batches are formed once by a hash of the rows; that exchange is reused.
 
 Defined results: null texts are empty (hash of no bytes); texts shorter than `length` lose nothing; a null doc_id counts as
-larger than all others; rows that repeat a doc_id are ordered by text; an empty table gives an empty result; other columns
-are ignored.
+larger than all others; rows that repeat a doc_id come in the order of a 64-bit hash of their texts; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,27 +24,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, table
+from .common import mixed as _mix, pieces, ranges, starts, table
 
 GRAM = 32
 #: Bytes of text handled at a time.
 CHUNK = 1 << 20
-#: Stretches of a shard that are inserted at a time.
+#: Stretches of a shard that get a suffix array together.
 BATCH = 1 << 14
 LAST = (1 << 63) - 1
 _B = 0x9E3779B97F4A7C15
 _U = (1 << 64) - 1
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _rolled(data: np.ndarray, size: int) -> np.ndarray:
     """Polynomial hash of each run of `size` bytes, by doubling."""
     power, width = data.astype(np.uint64) + np.uint64(1), 1
@@ -111,14 +105,14 @@ class Batch:
 
     def __init__(self, rows: pa.Table, length: int):
         ids, texts = rows["doc_id"].to_pylist(), rows["text"].cast(pa.large_binary()).to_pylist()
-        full = [(LAST if d is None else d, t or b"", d) for d, t in zip(ids, texts)]
+        full = [(LAST if d is None else d, xxhash.xxh64_intdigest(t or b""), t or b"", d) for d, t in zip(ids, texts)]
         self.docs = sorted(full, key=lambda x: x[:2])
         self.length = length
 
     def chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(data, ends, row, start in the row's text, text end) of pieces of about CHUNK bytes; long texts overlap by a window."""
         parts, size = [], 0
-        for row, (_, text, _) in enumerate(self.docs):
+        for row, (_, _, text, _) in enumerate(self.docs):
             for at in range(0, max(1, len(text) - self.length + 1), CHUNK):
                 body = text[at : at + CHUNK + self.length - 1]
                 if len(body) >= self.length:
@@ -198,8 +192,8 @@ def _send(shards: int, length: int):
         bits = dict(zip(answers["shard"].to_pylist(), answers["bits"].to_pylist()))
         for name, at in zip(names.tolist(), np.split(order, cuts[1:]) if len(cuts) else []):
             repeated[at] |= np.unpackbits(np.frombuffer(bits[name], np.uint8), count=len(at)).astype(bool)
-        wanted, out = keys[repeated], []
-        names_of = np.array([d[0] for d in batch.docs])
+        wanted, out, seen, again = keys[repeated], [], {}, []
+        names_of, ties = np.array([d[0] for d in batch.docs]), np.array([d[1] for d in batch.docs], np.uint64)
         for data, where, begin, parts, h, first, last, _ in batch.all() if len(wanted) else ():
             at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
             pick = np.flatnonzero(wanted[at] == h)
@@ -209,85 +203,184 @@ def _send(shards: int, length: int):
             row = np.array([p[0] for p in parts])[part]
             start = np.array([p[1] for p in parts])[part] + first[pick] - begin[part]
             size = (last - first)[pick] + length
+            whole, new = data.tobytes(), np.ones(len(pick), bool)
+            for i, (a, n) in enumerate(zip(first[pick].tolist(), size.tolist())):
+                place = (int(row[i]), int(start[i]))
+                new[i] = seen.setdefault(whole[a : a + n], place) == place
+            if not new.all():
+                again.append((row[~new], start[~new], size[~new]))
+            pick, row, start, size = pick[new], row[new], start[new], size[new]
+            if not len(pick):
+                continue
             order, shard, cuts = _shards(h[pick], shards)
             for name, at in zip(shard.tolist(), np.split(order, cuts[1:])):
-                flat = np.repeat(first[pick][at] - np.cumsum(size[at]) + size[at], size[at]) + np.arange(size[at].sum())
                 out.append((
-                    name, h[pick][at].tobytes(), names_of[row[at]].astype("<i8").tobytes(), row[at].astype("<i4").tobytes(),
-                    start[at].astype("<i8").tobytes(), size[at].astype("<i4").tobytes(), data[flat].tobytes(),
+                    name, ties[row[at]].astype("<u8").tobytes(), names_of[row[at]].astype("<i8").tobytes(), row[at].astype("<i4").tobytes(),
+                    start[at].astype("<i8").tobytes(), size[at].astype("<i4").tobytes(), data[ranges(first[pick][at], size[at])].tobytes(),
                 ))
+        if again:  # repeats that are known: no text goes with them
+            row, start, size = (np.concatenate([x[i] for x in again]) for i in range(3))
+            out.append((key[0].as_py() % shards, b"", b"", row.astype("<i4").tobytes(), start.astype("<i8").tobytes(), size.astype("<i4").tobytes(), b""))
         columns = list(zip(*out)) if out else [[] for _ in range(7)]
         kinds = (pa.int32(), *[pa.binary()] * 6)
         return pa.table(
             [pa.array([key[0].as_py()] * len(out), pa.int32()), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
-            names=["batch", "shard", "key", "doc", "row", "start", "size", "data"],
+            names=["batch", "shard", "tie", "doc", "row", "start", "size", "data"],
         )
 
     return send
 
 
+def _word(text: np.ndarray, at: np.ndarray, nth: int, length: int) -> np.ndarray:
+    """Bytes 8 nth to 8 nth + 7 of the windows that start at `at`, those beyond `length` left out, as numbers in the order of the bytes."""
+    n = min(8, length - 8 * nth)
+    out = np.zeros(len(at), np.uint64)
+    for k in range(n):
+        out = (out << np.uint64(8)) | text[at + (8 * nth + k)]
+    return out
+
+
+def _ranked(key: np.ndarray) -> np.ndarray:
+    order = np.argsort(key)
+    new = np.zeros(len(key), np.int64)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    rank = np.empty(len(key), np.uint64)
+    rank[order] = np.cumsum(new)
+    return rank
+
+
+def suffix_array(text: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different windows of `length` bytes among those that start at `at` (ascending), each by its first place, in the order
+    of their bytes; and which of all windows are not the first of theirs."""
+    padded = np.append(text, np.zeros(length + 8, np.uint8))
+    eight = np.zeros(len(text) + length, np.uint64)
+    for k in range(8):
+        eight = (eight << np.uint64(8)) | padded[k : k + len(eight)]
+    rank, width = _ranked(eight), 8
+    while 2 * width <= length:
+        rank, width = _ranked((rank[: len(rank) - width] << np.uint64(32)) | rank[width:]), 2 * width
+    key = (rank[at] << np.uint64(32)) | rank[at + (length - width)]
+    order = np.argsort(key)
+    new = np.ones(len(order), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    firsts = np.minimum.reduceat(order, np.flatnonzero(new)) if len(order) else order
+    again = np.ones(len(at), bool)
+    again[firsts] = False
+    return at[firsts], again
+
+
+class Level:
+    """A suffix array over different windows of a text: where they start, in the order of their bytes."""
+
+    def __init__(self, text: np.ndarray, order: np.ndarray, length: int):
+        self.text, self.order, self.length = text, order, length
+        self.head = _word(text, order, 0, length)
+
+    def scan(self, text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each window of `text` belongs among those here, and whether an equal one is here.
+
+        The range of windows that agree so far is narrowed eight bytes at a time.
+        """
+        head = _word(text, at, 0, self.length)
+        low, high = np.searchsorted(self.head, head, "left"), np.searchsorted(self.head, head, "right")
+        left = np.flatnonzero(low < high)
+        for nth in range(1, -(-self.length // 8)):
+            if not len(left):
+                break
+            asked = _word(text, at[left], nth, self.length)
+            low[left] = self._bound(asked, low[left], high[left], nth, False)
+            high[left] = self._bound(asked, low[left], high[left], nth, True)
+            left = left[low[left] < high[left]]
+        return low, low < high
+
+    def _bound(self, asked: np.ndarray, low: np.ndarray, high: np.ndarray, nth: int, after: bool) -> np.ndarray:
+        low, high, left = low.copy(), high.copy(), np.flatnonzero(low < high)
+        while len(left):
+            middle = (low[left] + high[left]) // 2
+            found = _word(self.text, self.order[middle], nth, self.length)
+            up = found <= asked[left] if after else found < asked[left]
+            low[left[up]], high[left[~up]] = middle[up] + 1, middle[~up]
+            left = left[low[left] < high[left]]
+        return low
+
+    def merged(self, other: Level) -> Level:
+        """Both in one; no window is in both."""
+        where = self.scan(other.text, other.order)[0] + np.arange(len(other.order))
+        out = Level.__new__(Level)
+        out.text, out.length = np.append(self.text, other.text), self.length
+        mine = np.ones(len(self.order) + len(other.order), bool)
+        mine[where] = False
+        out.order, out.head = np.empty(len(mine), np.int64), np.empty(len(mine), np.uint64)
+        out.order[mine], out.order[where] = self.order, other.order + len(self.text)
+        out.head[mine], out.head[where] = self.head, other.head
+        return out
+
+
 class Family:
-    """Sorted arrays of window fingerprints, no two of similar size."""
+    """Suffix arrays, no two of similar size."""
 
-    def __init__(self):
-        self.levels: list[np.ndarray] = []
+    def __init__(self, length: int):
+        self.levels: list[Level] = []
+        self.length = length
 
-    def scan(self, windows: np.ndarray) -> np.ndarray:
-        """Which of the sorted windows are in some level."""
-        hit = np.zeros(len(windows), bool)
+    def take(self, text: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which windows of a batch (starts in ascending order) occur earlier, in it or before it; the batch becomes part of the family."""
+        text = np.append(text, np.zeros(8, np.uint8))
+        order, again = suffix_array(text, at, self.length)
+        new = np.ones(len(order), bool)
         for level in self.levels:
-            at = np.minimum(np.searchsorted(level, windows), len(level) - 1)
-            hit |= level[at] == windows
-        return hit
-
-    def insert(self, windows: np.ndarray) -> None:
-        """Add new, sorted and distinct windows as a level; merge while the one before is not larger."""
-        if not len(windows):
-            return
-        while self.levels and len(self.levels[-1]) <= len(windows):
-            windows = np.concatenate([self.levels.pop(), windows])
-            windows.sort(kind="stable")
-        self.levels.append(windows)
+            new[new] = ~level.scan(text, order[new])[1]
+        again[np.searchsorted(at, order[~new])] = True
+        if new.any():
+            level = Level(text, order[new], self.length)
+            while self.levels and len(self.levels[-1].order) <= len(level.order):
+                level = self.levels.pop().merged(level)
+            self.levels.append(level)
+        return again
 
 
-def _scan(length: int):
+def _scan(length: int, most: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts("suffixes")
         shards: dict[int, list] = {}
         for x in batches:
             for row in zip(*(x.column(i).to_pylist() for i in range(8))):
-                shards.setdefault(row[1], []).append(row)
+                if row[7]:
+                    shards.setdefault(row[1], []).append(row)
+                else:
+                    at, low, size = np.frombuffer(row[4], "<i4"), np.frombuffer(row[5], "<i8"), np.frombuffer(row[6], "<i4")
+                    yield from _intervals(np.full(len(at), row[0]), at, low, low + size)
         for rows in shards.values():
-            yield from _one_shard(rows, length)
+            yield from _one_shard(rows, length, most)
 
     return scan
 
 
-def _one_shard(rows: list, length: int) -> Iterator[pa.RecordBatch]:
+def _one_shard(rows: list, length: int, most: int) -> Iterator[pa.RecordBatch]:
     take = lambda i, kind: np.concatenate([np.frombuffer(r[i], kind) for r in rows])
-    key, doc, row, start, size = take(2, np.uint64), take(3, "<i8"), take(4, "<i4"), take(5, "<i8"), take(6, "<i4").astype(np.int64)
-    data = np.frombuffer(b"".join(r[7] for r in rows), np.uint8)
+    tie, doc, row, start, size = take(2, "<u8"), take(3, "<i8"), take(4, "<i4"), take(5, "<i8"), take(6, "<i4").astype(np.int64)
+    whole = b"".join(r[7] for r in rows)
+    data = np.frombuffer(whole, np.uint8)
     batch = np.repeat([r[0] for r in rows], [len(r[4]) // 4 for r in rows])
+    rows.clear()
     offset = np.cumsum(size) - size
-    order, family = np.lexsort((start, row, doc)), Family()
-    for a in range(0, len(order), BATCH):
-        at = order[a : a + BATCH]
+    order, family, seen = np.lexsort((start, row, tie, doc)), Family(length), set()
+    first = np.ones(len(order), bool)  # stretches whose bytes come for the first time; the others are repeats as a whole
+    for i, (a, n) in enumerate(zip(offset[order].tolist(), size[order].tolist())):
+        before = len(seen)
+        seen.add(whole[a : a + n])
+        first[i] = len(seen) > before
+    seen.clear()
+    same = order[~first]
+    if len(same):
+        yield from _intervals(batch[same], row[same], start[same], start[same] + size[same])
+    order = order[first]
+    for a in range(0, len(order), most):
+        at = order[a : a + most]
         sizes = size[at]
-        flat = np.repeat(offset[at] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        prints = _rolled(data[flat], length)
-        counts = sizes - length + 1  # windows of each stretch
         begin = np.cumsum(sizes) - sizes
-        place = np.repeat(begin - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        windows = _mix(prints[place] ^ np.repeat(_mix(key[at]), counts))
-        by = np.argsort(windows, kind="stable")  # equal windows stay in document order
-        ordered = windows[by]
-        again = np.zeros(len(by), bool)
-        again[1:] = ordered[1:] == ordered[:-1]
-        fresh = np.flatnonzero(~again)
-        known = family.scan(ordered[fresh])
-        family.insert(ordered[fresh][~known])
-        again[fresh[known]] = True
-        hit = np.zeros(len(by), bool)
-        hit[by] = again
+        counts = sizes - length + 1  # windows of each stretch
+        hit = family.take(data[ranges(offset[at], sizes)], ranges(begin, counts))
         # runs of repeated windows within a stretch become intervals of bytes
         owner = np.repeat(np.arange(len(at)), counts)
         edge = np.ones(len(hit), bool)
@@ -323,7 +416,7 @@ def _cut(length: int, keep_text: bool):
         order = np.argsort(row, kind="stable")
         row, low, high = row[order], low[order], high[order]
         out = []
-        for i, (_, text, doc_id) in enumerate(batch.docs):
+        for i, (_, _, text, doc_id) in enumerate(batch.docs):
             a, b = np.searchsorted(row, i, "left"), np.searchsorted(row, i, "right")
             kept, removed, spans = text, 0, 0
             if a < b:
@@ -343,21 +436,24 @@ def _cut(length: int, keep_text: bool):
     return cut
 
 
-def dedup(docs: DataFrame, length: int = 100, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, kept (binary) of every row of docs (doc_id, text)."""
+def dedup(docs: DataFrame, length: int = 100, keep_text: bool = False, most: int = BATCH) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, kept (binary) of every row of docs (doc_id, text).
+
+    most: stretches of a shard that get a suffix array together.
+    """
     if length <= GRAM:
         raise ValueError(f"length must be over {GRAM}")
     shards = pieces(docs, 8)
     batches = pieces(docs, 4)
-    of = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int").alias("batch")
+    of = F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int").alias("batch")
     dealt = docs.select("doc_id", F.col("text").cast("binary").alias("text"), of)
     grouped = dealt.groupBy("batch")
     asked = grouped.applyInArrow(_ask(shards, length), "batch int, shard int, keys binary")
     answers = asked.repartitionById(shards, F.col("shard")).mapInArrow(_answer, "batch int, shard int, bits binary")
     sent = grouped.cogroup(answers.groupBy("batch")).applyInArrow(
-        _send(shards, length), "batch int, shard int, key binary, doc binary, row binary, start binary, size binary, data binary"
+        _send(shards, length), "batch int, shard int, tie binary, doc binary, row binary, start binary, size binary, data binary"
     )
-    found = sent.repartitionById(shards, F.col("shard")).mapInArrow(_scan(length), "batch int, row binary, low binary, high binary")
+    found = sent.repartitionById(shards, F.col("shard")).mapInArrow(_scan(length, most), "batch int, row binary, low binary, high binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
     return grouped.cogroup(found.groupBy("batch")).applyInArrow(_cut(length, keep_text), schema)
 

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 import zstandard
 
 from tessera.llm import jaccard, mixing, registry, suffix_dedup, tokens, warc
@@ -232,7 +233,7 @@ def test_representatives_and_empty_tables(spark):
 
 def _stripped(rows, n=100):
     seen, out = set(), []
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, (rows[i][1] or "").encode()))
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, xxhash.xxh64_intdigest((rows[i][1] or "").encode())))
     for i in order:
         b = (rows[i][1] or "").encode()
         gone = np.zeros(len(b), bool)
@@ -263,23 +264,38 @@ def test_dedup_equals_brute_force(spark, seed):
     assert sorted(map(tuple, out.collect()), key=str) == _stripped(rows)
 
 
-def test_dedup_across_chunks_and_levels(spark, monkeypatch):
+@pytest.mark.parametrize("most", [3, 40])
+def test_dedup_over_many_levels(spark, most):
+    rows = [*_suffix_rows(3)[:60], *[(300, "q" * 400), (300, "q" * 150), (301, "q" * 400)]]
+    out = suffix_dedup.dedup(_frame(spark, rows), most=most)
+    assert sorted(map(tuple, out.collect()), key=str) == _stripped(rows)
+
+
+def test_chunks_hold_every_window(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 700)
-    monkeypatch.setattr(suffix_dedup, "BATCH", 5)
     rng = random.Random(6)
     long = "".join(rng.choice("abcdef") for _ in range(4000))
     rows = [*_suffix_rows(3)[:40], (200, long), (201, long[900:3100]), (202, "zz" + long[:1500])]
     batch = suffix_dedup.Batch(_frame(spark, [r for r in rows]).toArrow(), 100)
     windows = {(p[0], p[1] + int(f) - int(b)) for _, w, bg, ps, h, fs, ls, _ in batch.all() for f0, l0 in zip(fs, ls) for f in range(f0, l0 + 1) for p, b in [(ps[w[f]], bg[w[f]])]}
-    assert windows == {(i, s) for i, d in enumerate(batch.docs) for s in range(len(d[1]) - 99)}
-    family, seen = suffix_dedup.Family(), set()
-    for _ in range(40):
-        new = np.unique(np.array([rng.randint(0, 500) for _ in range(rng.randint(1, 30))], np.uint64))
-        hit = family.scan(new)
-        assert hit.tolist() == [int(x) in seen for x in new]
-        family.insert(new[~hit])
-        seen |= set(map(int, new))
-        assert all(len(a) > len(b) for a, b in zip(family.levels, family.levels[1:]))
+    assert windows == {(i, s) for i, d in enumerate(batch.docs) for s in range(len(d[2]) - 99)}
+
+
+@pytest.mark.parametrize("length", [8, 9, 33, 100])
+def test_levels_are_suffix_arrays(length):
+    rng = np.random.default_rng(length)
+    family, seen = suffix_dedup.Family(length), set()
+    for _ in range(30):
+        text = rng.choice(np.frombuffer(b"ab\x00\xff", np.uint8), int(rng.integers(length, 400)), p=[0.9, 0.06, 0.02, 0.02])
+        at = np.sort(rng.permutation(len(text) - length + 1)[: int(rng.integers(1, 300))])
+        found = family.take(text, at)
+        for a, hit in zip(at.tolist(), found.tolist()):
+            window = text[a : a + length].tobytes()
+            assert hit == (window in seen)
+            seen.add(window)
+        levels = [[x.text[a : a + length].tobytes() for a in x.order.tolist()] for x in family.levels]
+        assert all(x == sorted(set(x)) for x in levels) and set().union(*levels) == seen and sum(map(len, levels)) == len(seen)
+        assert all(len(a) > len(b) for a, b in zip(levels, levels[1:]))
 
 
 def test_dedup_of_nothing_and_kept_text(spark):
