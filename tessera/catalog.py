@@ -102,8 +102,9 @@ def join_anti(spark, sf):
 
 @query("SELECT s_suppkey FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)")
 def join_not_in(spark, sf):
+    # as NOT IN: nothing if the right side has a null, and no row with a null key unless the right side is empty
     rich = read(spark, sf, "customer").where("c_acctbal > 9900").select("c_nationkey")
-    return read(spark, sf, "supplier").join(rich, F.col("s_nationkey") == F.col("c_nationkey"), "left_anti").select("s_suppkey")
+    return spark.sql("SELECT s_suppkey FROM {s} WHERE s_nationkey NOT IN (SELECT c_nationkey FROM {rich})", s=read(spark, sf, "supplier"), rich=rich)
 
 
 @query("SELECT r_name, n_name FROM region CROSS JOIN (SELECT n_name FROM nation WHERE n_nationkey < 3) n")
@@ -117,11 +118,15 @@ def case_pairs(spark, sf):
     return graph.edges(mentions(spark, sf)).where("shared_cases > 1").select("a", "b", "shared_cases")
 
 
-@query(f"WITH {MEN}, {CAS}, w AS (SELECT identity, district, min(day) AS lo, max(day) AS hi FROM m JOIN k ON k.case_id = m.case_id GROUP BY identity, district HAVING count(*) >= 10) SELECT k.case_id, count(*) AS people FROM k JOIN w ON w.district = k.district AND k.day BETWEEN w.lo AND w.hi GROUP BY k.case_id")
+@query(f"WITH {MEN}, {CAS}, w AS (SELECT identity, district, min(day) AS lo, max(day) AS hi FROM m JOIN k ON k.case_id = m.case_id GROUP BY identity, district HAVING count(*) >= 2) SELECT k.case_id, count(*) AS people FROM k JOIN w ON w.district = k.district AND k.day BETWEEN w.lo AND w.hi GROUP BY k.case_id")
 def range_window(spark, sf):
     k = cases(spark, sf)
-    w = mentions(spark, sf).join(k, "case_id").groupBy("identity", "district").agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.count(F.lit(1)).alias("n")).where("n >= 10")
-    return k.join(w, "district").where(F.col("day").between(F.col("lo"), F.col("hi"))).groupBy("case_id").agg(F.count(F.lit(1)).alias("people"))
+    w = mentions(spark, sf).join(k, "case_id").groupBy("identity", "district").agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.count(F.lit(1)).alias("n")).where("n >= 2")
+    # a window is dealt to its months, so the join has a key for each district and month, and no more than a month too much
+    months = F.sequence(F.trunc("lo", "month"), F.trunc("hi", "month"), F.expr("interval 1 month"))
+    dealt = w.select("district", "lo", "hi", F.explode(months).alias("month"))
+    met = k.withColumn("month", F.trunc("day", "month")).join(dealt, ["district", "month"]).where(F.col("day").between(F.col("lo"), F.col("hi")))
+    return met.groupBy("case_id").agg(F.count(F.lit(1)).alias("people"))
 
 
 @query("SELECT o_custkey AS party FROM orders WHERE o_totalprice > 450000 UNION SELECT c_custkey FROM customer WHERE c_acctbal > 9900")
@@ -202,8 +207,8 @@ def _fold_sql(t: str) -> str:
     return f"regexp_replace({t}, '[aiu]+$', '')"
 
 
-TOK = f"w AS (SELECT DISTINCT p_name, unnest(string_split(p_name, ' ')) AS w FROM part), f AS (SELECT p_name, {_fold_sql('w')} AS t FROM w), g AS (SELECT p_name, string_agg(t, ' ' ORDER BY t) AS canon, list(DISTINCT substr(t, 1, 4)) AS heads FROM f WHERE length(t) >= 2 GROUP BY p_name)"
-PAR = f"{TOK}, q AS (SELECT p_partkey AS id, part.p_name AS name, p_brand AS brand, CAST(p_size AS BIGINT) AS size, p_type AS kind, canon, heads FROM part JOIN g ON g.p_name = part.p_name)"
+TOK = f"w AS (SELECT DISTINCT p_name, unnest(string_split(p_name, ' ')) AS w FROM part), f AS (SELECT p_name, {_fold_sql('w')} AS t FROM w), g AS (SELECT p_name, string_agg(t, ' ' ORDER BY t) AS canon, list(DISTINCT substr(t, 1, 4)) AS heads, list(DISTINCT substr(t, 1, 1)) AS letters FROM f WHERE length(t) >= 2 GROUP BY p_name)"
+PAR = f"{TOK}, q AS (SELECT p_partkey AS id, part.p_name AS name, p_brand AS brand, CAST(p_size AS BIGINT) AS size, p_type AS kind, canon, heads, letters FROM part JOIN g ON g.p_name = part.p_name)"
 
 
 @query(f"WITH {TOK} SELECT p_name, canon FROM g")
@@ -225,7 +230,10 @@ def name_scripts(spark, sf):
     return n.select("name", N.script(F.col("name")).alias("script"))
 
 
-@query(f"WITH {PAR} SELECT x.brand, count(*) AS pairs FROM q x JOIN q y ON x.id < y.id AND x.brand = y.brand AND len(list_intersect(x.heads, y.heads)) > 0 GROUP BY x.brand")
+_BLOCKED = "x.id < y.id AND (len(list_intersect(x.heads, y.heads)) > 0 OR (x.brand = y.brand AND len(list_intersect(x.letters, y.letters)) > 0))"
+
+
+@query(f"WITH {PAR} SELECT x.brand, count(*) AS pairs FROM q x JOIN q y ON {_BLOCKED} GROUP BY x.brand")
 def candidate_pairs(spark, sf):
     """Pairs of the shipped families over all parts, counted by the brand of the first; the brand stands for a circle in TR."""
     named = parts(spark, sf).select(F.col("p_partkey").alias("a"), F.col("p_brand").alias("brand"))
@@ -324,7 +332,10 @@ def _candidate_levels(spark, sf):
     )
 
 
-@query(f"{_LV} SELECT brand, kind, size, count(*) AS n FROM p GROUP BY brand, kind, size")
+_CL = f"WITH {PAR}, p AS (SELECT x.id AS a, y.id AS b, CAST(x.brand = y.brand AS INTEGER) AS brand, CAST(x.kind = y.kind AS INTEGER) AS kind, CAST(CASE WHEN abs(x.size - y.size) <= 1 THEN 2 WHEN abs(x.size - y.size) <= 2 THEN 1 ELSE 0 END AS INTEGER) AS size FROM q x JOIN q y ON {_BLOCKED})"
+
+
+@query(f"{_CL} SELECT brand, kind, size, count(*) AS n FROM p GROUP BY brand, kind, size")
 def pattern_collapse(spark, sf):
     return linkage.patterns(_candidate_levels(spark, sf), ["brand", "kind", "size"])
 
@@ -420,12 +431,12 @@ def recovered_edges(spark, sf):
     return graph.edges(mentions(spark, sf)).select("a", "b", "shared_cases", "recovered")
 
 
-@query(f"WITH {MEN}, {EDG}, d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), one AS (SELECT DISTINCT b AS node FROM d WHERE a = 7) SELECT DISTINCT d.b AS node FROM one JOIN d ON d.a = one.node WHERE d.b <> 7 AND d.b NOT IN (SELECT node FROM one)")
+@query(f"WITH {MEN}, {EDG}, d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), one AS (SELECT DISTINCT b AS node FROM d WHERE a = 801) SELECT DISTINCT d.b AS node FROM one JOIN d ON d.a = one.node WHERE d.b <> 801 AND d.b NOT IN (SELECT node FROM one)")
 def two_hop(spark, sf):
-    return graph.two_hop(graph.edges(mentions(spark, sf)), 7)
+    return graph.two_hop(graph.edges(mentions(spark, sf)), 801)
 
 
-@query(f"WITH {MEN}, {EDG}, h AS (SELECT a, b FROM e WHERE shared_cases > 1), t AS (SELECT CAST(count(*) AS DOUBLE) AS m FROM h), d AS (SELECT node % 10 AS c, count(*) AS d FROM (SELECT a AS node FROM h UNION ALL SELECT b FROM h) n GROUP BY 1), i AS (SELECT a % 10 AS c, count(*) AS n FROM h WHERE a % 10 = b % 10 GROUP BY 1) SELECT round(sum(coalesce(i.n, 0) / t.m - power(d.d / (2 * t.m), 2)), 6) AS modularity FROM d LEFT JOIN i ON i.c = d.c CROSS JOIN t")
+@query(f"WITH {MEN}, {EDG}, h AS (SELECT a, b FROM e), t AS (SELECT CAST(count(*) AS DOUBLE) AS m FROM h), d AS (SELECT node % 10 AS c, count(*) AS d FROM (SELECT a AS node FROM h UNION ALL SELECT b FROM h) n GROUP BY 1), i AS (SELECT a % 10 AS c, count(*) AS n FROM h WHERE a % 10 = b % 10 GROUP BY 1) SELECT round(sum(coalesce(i.n, 0) / t.m - power(d.d / (2 * t.m), 2)), 6) AS modularity FROM d LEFT JOIN i ON i.c = d.c CROSS JOIN t")
 def modularity(spark, sf):
     e = graph.edges(mentions(spark, sf))
     labels = graph.degrees(e).select("node", (F.col("node") % 10).alias("community"))
@@ -478,7 +489,7 @@ def _retrieved(spark, sf, top):
     return retrieval.rank(opened, people.select("identity", "lat", "lon", "day", "district"), modus, top)
 
 
-_RET = f"{MEN}, k AS (SELECT CaseMasterID AS case_id, CrimeRegisteredDate AS day, DistrictID AS district, CrimeSubHeadID AS head, Latitude AS lat, Longitude AS lon, CaseStatus AS status FROM CaseMaster), o AS (SELECT * FROM k WHERE status = 'Undetected' AND case_id % 40 = 2), p AS (SELECT m.identity, k.* FROM m JOIN k ON k.case_id = m.case_id WHERE m.identity % 20 = 7 AND k.status <> 'Undetected'), g AS (SELECT o.case_id, p.identity, min({_KM.replace('x.Latitude', 'o.lat').replace('y.Latitude', 'p.lat').replace('x.Longitude', 'o.lon').replace('y.Longitude', 'p.lon')}) AS km, min(p.day) AS lo, max(p.day) AS hi, any_value(o.day) AS day, max(CASE WHEN o.head = p.head THEN 1.0 ELSE 0.0 END) AS cosine FROM o JOIN p ON p.district = o.district GROUP BY o.case_id, p.identity), s AS (SELECT case_id, identity, round(0.5 * cosine + 0.3 * greatest(least(1 - km / 120, 1), 0) + 0.2 * greatest(least(1 - greatest(date_diff('day', day, lo), date_diff('day', hi, day), 0) / 730.0, 1), 0), 6) AS score FROM g), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY case_id ORDER BY score DESC, identity) AS INTEGER) AS place FROM s)"
+_RET = f"{MEN}, k AS (SELECT CaseMasterID AS case_id, CrimeRegisteredDate AS day, DistrictID AS district, CrimeSubHeadID AS head, Latitude AS lat, Longitude AS lon, CaseStatus AS status FROM CaseMaster), o AS (SELECT * FROM k WHERE status = 'Undetected'), p AS (SELECT m.identity, k.* FROM m JOIN k ON k.case_id = m.case_id WHERE k.status <> 'Undetected'), g AS (SELECT o.case_id, p.identity, min({_KM.replace('x.Latitude', 'o.lat').replace('y.Latitude', 'p.lat').replace('x.Longitude', 'o.lon').replace('y.Longitude', 'p.lon')}) AS km, min(p.day) AS lo, max(p.day) AS hi, any_value(o.day) AS day, max(CASE WHEN o.head = p.head THEN 1.0 ELSE 0.0 END) AS cosine FROM o JOIN p ON p.district = o.district GROUP BY o.case_id, p.identity), s AS (SELECT case_id, identity, round(0.5 * cosine + 0.3 * greatest(least(1 - km / 120, 1), 0) + 0.2 * greatest(least(1 - greatest(date_diff('day', day, lo), date_diff('day', hi, day), 0) / 730.0, 1), 0), 6) AS score FROM g), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY case_id ORDER BY score DESC, identity) AS INTEGER) AS place FROM s)"
 
 
 @query(f"WITH {_RET} SELECT case_id, identity, CAST(score AS DOUBLE) AS score, place FROM r WHERE place <= 10")
@@ -486,7 +497,7 @@ def retrieval_top(spark, sf):
     return _retrieved(spark, sf, 10)
 
 
-@query(f"WITH {_RET}, t AS (SELECT case_id, identity FROM m WHERE identity % 20 = 7 AND case_id IN (SELECT case_id FROM o)), f AS (SELECT t.case_id, min(r.place) AS place FROM t JOIN r ON r.case_id = t.case_id AND r.identity = t.identity AND r.place <= 10 GROUP BY t.case_id), x AS (SELECT d.case_id, f.place FROM (SELECT DISTINCT case_id FROM t) d LEFT JOIN f ON f.case_id = d.case_id) SELECT count(*) AS cases, round(avg(CASE WHEN place <= 1 THEN 1.0 ELSE 0.0 END), 4) AS hit_1, round(avg(CASE WHEN place <= 3 THEN 1.0 ELSE 0.0 END), 4) AS hit_3, round(avg(CASE WHEN place <= 10 THEN 1.0 ELSE 0.0 END), 4) AS hit_10, round(avg(CASE WHEN place <= 50 THEN 1.0 ELSE 0.0 END), 4) AS hit_50, round(avg(coalesce(1.0 / place, 0)), 4) AS mrr FROM x")
+@query(f"WITH {_RET}, t AS (SELECT case_id, identity FROM m WHERE case_id IN (SELECT case_id FROM o)), f AS (SELECT t.case_id, min(r.place) AS place FROM t JOIN r ON r.case_id = t.case_id AND r.identity = t.identity GROUP BY t.case_id), x AS (SELECT d.case_id, f.place FROM (SELECT DISTINCT case_id FROM t) d LEFT JOIN f ON f.case_id = d.case_id) SELECT count(*) AS cases, round(avg(CASE WHEN place <= 1 THEN 1.0 ELSE 0.0 END), 4) AS hit_1, round(avg(CASE WHEN place <= 3 THEN 1.0 ELSE 0.0 END), 4) AS hit_3, round(avg(CASE WHEN place <= 10 THEN 1.0 ELSE 0.0 END), 4) AS hit_10, round(avg(CASE WHEN place <= 50 THEN 1.0 ELSE 0.0 END), 4) AS hit_50, round(avg(coalesce(1.0 / place, 0)), 4) AS mrr FROM x")
 def hit_rates(spark, sf):
     ranked = _retrieved(spark, sf, None)
     k = cases(spark, sf).where("status = 'Undetected'").select("case_id")
@@ -598,7 +609,7 @@ def hotspot_totals(spark, sf):
     return hotspots.totals(hotspots.grid(mentions(spark, sf), cases(spark, sf)))
 
 
-@query(f"WITH {MEN}, z AS (SELECT mention, m.case_id, identity, (SELECT list(DISTINCT o.identity) FROM m o WHERE o.case_id = m.case_id AND o.identity <> m.identity) AS others FROM m WHERE identity % 50 = 7), p AS (SELECT x.mention AS a, y.mention AS b, coalesce(len(x.others), 0) AS nx, coalesce(len(y.others), 0) AS ny, coalesce(len(list_intersect(x.others, y.others)), 0) AS shared FROM z x JOIN z y ON x.identity = y.identity AND x.mention < y.mention) SELECT a, b, CAST(CASE WHEN nx = 0 OR ny = 0 THEN -1 WHEN shared > 0 THEN 2 ELSE 0 END AS INTEGER) AS relational FROM p")
+@query(f"WITH {MEN}, z AS (SELECT mention, m.case_id, identity, (SELECT list(DISTINCT o.identity) FROM m o WHERE o.case_id = m.case_id AND o.identity <> m.identity) AS others FROM m), p AS (SELECT x.mention AS a, y.mention AS b, coalesce(len(x.others), 0) AS nx, coalesce(len(y.others), 0) AS ny, coalesce(len(list_intersect(x.others, y.others)), 0) AS shared FROM z x JOIN z y ON x.identity = y.identity AND x.mention < y.mention) SELECT a, b, CAST(CASE WHEN nx = 0 OR ny = 0 THEN -1 WHEN shared > 0 THEN 2 ELSE 0 END AS INTEGER) AS relational FROM p")
 def relational_level(spark, sf):
     m = mentions(spark, sf)
     some = m.select("mention", "identity")

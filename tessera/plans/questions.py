@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Shared fragments. AC: accused rows with their person; ACD: with the case as well; RP: people of three or more cases.
 AC = "Accused a JOIN resolved_identity r ON r.AccusedMasterID = a.AccusedMasterID"
@@ -173,7 +174,7 @@ QUESTIONS: dict[int, tuple[str, str]] = {
 
 #: Values for the star-schema adapter, as SQL literals.
 DEFAULTS = {
-    "district": "1", "district_a": "1", "district_b": "2", "station": "3", "identity": "7", "case_id": "5", "accused_id": "5000007",
+    "district": "1", "district_a": "1", "district_b": "2", "station": "3", "identity": "801", "case_id": "1", "accused_id": "1073743731",
     "open_case": "2", "name": "'red widget'", "prefix": "'re'", "head": "'2-HIGH'", "sub_head": "'2-HIGH 1'", "year": "'1999'",
     "year_before": "'1998'", "month": "'1999-03'", "as_of": "DATE '2000-06-30'", "switch": "DATE '1998-01-01'", "section": "'379'",
     "ipc_section": "'379'", "bns_section": "'303'",
@@ -226,10 +227,8 @@ def parameters(number: int) -> list[str]:
 def ask(spark: SparkSession, number: int, **values) -> DataFrame:
     """Answer a question on the registered tables. Values are bound as parameters, not pasted into the text."""
     text = expand(QUESTIONS[number][1], _SPARK)
-    given = {k: values[k] for k in parameters(number) if k in values}
-    rest = {k: v for k, v in DEFAULTS.items() if k not in given}
-    text = re.sub(r":([a-z_]+)\b", lambda m: rest.get(m[1], m[0]), text)
-    return spark.sql(text, args=given) if given else spark.sql(text)
+    args = {k: values[k] if k in values else F.expr(DEFAULTS[k]) for k in parameters(number)}
+    return spark.sql(text, args=args)
 
 
 def needs_people(number: int) -> bool:
