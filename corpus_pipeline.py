@@ -33,8 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which no benchmark item leaks."""
-    found = decontaminate.hits(docs, table(spark, sf_dir, "benchmark"))
-    return docs.withColumn("_hits", found).where(F.size("_hits") == 0).drop("_hits")
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

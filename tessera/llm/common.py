@@ -32,7 +32,7 @@ def scratch_root(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that all executors share")
     root = tempfile.mkdtemp(prefix="tessera-")
     spark.sparkContext.setCheckpointDir(f"file://{root}")
@@ -105,6 +105,39 @@ def side(df: DataFrame, most: int = 400_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(node, component): for every node of `links` (a, b), the smallest node that it reaches.
+
+    Labels move to the smallest neighbour's label and then jump to that label's own label; each round is written to the
+    shared folder. The rounds grow with the logarithm of the longest path.
+    """
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    edges = written(both, "edges")
+    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    while True:
+        near = edges.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node"))
+        low = near.agg(F.min("component").alias("low"))
+        step = labels.join(low, "node", "left").select("node", F.least("component", "low").alias("component"))
+        target = labels.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        moved = step.join(target, "component", "left").select("node", F.least("component", "next").alias("component"))
+        after = written(moved, "labels")
+        changed = after.join(labels.withColumnRenamed("component", "old"), "node").where("component < old").limit(1).count()
+        labels = after
+        if not changed:
+            return labels
+
+
+def grouped_join(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """rows joined with groups, which has `key` once each and n, the rows of it; both are read several times, so cut their lineage.
+
+    Keys of more than a thousandth of the rows (there are at most a thousand of them) are joined by broadcast, the others by
+    shuffle (or broadcast, if counted few), so no key of the shuffled join is larger.
+    """
+    bound = max(1000, rows.count() // 1000)
+    hot, rest = F.broadcast(groups.where(F.col("n") > bound)), groups.where(F.col("n") <= bound)
+    return rows.join(hot, key).union(rows.join(hot.select(key), key, "left_anti").join(side(rest), key))
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, rows: int = 1_000, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most `rows` rows and about `size` bytes in `column`, so that what is made of one stays bounded."""
     for batch in batches:

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HAS_WORD, mixed as _mix, pieces, ranges, side, sliced, starts, table, word_codes, written
+from .common import HAS_WORD, components, grouped_join, mixed as _mix, pieces, ranges, side, sliced, starts, table, word_codes, written
 
 SHINGLE = 5
 #: Independent partitionings before the prefix filter.
@@ -51,7 +51,7 @@ SEEDS = 8
 #: Sets up to this size have a second-level partition for (about) each element, larger ones THIRDS of them.
 FINE, THIRDS = 66, 3
 #: A block of a list has at most so many documents, and so many shingles if its documents were all as long as the longest.
-BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+BLOCK, BLOCK_SHINGLES = 256, 1 << 19
 #: Of 256 hash classes of shingles, those that are counted before signatures are made.
 CLASSES = 102
 BUCKETS = 256
@@ -465,16 +465,17 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield rows
 
 
-_LINKS = {"a": pa.int64(), "b": pa.int64()}
+_SCREENED = {"a": pa.int64(), "b": pa.int64(), "doc_id": pa.int64()}
 
 
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges that connect the documents of a list that may match: by an upper bound on common elements, and not yet in one component.
+    """What may match by an upper bound on common elements, and is not yet in one component.
 
-    At most one edge for each document of a list, not one for each pair.
+    Rows (a, b): components that such possible links connect, one row less than components in a list; and rows (a, doc_id): the
+    documents at their ends, with their components. There is no row for each pair.
     """
     starts("jaccard")
-    out = []
+    out = set()
     for rows in _grouped(batches):
         _, docs, component, n, sketch = zip(*rows)
         component, n = np.array(component), np.array(n)
@@ -483,23 +484,28 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_end = np.array([x is None for x in sketch])
         counts = np.array([np.frombuffer(x or bytes(BUCKETS), np.uint8) for x in sketch])
         names, sizes = np.unique(component, return_counts=True)
-        trees = np.arange(len(docs))
+        trees, touched = np.arange(len(docs)), np.zeros(len(docs), bool)
         # of two documents of different components, one at least is not of the largest
         for i in np.flatnonzero(component != names[sizes.argmax()]).tolist():
-            near = np.flatnonzero(
-                (trees != trees[i]) & (component != component[i]) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i]))
-            )
+            near = np.flatnonzero((component != component[i]) & (4 * np.minimum(n, n[i]) >= 3 * np.maximum(n, n[i])))
             most = np.minimum(counts[i], counts[near]).sum(1, dtype=np.int64)
             may = near[(100 * most >= 75 * (n[near] + n[i] - most)) | open_end[near] | open_end[i]]
             if len(may):
+                touched[i] = touched[may] = True
                 joined = np.append(trees[may], trees[i])
                 trees[np.isin(trees, joined)] = joined.min()
-        out += [(docs[t], docs[i]) for i, t in enumerate(trees.tolist()) if docs[t] != docs[i]]
-        if len(out) >= 20_000:
-            yield _batch(_LINKS, out)
-            out = []
+        for tree in np.unique(trees[touched]).tolist():
+            ends = np.unique(component[(trees == tree) & touched]).tolist()
+            out.update((ends[0], c, None) for c in ends[1:])
+        out.update((int(component[i]), None, docs[i]) for i in np.flatnonzero(touched).tolist())
+        if len(out) >= 100_000:
+            yield _batch(_SCREENED, list(out))
+            out.clear()
     if out:
-        yield _batch(_LINKS, out)
+        yield _batch(_SCREENED, list(out))
+
+
+_LINKS = {"a": pa.int64(), "b": pa.int64()}
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -523,46 +529,16 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(_LINKS, links)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component): for every node of `links` (a, b), the smallest node that it reaches.
-
-    Labels move to the smallest neighbour's label and then jump to that label's own label; each round is written to the
-    shared folder. The rounds grow with the logarithm of the longest path.
-    """
-    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    edges = written(both, "edges")
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node"))
-        low = near.agg(F.min("component").alias("low"))
-        step = labels.join(low, "node", "left").select("node", F.least("component", "low").alias("component"))
-        target = labels.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        moved = step.join(target, "component", "left").select("node", F.least("component", "next").alias("component"))
-        after = written(moved, "labels")
-        changed = after.join(labels.withColumnRenamed("component", "old"), "node").where("component < old").limit(1).count()
-        labels = after
-        if not changed:
-            return labels
-
-
 def _within(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Semi or anti join on doc_id."""
     return docs.join(side(ids), "doc_id", how)
 
 
 def _copies(known: DataFrame) -> DataFrame:
-    """(doc_id, first): documents whose text another one of smaller doc_id has, too.
-
-    A text that more than a thousandth of the rows have is joined by broadcast (there are at most a thousand of them), so no
-    key of the shuffled join is larger.
-    """
+    """(doc_id, first): documents whose text another one of smaller doc_id has, too."""
     hashed = written(known.select("doc_id", F.sha2("text", 256).alias("h")), "texts")
-    bound = max(1000, hashed.count() // 1000)
     groups = written(hashed.groupBy("h").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
-    hot, rest = F.broadcast(groups.where(F.col("n") > bound)), groups.where(F.col("n") <= bound)
-    common = hashed.join(hot, "h")
-    other = hashed.join(hot.select("h"), "h", "left_anti").join(side(rest), "h")
-    return common.union(other).where("doc_id <> first").select("doc_id", "first")
+    return grouped_join(hashed, groups, "h").where("doc_id <> first").select("doc_id", "first")
 
 
 def _sorted(rows: DataFrame, parts: int) -> DataFrame:
@@ -596,9 +572,12 @@ def _unsettled(lists: DataFrame, done: DataFrame, labels: DataFrame) -> DataFram
     return rows.join(side(written(inside.union(ends), "unsettled")), "title").select(F.col("pair").alias("name"), "doc_id", "component")
 
 
-def _together(may: DataFrame, labels: DataFrame, sketches: DataFrame, block: int) -> DataFrame:
-    """(name, doc_id, component): documents that edges of `may` connect, each group as a list, or as every two of its blocks."""
-    rows = _labelled(components(may).select(F.col("node").alias("doc_id"), F.col("component").alias("g")), labels)
+def _together(may: DataFrame, sketches: DataFrame, block: int) -> DataFrame:
+    """(name, doc_id, component): documents whose components possible links connect, each group as a list, or as every two of
+    its blocks. may: as `_screen` gives it."""
+    groups = components(may.where("doc_id is null").select("a", "b")).select(F.col("node").alias("component"), F.col("component").alias("g"))
+    ends = may.where("doc_id is not null").select("doc_id", F.col("a").alias("component"))
+    rows = ends.join(side(groups), "component")
     rows = written(rows.join(side(sketches.groupBy("doc_id").agg(F.max("n").alias("n"))), "doc_id"), "together")
     half = block / 2
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / half), F.ceil(2 * F.sum("n") / BLOCK_SHINGLES)).cast("int")
@@ -648,8 +627,8 @@ def links(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     sketches = _within(near, open_.select("doc_id").distinct(), "left_semi").mapInArrow(_described, "doc_id long, n long, sketch binary")
     sketches = written(sketches, "sketches")
     wide = open_.join(side(sketches, 100_000), "doc_id").select("name", "doc_id", "component", "n", "sketch")
-    may = written(_sorted(wide, parts).mapInArrow(_screen, "a long, b long").distinct(), "may")
-    rest = _compared(_together(may, labels, sketches, block), near, parts, "second")
+    may = written(_sorted(wide, parts).mapInArrow(_screen, "a long, b long, doc_id long").distinct(), "may")
+    rest = _compared(_together(may, sketches, block), near, parts, "second")
     return found.union(rest).union(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
 
 

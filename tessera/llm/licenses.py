@@ -2,7 +2,8 @@
 
 A text is reduced to a canonical form (case, punctuation, copyright lines, equivalent spellings, white space), digested,
 and hash-joined to the digests of known licences. Two kinds of texts are looked up: the entire document, and each entire
-line of it, for the one-line notices that stand in for a licence.
+line of it, for the one-line notices that stand in for a licence. Known are the notices below and the public licence texts in
+`licences/`, with and without their usual titles.
 
 Defined results: null and blank texts have no licence and the digest of the empty text; a null doc_id keeps its row, but
 lines are linked by doc_id, so it has no notices; rows that repeat a doc_id share the notices of all of them; an empty
@@ -11,12 +12,14 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
-# Short notices and full texts of public licences, in natural order.
+# Short notices of public licences, in natural order.
 NOTICES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the MIT License."],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Released under the Apache License, Version 2.0."],
@@ -29,46 +32,26 @@ NOTICES = {
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under CC BY 4.0."],
     "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Licensed under the BSD 3-Clause License."],
 }
-TEXTS = {
-    "MIT": """MIT License
-
-Copyright (c) <year> <copyright holders>
-
-Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
-files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy,
-modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
-Software is furnished to do so, subject to the following conditions:
-
-The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
-Software.
-
-THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
-WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
-COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
-ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
-    "ISC": """ISC License
-
-Copyright (c) <year> <copyright holders>
-
-Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
-provided that the above copyright notice and this permission notice appear in all copies.
+# Titles that stand before a licence's text, in natural order. The text alone is known, too.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "All rights reserved."],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "All rights reserved."],
+    "Zlib": ["zlib License", "The zlib License"],
+    "Unlicense": ["The Unlicense"],
+}
 
-THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
-WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
-CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
-CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
-SOFTWARE.""",
-    "Apache-2.0": """Copyright <year> <copyright holders>
 
-Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
-License. You may obtain a copy of the License at
+def full_texts() -> dict[str, list[str]]:
+    """Public licence texts beside this module, one file each, named for the licence and perhaps the part of it."""
+    out: dict[str, list[str]] = {}
+    for path in sorted((Path(__file__).parent / "licences").glob("*.txt")):
+        body, name = path.read_text("utf-8"), path.stem.removesuffix("-notice").removesuffix("-terms")
+        out.setdefault(name, []).extend(["\n\n".join(x) for x in [(body,), *((t, body) for t in TITLES.get(name, []))]])
+    return out
 
-http://www.apache.org/licenses/LICENSE-2.0
 
-Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS
-IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
-language governing permissions and limitations under the License.""",
-}
 # Equivalent spellings, replaced as whole words after case and punctuation are gone.
 SPELLINGS = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense",
@@ -95,10 +78,14 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+def known_texts() -> dict[str, list[str]]:
+    full = full_texts()
+    return {k: [*NOTICES.get(k, []), *full.get(k, [])] for k in {**NOTICES, **full}}
+
+
 def known(spark: SparkSession, texts: dict[str, list[str]] | None = None) -> DataFrame:
     """(known_digest, license_id) of the given texts, by default of the texts and notices above."""
-    texts = texts or {k: [*NOTICES.get(k, []), *([TEXTS[k]] if k in TEXTS else [])] for k in {**NOTICES, **TEXTS}}
-    rows = [(i, t) for i, ts in texts.items() for t in ts]
+    rows = [(i, t) for i, ts in (texts or known_texts()).items() for t in ts]
     raw = spark.createDataFrame(rows, "license_id string, known_text string")
     return raw.select(digest(F.col("known_text")).alias("known_digest"), "license_id").groupBy("known_digest").agg(
         F.min("license_id").alias("license_id")

@@ -2,7 +2,9 @@
 
 Each source gets a target by weight; its shuffled documents get virtual finish times, cumulative words divided by the
 target, over up to two passes; the global order of finish times is cut at the total budget. Running totals are taken in
-two levels (slices, then rows of a slice), so neither a source nor the whole corpus has to be sorted in one task.
+two levels (slices, then rows of a slice), so neither a source nor the whole corpus has to be sorted in one task: a task
+orders one of SLICES slices of a source, and the slice of the time axis in which the budget ends, one of TICKS per unit.
+There is one row per source in `targets`, which one task orders.
 
 Defined results: null or empty texts have size 0 and take 0; a null source is a source of its own and comes last; repeated
 rows are separate documents; an empty table gives an empty result; other columns are ignored. Reruns give equal results:
@@ -96,18 +98,29 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1
 def repeated(docs: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
     """The rows of docs, all columns, each as often as the mix takes it.
 
-    Rows that are equal in doc_id, source and text share a line of the plan: each gets the mean of their passes, rounded up.
+    Rows that are equal in doc_id, source and text share a line of the plan; its passes are dealt to them one by one, so
+    together they are taken as often as planned.
     """
     plan = _mixed(docs, share, weights).where("size > 0")
     plan = plan.groupBy("doc_id", "source", "key").agg((F.sum("taken") / F.max("size")).cast("int").alias("_times"), F.count(F.lit(1)).alias("_rows"))
     plan = written(plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("key").alias("_k"), "_times", "_rows"), "mix-plan")
-    keyed = docs.withColumn("_key", _key())
-    joined = keyed.join(
-        plan.where("_times > 0"),
-        (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")),
-    )
-    copies = F.ceil(F.col("_times") / F.col("_rows")).cast("int")
-    return joined.withColumn("_n", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
+    same = (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s"))
+    joined = docs.withColumn("_key", _key()).join(plan.where("_times > 0"), same)
+    once = joined.where("_rows = 1").withColumn("_n", F.col("_times"))
+    several = plan.where("_rows > 1 and _times > 0")
+    if several.limit(1).count():
+        # equal rows are numbered in two levels, by partition and within it, so that very many of them are not one task
+        equal = written(joined.where("_rows > 1").withColumn("_part", F.spark_partition_id()), "mix-equal")
+        line = ["_k", "_d", "_s"]
+        counts = equal.groupBy(*line, "_part").agg(F.count(F.lit(1)).alias("_c"))
+        earlier = Window.partitionBy(*line).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.select(*[F.col(c).alias(f"{c}2") for c in (*line, "_part")], F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"))
+        on = (F.col("_k") == F.col("_k2")) & (F.col("_part") == F.col("_part2")) & F.col("_d").eqNullSafe(F.col("_d2")) & F.col("_s").eqNullSafe(F.col("_s2"))
+        nth = F.row_number().over(Window.partitionBy(*line, "_part").orderBy(F.xxhash64(*docs.columns))) + F.col("_before")
+        base = F.floor(F.col("_times") / F.col("_rows"))
+        more = (nth <= F.col("_times") - base * F.col("_rows")).cast("int")
+        once = once.unionByName(equal.join(counts, on).withColumn("_n", (base + more).cast("int")).select(*once.columns))
+    return once.withColumn("_n", F.explode(F.when(F.col("_n") > 0, F.sequence(F.lit(1), F.col("_n"))))).select(*docs.columns)
 
 
 def _mixed(docs: DataFrame, share: float, weights: tuple[int, ...]) -> DataFrame:

@@ -48,7 +48,7 @@ def _canonical(text: str) -> str:
 
 
 def _op4() -> str:
-    every = [(i, t) for i in {**licenses.NOTICES, **licenses.TEXTS} for t in [*licenses.NOTICES.get(i, []), *([licenses.TEXTS[i]] if i in licenses.TEXTS else [])]]
+    every = [(i, t) for i, ts in licenses.known_texts().items() for t in ts]
     values = ", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in every)
     return f"""
 WITH k AS (SELECT {_canonical('t')} AS digest, min(id) AS license_id FROM (VALUES {values}) AS v(id, t) GROUP BY 1),

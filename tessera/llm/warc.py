@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pieces, scratch_path, table
+from .common import grouped_join, pieces, scratch_path, table, written
 
 DICT_MAGIC = 0x184D2A5D
 #: An empty skippable frame, the separator between rows in the files.
@@ -98,17 +98,38 @@ def frames(data: bytes) -> Iterator[bytes]:
                 decoder = zstandard.ZstdDecompressor(dict_data=dictionary)
             at += 8 + size
             continue
-        one = decoder.decompressobj()
+        end = _frame_end(view, at)
         try:
-            raw = one.decompress(view[at:])
+            raw = decoder.decompressobj().decompress(view[at:end])
         except zstandard.ZstdError as e:
             raise WarcError(f"bad frame at {at}: {e}") from e
-        if not one.eof:
-            raise WarcError("the archive ends within a frame")
-        at = len(view) - len(one.unused_data)
+        at = end
         yield raw
 
 
+def _frame_end(view: memoryview, at: int) -> int:
+    """Where the Zstandard frame that begins at `at` ends, from its header and the headers of its blocks; nothing is copied."""
+    if bytes(view[at : at + 4]) != b"\x28\xb5\x2f\xfd":
+        raise WarcError(f"no frame at {at}")
+    try:
+        about, pos = view[at + 4], at + 5
+        single = about >> 5 & 1
+        pos += (0 if single else 1) + (0, 1, 2, 4)[about & 3] + (single, 2, 4, 8)[about >> 6]
+        last = 0
+        while not last:
+            head = view[pos] | view[pos + 1] << 8 | view[pos + 2] << 16
+            last, kind = head & 1, head >> 1 & 3
+            if kind == 3:
+                raise WarcError(f"bad block at {pos}")
+            pos += 3 + (1 if kind == 1 else head >> 3)
+    except IndexError as e:
+        raise WarcError("the archive ends within a frame") from e
+    pos += 4 * (about >> 2 & 1)
+    if pos > len(view):
+        raise WarcError("the archive ends within a frame")
+    return pos
+
+
 def _dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
     try:
         return zstandard.train_dictionary(DICT_SIZE, samples) if len(samples) >= 16 else None
@@ -170,10 +191,11 @@ def with_revisits(pages: DataFrame, parts: int | None = None) -> DataFrame:
     """
     html = F.coalesce("html", F.lit(""))
     size, digest = F.octet_length(html).cast("long").alias("payload_bytes"), F.sha2(html, 256).alias("payload_digest")
-    key = F.coalesce(F.col("page_id").cast("string"), F.lit("-")).alias("_key")
-    narrow = pages.select(key, "page_id", size, digest).where(F.col("payload_bytes") >= MIN_REVISIT)
+    # null page_ids are told apart by their payloads, so that they are no one group
+    key = F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("-"), F.sha2(html, 256))).alias("_key")
+    narrow = written(pages.select(key, "page_id", size, digest).where(F.col("payload_bytes") >= MIN_REVISIT).drop("payload_bytes"), "payloads")
     groups = narrow.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first")).where("n > 1")
-    again = narrow.join(groups, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
+    again = grouped_join(narrow, written(groups, "groups"), "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
     found = again.groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("payload_digest", "first"))).alias("_first"))
     sized = pages.select(key, "page_id", "url", "html", size, digest)
     if parts:

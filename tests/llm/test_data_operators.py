@@ -113,6 +113,64 @@ def test_mix_of_little(spark):
     assert one.taken[0] <= 8 and one.target[0] == 6.0
 
 
+def _fair(rows):
+    """Words taken of each row (key, doc_id, source, size), one finish time after another; documents are shuffled by slice and key."""
+    total, per = sum(r[3] for r in rows), {}
+    for _, _, source, size in rows:
+        per[source] = per.get(source, 0) + size
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(per, key=lambda s: (s is None, s)))}
+    target, left, budget = {}, dict(per), 1.5 * total
+    while left:  # hold at its limit whatever its share by weight exceeds, then share again
+        rate = budget / sum(weight[s] for s in left)
+        full = [s for s in left if rate * weight[s] > 2 * per[s]]
+        if not full:
+            target |= {s: rate * weight[s] for s in left}
+            break
+        for s in full:
+            target[s] = 2.0 * per[s]
+            budget -= target[s]
+            del left[s]
+    items = []
+    for source in per:
+        cum = 0
+        for i, (key, doc, _, size) in sorted(((i, r) for i, r in enumerate(rows) if r[2] == source), key=lambda x: ((x[1][0] >> 20) % mixing.SLICES, x[1][0], x[1][1], x[1][3])):
+            cum += size
+            items += [((n * per[source] + cum) / target[source], (source is not None, source), key, doc, n, i) for n in (0, 1) if size and target[source]]
+    taken, used = [0] * len(rows), 0
+    for *_, i in sorted(items):
+        if used + rows[i][3] > int(1.5 * total):
+            break
+        used += rows[i][3]
+        taken[i] += rows[i][3]
+    return taken, target
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mix_equals_a_plain_fair_queue(spark, seed):
+    rng = random.Random(seed)
+    sources = ["a", "b", "c", "d", None]
+    rows = [(i, "w " * rng.choice([0, 1, 5, 40, 900]) + f"t{i}" * (i % 7 > 0), rng.choices(sources, [9, 1, 1, 3, 1])[0]) for i in range(400)]
+    df = _frame(spark, rows, "doc_id long, text string, source string")
+    keyed = [tuple(r) for r in df.select(mixing._key(), "doc_id", "source", mixing.words(df["text"])).collect()]
+    taken, target = _fair(keyed)
+    want = {r[1]: (t, target[r[2]]) for r, t in zip(keyed, taken)}
+    out = mixing.mix(df).collect()
+    assert {r["doc_id"]: r["taken"] for r in out} == {d: t for d, (t, _) in want.items()}
+    assert all(abs(r["target"] - want[r["doc_id"]][1]) < 1e-6 * max(1, r["target"]) for r in out)
+
+
+def test_equal_rows_are_repeated_as_often_as_planned(spark):
+    rows = [(1, "a b c", "s", i) for i in range(5)] + [(i, "x y " * i, "t", i) for i in range(2, 9)]
+    df = _frame(spark, rows, "doc_id long, text string, source string, n long")
+    plan = {}
+    for r in mixing.mix(df).collect():
+        plan[r["doc_id"]] = plan.get(r["doc_id"], 0) + r["taken"] // max(r["size"], 1)
+    got = {}
+    for r in mixing.repeated(df).collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
+    assert got == {d: n for d, n in plan.items() if n}
+
+
 # --- Jaccard join ------------------------------------------------------------------------------------------------------
 
 

@@ -2,9 +2,11 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
+import regex
 
 from tessera.llm import classifier, decontaminate, licenses, quality_rules, quotes
 
@@ -51,7 +53,7 @@ def test_quality_rules_on_an_empty_table(spark):
 
 
 def test_licences_by_text_and_by_line(spark):
-    mit = licenses.TEXTS["MIT"]
+    mit = next(t for t in licenses.full_texts()["MIT"] if t.startswith("MIT License"))
     texts = [mit, mit.upper().replace("Copyright (c) <year>".upper(), "Copyright (C) 2020 Someone"), mit.replace("License", "Licence"), "Some prose.\nReleased under the MIT License.\nMore.", "released, under THE mit licence!", None, "", "MIT License and more"]
     out = {r["doc_id"]: r for r in licenses.scan(_docs(spark, texts, extra=True)).collect()}
     assert [out[i]["license_id"] for i in range(8)] == ["MIT", "MIT", "MIT", None, "MIT", None, None, None]
@@ -75,7 +77,8 @@ def test_quotes_link_to_their_originals(spark):
     assert (at[2, 0]["parent_conv"], at[2, 0]["parent_turn"]) == (1, 1)
     assert at[4, 0]["n_quotes"] == 1 and at[4, 0]["n_linked"] == 0 and at[4, 0]["parent_conv"] is None
     assert sorted(r["reply_order"] for r in out if r["conv_id"] == 1) == [1, 2, 3]
-    assert sorted(r["reply_order"] for r in out if r["conv_id"] == 2) == [1, 2]
+    # the second conversation answers the first, so both are one thread; its two equal rows are one message
+    assert [(r["reply_order"], r["thread_id"], r["depth"]) for r in out if r["conv_id"] == 2] == [(4, 1, 2)] * 2
 
 
 def test_quotes_of_some_lines_of_a_paragraph(spark):
@@ -92,6 +95,128 @@ def test_quotes_of_some_lines_of_a_paragraph(spark):
     assert parent(2, 0) == (1, 1, 1, 0) and parent(3, 0) == (1, 0, None, None) and parent(4, 2) == (1, 1, 4, 0)
 
 
+def test_every_known_text_is_found_whole(spark):
+    known = [(k, t) for k, ts in licenses.known_texts().items() for t in ts]
+    assert {"GPL-3.0", "Apache-2.0", "BSD-3-Clause", "MPL-2.0", "CC0-1.0", "Unlicense"} <= {k for k, _ in known}
+    texts = [t.upper() if i % 2 else "  " + "\r\n".join(t.split("\n")) for i, (_, t) in enumerate(known)]
+    out = {r["doc_id"]: r["license_id"] for r in licenses.scan(_docs(spark, [*texts, "x " + texts[0]])).collect()}
+    assert [out[i] for i in range(len(texts))] == [k for k, _ in known] and out[len(texts)] is None
+    assert licenses.scan(_docs(spark, [])).count() == 0
+    odd = spark.createDataFrame([(None, None), (None, texts[0]), (1, "word " * 200_000)], "doc_id long, text string")
+    assert sorted(str(r["license_id"]) for r in licenses.scan(odd).collect()) == sorted(["None", "None", known[0][0]])
+
+
+def _messages(seed, n):
+    """Messages that quote whole paragraphs or lines of others, in order, out of order, across conversations, and in circles."""
+    rng = random.Random(seed)
+    said = {i: "\n".join(f"Sentence {rng.randint(0, 10**6)} of m{i}." for _ in range(rng.randint(1, 3))) for i in range(n)}
+    rows = []
+    for i in range(n):
+        conv, turn = rng.choice([None, *range(1, n // 5)]), rng.choice([None, *range(4)])
+        parts = []
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            lines = said[rng.randrange(n)].split("\n")
+            a = rng.randrange(len(lines))
+            depth = rng.choice(["> ", "> ", "> > "])
+            parts.append("\n".join(depth + x for x in lines[a : rng.randint(a + 1, len(lines))]))
+        rows.append((conv, turn, "user", "\n\n".join([*parts, rng.choice(["> ***\n", ""]) + said[i]])))
+    return rows + rows[:3]
+
+
+def _walked(rows, mids):
+    """Threads, answers and depth-first numbers one message at a time."""
+    fold = lambda t: regex.sub(r"[^\p{L}\p{N}]+", " ", t.lower()).strip()
+    nodes, own, quotes_ = {}, {}, {}
+    for (conv, turn, _, text), mid in zip(rows, mids):
+        nodes[mid] = (conv if conv is not None else -(1 << 63), (turn is not None, turn or 0), mid)
+        runs, last = [], None
+        for line in text.split("\n"):
+            depth = line.count(">") if line.startswith(">") else 0
+            body = line.lstrip("> ") if depth else line
+            if not body.strip():
+                last = None
+                continue
+            if last != depth:
+                runs.append((depth, []))
+            runs[-1][1].append(body)
+            last = depth
+        own[mid] = {fold(x) for d, ls in runs if not d for x in [*ls, "\n".join(ls)]}
+        quotes_[mid] = {(d, fold("\n".join(ls))): [fold("\n".join(ls)), *(map(fold, ls) if len(ls) > 1 else [])] for d, ls in runs if d}
+    order = sorted(nodes, key=nodes.get)
+    up, linked = {}, {}
+    for m in nodes:
+        found = []
+        for (depth, _), keys in quotes_[m].items():
+            for k in filter(None, keys):
+                inside = next((x for x in order if nodes[x][0] == nodes[m][0] and k in own[x]), None)
+                far = next((x for x in order if k in own[x]), None) if len(k.split()) >= 3 else None
+                to = inside if inside and nodes[inside] < nodes[m] else far if far and far != m else inside if inside != m else None
+                if to:
+                    found.append((depth, nodes[to], to))
+                    break
+        linked[m] = len(found)
+        if found:
+            up[m] = min(found)[2]
+    parent = dict(up)
+    for m in sorted(nodes):  # the smallest of each circle is met first
+        x = m
+        for _ in nodes:
+            x = up.get(x)
+            if x == m and not any(y < m for y in _ring(up, m)):
+                del up[m]
+                break
+    thread = {nodes[m][0]: nodes[m][0] for m in nodes}
+    find = lambda c: c if thread[c] == c else find(thread[c])
+    for m, p in up.items():
+        a, b = sorted((find(nodes[m][0]), find(nodes[p][0])))
+        thread[b] = a
+    below = {}
+    for m in order:
+        below.setdefault(up.get(m, find(nodes[m][0])), []).append(m)
+    place, depth = {}, {}
+
+    def visit(m, level, counter):
+        counter[0] += 1
+        place[m], depth[m] = counter[0], level
+        for x in below.get(m, []):
+            visit(x, level + 1, counter)
+
+    for t in {find(c) for c in thread}:
+        counter = [0]
+        for m in below.get(t, []):
+            visit(m, 0, counter)
+    return {m: (linked[m], nodes[parent[m]][0] if m in parent else None, find(nodes[m][0]), depth[m], place[m]) for m in nodes}
+
+
+def _ring(up, m):
+    x, out = up[m], [m]
+    while x != m:
+        out.append(x)
+        x = up[x]
+    return out
+
+
+@pytest.mark.parametrize("seed,n", [(1, 40), (2, 60), (3, 15)])
+def test_threads_equal_a_plain_walk(spark, seed, n):
+    rows = _messages(seed, n)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    mids = [r["mid"] for r in quotes.parse(df.coalesce(1)).collect()]
+    want = _walked(rows, mids)
+    out = quotes.link(df).collect()
+    none = lambda x: None if x == -(1 << 63) else x
+    got = [(r["n_linked"], r["parent_conv"], r["thread_id"], r["depth"], r["reply_order"]) for r in out]
+    assert sorted(got, key=str) == sorted([(a, none(b), none(c), d, e) for a, b, c, d, e in (want[m] for m in mids)], key=str)
+
+
+def test_threads_of_nothing_and_long_texts(spark):
+    schema = "conv_id long, turn long, role string, text string"
+    assert quotes.link(spark.createDataFrame([], schema)).count() == 0
+    long = " ".join(f"word{i}" for i in range(20_000))
+    out = quotes.link(spark.createDataFrame([(1, 2, "user", "> " + long + "\nyes"), (1, 5, "user", long), (2, 1, "user", "> > \n> }")], schema)).collect()
+    at = {(r["conv_id"], r["turn"]): (r["parent_turn"], r["depth"], r["reply_order"]) for r in out}
+    assert at == {(1, 5): (None, 0, 1), (1, 2): (5, 1, 2), (2, 1): (None, 0, 1)}
+
+
 def test_trees_follow_a_plain_walk():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(600, 4))
@@ -164,15 +289,48 @@ def test_leaks_are_found_also_when_reordered(spark):
     out = {r["doc_id"]: r for r in decontaminate.scan(_docs(spark, texts, extra=True), bench).collect()}
     assert [out[i]["contaminated"] for i in range(7)] == [True, True, False, False, False, False, True]
     assert out[0]["item_ids"] == [7] and out[0]["cover"] == 1.0 and out[6]["item_ids"] == [10]
-    blocks = decontaminate.scan(_docs(spark, texts), bench, block_mb=0.0001)
-    assert {(r["doc_id"], tuple(sorted(set(r["item_ids"])))) for r in blocks.collect()} == {(i, tuple(out[i]["item_ids"])) for i in range(7)}
+    shuffled = decontaminate.scan(_docs(spark, texts), bench, max_seeds=1)
+    assert {(r["doc_id"], tuple(sorted(set(r["item_ids"])))) for r in shuffled.collect()} == {(i, tuple(out[i]["item_ids"])) for i in range(7)}
+    assert {r["doc_id"] for r in decontaminate.clean(_docs(spark, texts, extra=True), bench).collect()} == {2, 3, 4, 5}
+    assert decontaminate.scan(_docs(spark, []), bench).count() == 0
     nothing = decontaminate.scan(_docs(spark, texts), bench.limit(0))
     assert not any(r["contaminated"] for r in nothing.collect())
 
 
 @pytest.mark.parametrize("size", [1, 4, 32, 100])
 def test_windows_of_the_running_hash_agree(size):
-    codes = [random.Random(1).randint(1, 5) for _ in range(200)]
-    seen = {}
-    for h, i in decontaminate._windows(codes, [False] * len(codes), size):
-        assert seen.setdefault(h, codes[i : i + size]) == codes[i : i + size]
+    codes, seen = np.array([random.Random(1).randint(1, 5) for _ in range(200)], np.uint64), {}
+    for part in (codes, codes[37:]):
+        for i, h in zip(*decontaminate._windows(part, np.zeros(len(part), bool), size, decontaminate._powers(200))):
+            assert seen.setdefault(int(h), part[i : i + size].tolist()) == part[i : i + size].tolist()
+    assert len(seen) == len({tuple(codes[i : i + size].tolist()) for i in range(201 - size)})
+
+
+@pytest.mark.parametrize("max_seeds", [10**6, 0])
+def test_covers_equal_brute_force(spark, max_seeds):
+    rng = random.Random(max_seeds)
+    items = [(i, " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 9)) for _ in range(rng.choice([2, 5, 12, 40])))) for i in range(25)] + [(3, "a1 b2")]
+    texts = []
+    for _ in range(60):
+        parts = [rng.choice(items)[1].split() for _ in range(rng.randint(0, 3))]
+        texts.append(" ".join(w for p in parts for a in [rng.randrange(len(p))] for w in ["zz", *p[a:], *rng.choices("xyz", k=rng.randint(0, 3)), *p[:a]]).title())
+    found = decontaminate.scan(_docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), max_seeds=max_seeds).collect()
+    for r in found:
+        best = {}
+        for i, t in items:
+            item, text = t.split(), texts[r["doc_id"]].lower().split()
+            share = sum(n for _, _, n in _brute_tiles(text, item, min(5, len(item)))) / len(item)
+            if share >= 0.5:
+                best[i] = max(share, best.get(i, 0))
+        assert r["item_ids"] == sorted(best) and abs(r["cover"] - max(best.values(), default=0)) < 1e-12
+
+
+def test_repetitive_and_long_texts_take_little_time():
+    began = time.time()
+    same = np.ones(20_000, np.uint64)
+    assert decontaminate.covered(same, same[:200], 5) == 1.0
+    two = np.tile(np.array([1, 2, 3, 1, 2], np.uint64), 4000)
+    assert decontaminate.covered(two, np.tile(np.array([1, 2, 3], np.uint64), 60), 5) >= 0.0
+    assert time.time() - began < 10
+
+
