@@ -17,15 +17,16 @@ from tessera import schema
 from tessera.functions import measures as M
 from tessera.functions import names as N
 from tessera.functions.strings import with_similarity
-from tessera.operators import blocking, calibrate, cluster, collective, evaluate, exports, graph, hotspots, linkage, profiles, reconcile, retrieval, scope
+from tessera.operators import blocking, calibrate, cluster, collective, evaluate, exports, graph, hotspots, linkage, profiles, reconcile, retrieval, scope, studies
+from tessera.operators import resolve as resolve_module
 from tessera.operators.resolve import resolve
 from tessera.plans import questions
-from tessera.sources import adapter
+from tessera.sources import adapter, corpus
 from tessera.streaming import decisions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "resolve_parts"
+FLAGSHIP = "resolve_people"
 
 
 def query(sql: str | None = None):
@@ -398,11 +399,27 @@ def isotonic_calibration(spark, sf):
     return calibrate.isotonic(s, "v", "y").groupBy("v").agg(F.round(F.first("probability"), 6).alias("probability"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def _em_sql() -> str:
+    """The fit in SQL: counts per level of seeds and of all pairs, smoothed; p by a fixed number of rounds of a recursion."""
+    at = {"brand": (2, "kind >= 1 AND size >= 2"), "kind": (2, "brand >= 1 AND size >= 2"), "size": (3, "brand >= 1 AND kind >= 1")}
+    levels = " UNION ALL ".join(
+        f"SELECT '{s}' AS signal, CAST(v.level AS INTEGER) AS level, coalesce(sum(n) FILTER (WHERE {s} = v.level), 0) AS every, coalesce(sum(n) FILTER (WHERE {s} = v.level AND {seed}), 0) AS seed FROM o CROSS JOIN (SELECT unnest(range({k})) AS level) v GROUP BY v.level"
+        for s, (k, seed) in at.items()
+    )
+    ratio = " * ".join(f"(SELECT m / u FROM w WHERE w.signal = '{s}' AND w.level = o.{s})" for s in at)
+    return (
+        f"{_CL.replace('WITH ', 'WITH RECURSIVE ', 1)}, o AS (SELECT brand, kind, size, CAST(count(*) AS DOUBLE) AS n FROM p GROUP BY brand, kind, size), l AS ({levels}), "
+        "w AS (SELECT signal, level, every, (seed + 1) / (sum(seed) OVER (PARTITION BY signal) + count(*) OVER (PARTITION BY signal) + 1) AS m, (every + 1) / (sum(every) OVER (PARTITION BY signal) + count(*) OVER (PARTITION BY signal) + 1) AS u FROM l), "
+        f"r AS (SELECT n, {ratio} AS r FROM o), e(t, p) AS (SELECT 0, CAST(0.003 AS DOUBLE) UNION ALL SELECT t + 1, greatest(least((SELECT sum(r.n * e.p * r.r / (e.p * r.r + 1 - e.p)) / sum(r.n) FROM r), 1 - 1e-9), 1e-9) FROM e WHERE t < 300) "
+        "SELECT signal, level, round(CASE WHEN every >= 30 THEN ln(m / u) ELSE 0.0 END, 6) AS weight, CAST(every AS BIGINT) AS support, round((SELECT p FROM e WHERE t = 300), 4) AS p FROM w"
+    )
+
+
+@query(_em_sql())
 def em_fit(spark, sf):
-    model = linkage.fit(_candidate_levels(spark, sf), {"brand": 2, "kind": 2, "size": 3}, {"brand": 1, "kind": 1, "size": 2})
+    model = linkage.fit(_candidate_levels(spark, sf), {"brand": 2, "kind": 2, "size": 3}, {"brand": 1, "kind": 1, "size": 2}, tolerance=0.0)
     rows = [(s, i, float(w), model.support[s][i]) for s, ws in model.weights().items() for i, w in enumerate(ws)]
-    return spark.createDataFrame(rows, "signal string, level int, weight double, support long").withColumn("p", F.lit(model.p))
+    return spark.createDataFrame(rows, "signal string, level int, weight double, support long").select("signal", "level", F.round("weight", 6).alias("weight"), "support", F.round(F.lit(model.p), 4).alias("p"))
 
 
 @query()
@@ -412,10 +429,55 @@ def agglomerate(spark, sf):
 
 
 @query()
-def resolve_parts(spark, sf):
-    """Resolution end to end over parts whose brand is given; the flagship."""
-    p = parts(spark, sf).select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 97).alias("case_id"), F.concat_ws(" ", "p_name", F.regexp_replace("p_brand", "[^0-9]", "")).alias("name"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.col("p_type").alias("type"))
-    return resolve(p)
+def resolve_people(spark, sf):
+    """Resolution end to end over the mentions of a corpus with known people; the flagship."""
+    return resolve(corpus.mentions(spark, sf), graph.root_paths(corpus.units(spark)))
+
+
+@query()
+def resolve_metrics(spark, sf):
+    """Pair metrics of the flagship against the people that the corpus was made from, and how often clusters break a case."""
+    m = corpus.mentions(spark, sf)
+    found = cluster.checkpointed(resolve(m, graph.root_paths(corpus.units(spark))))
+    labelled = found.join(m.select("id", "person", "case_id"), "id")
+    broken = cluster.violations(found.select(F.col("id").alias("node"), F.col("identity").alias("cluster")), m.select(F.col("id").alias("node"), F.col("case_id").alias("case")))
+    return cluster.pairwise(labelled, "identity", "person").withColumn("violations", broken.scalar())
+
+
+@query()
+def signal_report(spark, sf):
+    levels = cluster.checkpointed(resolve_module.compare(corpus.mentions(spark, sf), graph.root_paths(corpus.units(spark))))
+    truth = studies.true_pairs(corpus.mentions(spark, sf)).withColumn("match", F.lit(1))
+    return studies.signal_report(levels.join(truth, ["a", "b"], "left").fillna(0, ["match"]), resolve_module.SIGNALS, "match")
+
+
+@query()
+def recoverability(spark, sf):
+    m = corpus.mentions(spark, sf)
+    return studies.tiers(m.withColumn("born", M.implied_birth_year(F.col("day"), F.col("age"))), studies.true_pairs(m))
+
+
+@query()
+def blocking_completeness(spark, sf):
+    m = corpus.mentions(spark, sf)
+    keyed = blocking.with_keys(m, "name", "circle", blocking.FAMILIES).select("id", "keys")
+    return studies.blocking_report(keyed, studies.true_pairs(m))
+
+
+@query()
+def corpus_manifest(spark, sf):
+    return corpus.manifest(corpus.mentions(spark, sf))
+
+
+@query()
+def baseline_metrics(spark, sf):
+    return studies.baselines(corpus.mentions(spark, sf))
+
+
+@query()
+def other_people(spark, sf):
+    m = corpus.mentions(spark, sf).withColumn("address", F.concat_ws(", ", F.concat(F.lit("house "), F.pmod(F.xxhash64("person"), F.lit(900))), F.col("district")))
+    return studies.singletons_and_merges(resolve_module.other_people(m))
 
 
 # --- graph, profiles, hotspots, retrieval ------------------------------------------------------------------------------
@@ -623,6 +685,198 @@ def equivalent_codes(spark, sf):
     return reconcile.equivalents(reconcile.code_table(spark))
 
 
+# --- more of the reports, over the tables -------------------------------------------------------------------------------
+
+
+@query(f"{_LV}, s AS (SELECT CASE kind WHEN 0 THEN -0.5 ELSE 1.75 END + CASE size WHEN 0 THEN -2.0 WHEN 1 THEN 0.5 ELSE 3.0 END AS v, CAST((a + b) % 3 = 0 AS INTEGER) AS y FROM p), g AS (SELECT v, count(*) AS n, sum(y) AS pos FROM s GROUP BY v), c AS (SELECT v, sum(n) OVER (ORDER BY v DESC) AS taken, sum(pos) OVER (ORDER BY v DESC) AS tp, sum(pos) OVER () AS total FROM g) SELECT CAST(v AS DOUBLE) AS cut, round(CAST(tp AS DOUBLE) / taken, 6) AS precision, round(CAST(tp AS DOUBLE) / total, 6) AS recall, round(tp * 2.0 / (taken + total), 6) AS f1 FROM c ORDER BY tp * 2.0 / (taken + total) DESC, v DESC LIMIT 1")
+def best_cut(spark, sf):
+    s = _levels(spark, sf).select((linkage.score({"kind": _WEIGHTS["kind"], "size": _WEIGHTS["size"]})).alias("v"), ((F.col("a") + F.col("b")) % 3 == 0).cast("int").alias("y"))
+    return linkage.best_cut(s, "v", "y").select("cut", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("WITH v AS (SELECT c_acctbal AS v, CAST(c_mktsegment = 'BUILDING' AS INTEGER) AS y FROM customer), q AS (SELECT quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM v), b AS (SELECT v, y, CAST(len(list_filter(e, lambda x: v >= x)) AS INTEGER) AS bin FROM v CROSS JOIN q) SELECT bin, count(*) AS n, round(avg(v), 6) AS mean_value, round(avg(y), 6) AS mean_label FROM b GROUP BY bin")
+def reliability(spark, sf):
+    rows = read(spark, sf, "customer").select(F.col("c_acctbal").alias("v"), (F.col("c_mktsegment") == "BUILDING").cast("int").alias("y"))
+    return calibrate.reliability(rows, "v", "y")
+
+
+@query("WITH s AS (SELECT CASE WHEN o_orderkey % 100 >= 92 THEN 0 WHEN o_orderkey % 100 >= 65 THEN 1 ELSE 2 END AS route, CAST(o_custkey % 4 > 0 AS INTEGER) AS y FROM orders) SELECT CAST(route AS INTEGER) AS route, count(*) AS pairs, CAST(sum(1 - y) AS BIGINT) AS false_merges, round(avg(1.0 - y), 6) AS false_rate FROM s GROUP BY route")
+def routing_report(spark, sf):
+    s = read(spark, sf, "orders").select((F.col("o_orderkey") % 100 / 100.0).alias("p"), (F.col("o_custkey") % 4 > 0).cast("int").alias("y"))
+    return calibrate.routing_report(s.withColumn("route", calibrate.route(F.col("p"))), "route", "y")
+
+
+_AN = "n AS (SELECT identity, name, count(*) AS n, min(mention) AS f FROM m GROUP BY identity, name), an AS (SELECT identity, name AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY identity ORDER BY n DESC, f) AS p FROM n) q WHERE p = 1), z AS (SELECT m.case_id, m.identity, bool_or(m.name = an.anchor) AS plain FROM m JOIN an ON an.identity = m.identity GROUP BY m.case_id, m.identity), e AS (SELECT x.identity AS a, y.identity AS b, count(*) AS shared_cases, NOT bool_or(x.plain AND y.plain) AS recovered FROM z x JOIN z y ON x.case_id = y.case_id AND x.identity < y.identity GROUP BY x.identity, y.identity)"
+
+
+@query(f"WITH {MEN}, {_AN}, d AS (SELECT node, count(*) AS d FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) x GROUP BY node) SELECT (SELECT count(DISTINCT identity) FROM m) AS nodes, count(*) AS edges, CAST(sum(CAST(recovered AS INTEGER)) AS BIGINT) AS recovered, round(CAST(sum(CAST(recovered AS INTEGER)) AS DOUBLE) / count(*), 4) AS recovered_share, round(count(*) * 2.0 / (SELECT count(DISTINCT identity) FROM m), 4) AS mean_degree, (SELECT max(d) FROM d) AS max_degree FROM e")
+def graph_report(spark, sf):
+    m = mentions(spark, sf)
+    return graph.report(graph.edges(m), m.select("identity").distinct())
+
+
+@query(f"WITH {MEN}, {_AN}, d AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), one AS (SELECT DISTINCT b AS node FROM d WHERE a = 801), near AS (SELECT node FROM one UNION SELECT d.b FROM one JOIN d ON d.a = one.node UNION SELECT 801) SELECT a, b, shared_cases FROM e WHERE a IN (SELECT node FROM near) AND b IN (SELECT node FROM near)")
+def ego_network(spark, sf):
+    return graph.ego(graph.edges(mentions(spark, sf)), 801).select("a", "b", "shared_cases")
+
+
+@query(f"WITH {MEN}, {CAS}, j AS (SELECT m.*, k.district FROM m JOIN k ON k.case_id = m.case_id), g AS (SELECT identity, count(DISTINCT case_id) AS cases, count(DISTINCT name) AS names, count(DISTINCT district) AS districts FROM j GROUP BY identity) SELECT count(*) AS identities, max(cases) AS most_cases, max(names) AS most_names, CAST(sum(CAST(cases > 1 AS INTEGER)) AS BIGINT) AS repeat, CAST(sum(CAST(districts > 1 AS INTEGER)) AS BIGINT) AS travelling FROM g")
+def profile_report(spark, sf):
+    return profiles.report(profiles.build(mentions(spark, sf), cases(spark, sf)))
+
+
+@query("WITH RECURSIVE w(unit, path) AS (SELECT UnitID, [UnitID] FROM Unit WHERE ParentUnitID IS NULL UNION ALL SELECT u.UnitID, list_append(w.path, u.UnitID) FROM Unit u JOIN w ON u.ParentUnitID = w.unit) SELECT x.unit AS a, y.unit AS b, CAST(CASE WHEN x.path[1] = y.path[1] THEN len(x.path) + len(y.path) - 2 * len(list_intersect(x.path, y.path)) END AS INTEGER) AS hops FROM w x JOIN w y ON x.unit < y.unit")
+def unit_hops(spark, sf):
+    units = adapter.tables(spark, sf)["Unit"].select(F.col("UnitID").alias("unit"), F.col("ParentUnitID").alias("parent"))
+    p = graph.root_paths(units)
+    x, y = p.select(F.col("unit").alias("a"), F.col("path").alias("x")), p.select(F.col("unit").alias("b"), F.col("path").alias("y"))
+    return x.join(F.broadcast(y), F.col("a") < F.col("b")).select("a", "b", M.hops(F.col("x"), F.col("y")).alias("hops"))
+
+
+@query(f"WITH {MEN}, {CAS}, {_RP}, g AS (SELECT round(floor(lat / 0.25) * 0.25, 4) AS cell_lat, round(floor(lon / 0.25) * 0.25, 4) AS cell_lon, {_DENS} FROM m JOIN k ON k.case_id = m.case_id LEFT JOIN rp ON rp.identity = m.identity GROUP BY 1, 2) SELECT cell_lat, cell_lon, cases, offenders FROM g ORDER BY cases DESC, cell_lat, cell_lon LIMIT 20")
+def densest_cells(spark, sf):
+    return hotspots.densest(hotspots.grid(mentions(spark, sf), cases(spark, sf))).select("cell_lat", "cell_lon", "cases", "offenders")
+
+
+@query(f"WITH {MEN}, {CAS}, {_AN}, l AS (SELECT DISTINCT identity AS node, identity % 60 AS community FROM m), s AS (SELECT community, count(*) AS size FROM l GROUP BY community HAVING count(*) >= 2 ORDER BY size DESC, community LIMIT 40), i AS (SELECT a % 60 AS community, count(*) AS edges, CAST(sum(CAST(recovered AS INTEGER)) AS BIGINT) AS recovered FROM e WHERE a % 60 = b % 60 GROUP BY 1), c AS (SELECT identity % 60 AS community, k.district, count(DISTINCT m.case_id) AS n FROM m JOIN k ON k.case_id = m.case_id GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY community ORDER BY n DESC, district) AS place FROM c), t AS (SELECT community, sum(n) AS cases, list(district ORDER BY place) FILTER (WHERE place <= 3) AS districts FROM r GROUP BY community) SELECT s.community, size, coalesce(edges, 0) AS edges, coalesce(recovered, 0) AS recovered, CAST(t.cases AS BIGINT) AS cases, t.districts FROM s LEFT JOIN i ON i.community = s.community LEFT JOIN t ON t.community = s.community")
+def community_summary(spark, sf):
+    m = mentions(spark, sf)
+    labels = m.select(F.col("identity").alias("node"), (F.col("identity") % 60).alias("community")).distinct()
+    return studies.community_summary(labels, graph.edges(m), m, cases(spark, sf))
+
+
+@query(f"{_LV}, s AS (SELECT a, b, 2.25 + CASE kind WHEN 0 THEN -0.5 ELSE 1.75 END + CASE size WHEN 0 THEN -2.0 WHEN 1 THEN 0.5 ELSE 3.0 END AS v FROM p) SELECT round(coalesce(sum(v - 3.0), 0.0), 6) AS objective, count(*) AS pairs FROM s WHERE a % 5 = b % 5")
+def partition_objective(spark, sf):
+    s = _levels(spark, sf).withColumn("score", linkage.score(_WEIGHTS))
+    return studies.objective(s, parts(spark, sf).select(F.col("p_partkey").alias("node"), (F.col("p_partkey") % 5).alias("cluster")), 3.0)
+
+
+@query("WITH l AS (SELECT p_partkey % 40 AS c, p_size AS k, count(*) AS n FROM part GROUP BY 1, 2) SELECT CAST(sum(n * (n - 1) / 2) AS BIGINT) AS violations FROM l")
+def case_violations(spark, sf):
+    p = parts(spark, sf)
+    return cluster.violations(p.select(F.col("p_partkey").alias("node"), (F.col("p_partkey") % 40).alias("cluster")), p.select(F.col("p_partkey").alias("node"), F.col("p_size").alias("case")))
+
+
+@query("SELECT p_partkey AS node, min(p_partkey) OVER (PARTITION BY p_name) AS cluster FROM part")
+def cluster_by_key(spark, sf):
+    return resolve_module.by_value(parts(spark, sf), "p_name", "p_partkey")
+
+
+@query(f"WITH {_LOG}, g AS (SELECT * FROM (VALUES ('reviewer', 'accept'), ('reviewer', 'reject'), ('reviewer', 'reverse'), ('analyst', 'accept'), ('analyst', 'reject'), ('supervisor', 'accept'), ('supervisor', 'reject')) AS v(role, action)), r AS (SELECT seq, pair_id, action, CASE seq % 4 WHEN 0 THEN 'reviewer' WHEN 1 THEN 'analyst' WHEN 2 THEN 'supervisor' ELSE 'officer' END AS role FROM l) SELECT r.seq, r.role, r.action FROM r JOIN g ON g.role = r.role AND g.action = r.action")
+def role_gate(spark, sf):
+    role = F.element_at(F.array(*map(F.lit, ["reviewer", "analyst", "supervisor", "officer"])), (F.col("seq") % 4 + 1).cast("int"))
+    return studies.allowed(_log(spark, sf).withColumn("role", role)).select("seq", "role", "action")
+
+
+@query(f"WITH {_VEC}, pn AS (SELECT DISTINCT p_name AS d, p_brand AS g FROM part), s AS (SELECT g, count(*) AS n FROM pn GROUP BY g), c AS (SELECT pn.g, v.term, sum(v.w) / any_value(s.n) AS w FROM pn JOIN v ON v.d = pn.d JOIN s ON s.g = pn.g GROUP BY pn.g, v.term) SELECT g, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY g)), 6) AS weight FROM c")
+def brand_centroids(spark, sf):
+    named = parts(spark, sf).select(F.col("p_name").alias("d"), F.col("p_brand").alias("g")).distinct()
+    v = retrieval.tfidf(named.select("d").distinct(), "d", retrieval.word_grams(F.col("d")))
+    return retrieval.centroids(v, named, "d", "g").select("g", "term", F.round("weight", 6).alias("weight"))
+
+
+# --- operators on fixed small inputs; the SQL holds the answers, worked out by hand --------------------------------------
+
+
+def _values(rows: str, names: str) -> str:
+    return f"SELECT * FROM (VALUES {rows}) AS v({names})"
+
+
+@query(_values("('ರಮೇಶ', 'ramesha'), ('ಕುಮಾರ', 'kumaara'), ('ಲಕ್ಷ್ಮಿ', 'lakshmi'), ('ಗಂಗಾ', 'gangaa'), ('ಕೃಷ್ಣ', 'krishna'), ('ಅನಿಲ್', 'anil'), ('Vijay', 'Vijay')", "name, latin"))
+def transliterated(spark, sf):
+    return spark.createDataFrame([(x,) for x in ("ರಮೇಶ", "ಕುಮಾರ", "ಲಕ್ಷ್ಮಿ", "ಗಂಗಾ", "ಕೃಷ್ಣ", "ಅನಿಲ್", "Vijay")], "name string").select("name", N.transliterate(F.col("name")).alias("latin"))
+
+
+@query(_values("('Ramesh s/o Suresh Kumar', 'ramis,suris,kumar', '', '', 'r,s,k'), ('R. K. Naidu', 'naid', 'k,r', '', 'n,k,r'), ('Smt. Lakshmi Devi', 'laksm,div', '', 'smt', 'l,d'), ('  ', '', '', '', ''), ('S/o', '', '', '', '')", "name, tokens, initials, markers, letters"))
+def name_parts(spark, sf):
+    n = spark.createDataFrame([(x,) for x in ("Ramesh s/o Suresh Kumar", "R. K. Naidu", "Smt. Lakshmi Devi", "  ", "S/o")], "name string").withColumn("n", N.normalised(F.col("name")))
+    joined = lambda c: F.array_join(c, ",")
+    return n.select("name", joined("n.tokens").alias("tokens"), joined("n.initials").alias("initials"), joined("n.markers").alias("markers"), joined(N.letters(F.col("n"))).alias("letters"))
+
+
+@query(_values("('Robert', 'R163'), ('Ramesh', 'R520'), ('Suresh', 'S620'), ('Kumar', 'K560'), ('ರಮೇಶ', 'R520')", "name, code"))
+def phonetic_codes(spark, sf):
+    return spark.createDataFrame([(x,) for x in ("Robert", "Ramesh", "Suresh", "Kumar", "ರಮೇಶ")], "name string").select("name", N.phonetic_code(F.col("name")).alias("code"))
+
+
+@query(_values("(2, true, 0.1, 5), (-1, false, 0.9, 4), (1, true, 0.2, 3), (1, false, 0.9, 2), (0, false, 0.70, 1), (0, true, 0.69, 0)", "phonetic, same, lexical, level"))
+def name_levels(spark, sf):
+    rows = [(2, True, 0.1), (-1, False, 0.9), (1, True, 0.2), (1, False, 0.9), (0, False, 0.70), (0, True, 0.69)]
+    d = spark.createDataFrame(rows, "phonetic int, same boolean, lexical double")
+    return d.select("*", M.name_level(F.col("phonetic"), F.col("same"), F.col("lexical")).alias("level"))
+
+
+@query(_values("(1, 2, 3, -1, 2, 2, 1, 1994), (2, 1, 0, 0, 0, 1, 0, NULL), (3, 0, 1, -1, -1, -1, -1, 1980), (4, -1, 2, 2, 2, 0, 1, 2000)", "id, phonetic, modus, gender_unknown_or, gender, address, phone, born"))
+def signal_levels(spark, sf):
+    rows = [
+        (1, ["a", "b", "c"], ["b", "c"], 0.55, None, 1, 1, 1, "Main road, X", "main road, x", "123", " 123", "26"), (2, ["a"], ["a", "d"], 0.17, 1, 2, 1, 2, "Main road, X", "Main road, Y", "123", "124", "old"),
+        (3, ["a"], ["b"], 0.18, None, None, 2, None, "", "Main road", "", "1", " 40"), (4, [], ["b"], 0.36, 2, 2, 2, 2, "a", "b", "7", "7", "20"),
+    ]
+    d = spark.createDataFrame(rows, "id int, ta array<string>, tb array<string>, cosine double, ga int, gb int, gc int, gd int, aa string, ab string, pa string, pb string, age string")
+    g = M.gender_level
+    return d.select(
+        "id", M.phonetic_level(F.col("ta"), F.col("tb")).alias("phonetic"), M.modus_level(F.col("cosine")).alias("modus"), g(F.col("ga"), F.col("gb")).alias("gender_unknown_or"),
+        g(F.col("gc"), F.col("gd")).alias("gender"), M.address_level(F.col("aa"), F.col("ab")).alias("address"), M.phone_level(F.col("pa"), F.col("pb")).alias("phone"),
+        M.implied_birth_year(F.lit("2020-05-05").cast("date"), F.col("age")).cast("int").alias("born"),
+    )
+
+
+@query(_values("(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4)", "node, cluster"))
+def agglomerate_triangles(spark, sf):
+    """Two triangles and a bridge: the bridge links one pair of nine, too few to merge."""
+    rows = [(1, 2, 9.0), (2, 3, 8.0), (1, 3, 7.0), (4, 5, 9.0), (5, 6, 8.0), (4, 6, 7.0), (3, 4, 6.0)]
+    pairs = spark.createDataFrame([(a, b, s, a, b) for a, b, s in rows], "a long, b long, score double, case_a long, case_b long")
+    return cluster.agglomerate(pairs, 5.0)
+
+
+@query(_values("(1, 1), (2, 1), (3, 3)", "node, cluster"))
+def agglomerate_cases(spark, sf):
+    """The strongest pair merges; the third record shares a case with one of the two."""
+    pairs = spark.createDataFrame([(1, 2, 9.0, 10, 20), (2, 3, 8.0, 20, 10), (1, 3, 7.0, 10, 10)], "a long, b long, score double, case_a long, case_b long")
+    return cluster.agglomerate(pairs, 5.0)
+
+
+@query(_values("(1.0, 0.0), (2.0, 0.5), (3.0, 0.5), (4.0, 1.0), (5.0, 1.0)", "v, probability"))
+def isotonic_steps(spark, sf):
+    d = spark.createDataFrame([(1.0, 0), (2.0, 1), (3.0, 0), (4.0, 1), (5.0, 1)], "v double, y int")
+    return calibrate.isotonic(d, "v", "y").select(F.col("v").cast("decimal(2,1)").alias("v"), F.round("probability", 6).cast("decimal(2,1)").alias("probability"))
+
+
+@query(_values("(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4)", "node, community"))
+def communities_of_triangles(spark, sf):
+    return graph.communities(spark.createDataFrame([(1, 2), (2, 3), (1, 3), (4, 5), (5, 6), (4, 6), (3, 4)], "a long, b long")).select("node", "community")
+
+
+@query(_values("(4, 7, 3, 0.428571, 0.75, 0.545455)", "gold, predicted, tp, precision, recall, f"))
+def submission_score(spark, sf):
+    gold = spark.createDataFrame([("r1", "P1"), ("r2", "P1"), ("r3", "P1"), ("r4", "P2"), ("r5", "P2"), ("r6", "P3")], "id string, person string")
+    given = spark.createDataFrame([("r1", "A"), ("r2", "A"), ("r3", "A"), ("r4", "A"), ("r5", "B"), ("r6", "B")], "id string, label string")
+    s = cluster.score_submission(gold, given).select("gold", "predicted", "tp", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f")])
+    return s.select(*[F.col(c).cast("int").alias(c) for c in ("gold", "predicted", "tp")], F.col("precision").cast("decimal(7,6)").alias("precision"), F.col("recall").cast("decimal(3,2)").alias("recall"), F.col("f").cast("decimal(7,6)").alias("f"))
+
+
+@query(_values("('Ravi Kumar S/o Mohan', 'ravi,kumar,mohan', 'kumar mohan ravi s/o'), ('R. K. Das', 'das', 'das')", "name, surface, gold"))
+def audit_keys(spark, sf):
+    d = spark.createDataFrame([("Ravi Kumar S/o Mohan",), ("R. K. Das",)], "name string")
+    return d.select("name", F.array_join(studies.surface_tokens(F.col("name")), ",").alias("surface"), studies.gold_key(F.col("name")).alias("gold"))
+
+
+@query(_values("('routing', 5), ('graph', NULL)", "report, built"))
+def stale_reports(spark, sf):
+    built = spark.createDataFrame([("routing", 5), ("profile", 9)], "report string, built int")
+    changed = spark.createDataFrame([("routing", 4), ("routing", 6), ("profile", 9), ("graph", 1)], "report string, changed int")
+    return studies.stale(built, changed).select("report", "built")
+
+
+@query(_values("(1, 2, 'R', 0.9, true), (3, 4, 'S', 0.7, false)", "a, b, digest, probability, conflict"))
+def review_queue(spark, sf):
+    scored = spark.createDataFrame([(3, 4, 0.7, 1), (1, 2, 0.9, 0), (5, 6, 0.95, 1), (7, 8, 0.5, 1)], "a int, b int, probability double, kind int")
+    members = spark.createDataFrame([(1, 10, 100), (2, 20, 100), (3, 30, 300), (4, 40, 400)], "id int, identity int, case_id int")
+    out = exports.review_pairs(scored, {"kind": [-0.5, 1.75]}, members)
+    weight = F.element_at("evidence", 1)["weight"]
+    return out.select("a", "b", F.when(weight < 0, "R").otherwise("S").alias("digest"), F.col("probability").cast("decimal(2,1)").alias("probability"), "conflict")
+
+
 def _ask(number: int, spark: SparkSession, sf_dir: str) -> DataFrame:
     adapter.register(spark, sf_dir)
     return questions.ask(spark, number)

@@ -65,6 +65,22 @@ def spatial_level(hops: Column, km: Column) -> Column:
     return F.when(hops == 0, 3).when(near(2, 15), 2).when(near(4, 60), 1).otherwise(0)
 
 
+def implied_birth_year(day: Column, age: Column) -> Column:
+    """Year of the record less the age; null where the age is blank or no number."""
+    return F.year(day) - age.try_cast("double")
+
+
+def hops(a: Column, b: Column) -> Column:
+    """Steps between two units over their nearest common superior, from their paths (root first); null without one."""
+    common = F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, x: F.struct((s["n"] + (s["on"] & x).cast("int")).alias("n"), (s["on"] & x).alias("on")))["n"]
+    return F.when(common > 0, F.size(a) + F.size(b) - 2 * common)
+
+
+def gender_level(a: Column, b: Column) -> Column:
+    """2 for equal, 0 for different, -1 where one is unknown; level 1 is kept for uncertain records."""
+    return F.when(a.isNull() | b.isNull(), -1).otherwise((a == b).cast("int") * 2)
+
+
 def modus_level(cosine: Column) -> Column:
     return stepped(cosine, [(0.55, 3), (0.35, 2), (0.18, 1)])
 

@@ -12,11 +12,14 @@ from pyspark.sql.window import Window
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder of the cluster (spark.checkpoint.dir); a folder of our own only where it is unset."""
+    """Cut lineage in the shared folder of the cluster (spark.checkpoint.dir); a folder of our own only where it is unset and Spark is local."""
     spark = df.sparkSession
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint()
 
 

@@ -51,6 +51,21 @@ def report(edge: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
+def root_paths(units: DataFrame, most: int = 32) -> DataFrame:
+    """(unit, path): each unit's superiors from the root down to itself. units: (unit, parent), a null parent is a root.
+
+    One join per level of the hierarchy; more than `most` levels mean a circle and are an error.
+    """
+    up = checkpointed(units.select("unit", F.array("unit").alias("path"), F.col("parent").alias("next")))
+    parents = units.select(F.col("unit").alias("next"), F.col("parent").alias("further"))
+    for _ in range(most):
+        if not up.where("next is not null").limit(1).count():
+            return up.select("unit", "path")
+        known = F.when(F.col("next").isNotNull(), F.concat(F.array("next"), F.col("path"))).otherwise(F.col("path"))
+        up = checkpointed(up.join(parents, "next", "left").select("unit", known.alias("path"), F.col("further").alias("next")))
+    raise ValueError(f"the hierarchy has a circle or more than {most} levels")
+
+
 def two_hop(edge: DataFrame, node: int) -> DataFrame:
     """Nodes exactly two steps from a node."""
     both = edge.select("a", "b").union(edge.select(F.col("b").alias("a"), F.col("a").alias("b")))

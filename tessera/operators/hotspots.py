@@ -63,3 +63,8 @@ def totals(density: DataFrame) -> DataFrame:
     return density.agg(F.sum("cases").alias("cases"), F.sum("offenders").alias("offenders"), F.sum("raw_names").alias("raw_names")).withColumn(
         "inflation_pct", F.round((F.col("raw_names") / F.col("offenders") - 1) * 100, 2)
     )
+
+
+def densest(cells: DataFrame, n: int = 20) -> DataFrame:
+    """The n cells of most cases."""
+    return cells.orderBy(F.desc("cases"), "cell_lat", "cell_lon").limit(n)

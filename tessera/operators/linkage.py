@@ -38,11 +38,18 @@ def patterns(levels: DataFrame, signals: list[str]) -> DataFrame:
     return levels.groupBy(*signals).agg(F.count(F.lit(1)).alias("n"))
 
 
-def fit(levels: DataFrame, signals: dict[str, int], seeds: dict[str, int], start: float = 0.003, rounds: int = 300, tolerance: float = 1e-10, least_seed: int = 200) -> Model:
+def fit(
+    levels: DataFrame, signals: dict[str, int], seeds: dict[str, int], start: float = 0.003, rounds: int = 300, tolerance: float = 1e-10,
+    least_seed: int = 200, seed_mask: dict[str, int] | None = None, m_prior: dict[str, list[float]] | None = None, prior_pairs: float = 100.0,
+    fix_u: dict[str, list[float]] | None = None, estimate_only: bool = False,
+) -> Model:
     """EM for the match rate p. signals: number of levels of each; seeds: lowest level of each seed condition.
 
     u comes from all candidate pairs; m of a signal from the pairs that meet the seed conditions of the other signals, of
     which the first are dropped while too few pairs meet them. Only p is fitted. Works on the collected patterns.
+
+    seed_mask: one set of lowest levels for all signals instead; m_prior: m of another table, counted as prior_pairs pairs;
+    fix_u: u of some signals as given; estimate_only: m and u without EM, p stays at its start.
     """
     names = list(signals)
     rows = [(r[:-1], r[-1]) for r in map(tuple, patterns(levels, names).collect())]
@@ -59,16 +66,23 @@ def fit(levels: DataFrame, signals: dict[str, int], seeds: dict[str, int], start
     m, u, support = {}, {}, {}
     for s, k in signals.items():
         every = histogram(lambda v: True, s)
-        conditions = [(at[x], low) for x, low in seeds.items() if x != s and x in at]
+        conditions = [(at[x], low) for x, low in (seed_mask or seeds).items() if x in at and (seed_mask or x != s)]
         while True:
             held = list(conditions)
             seed = histogram(lambda v, held=held: all(v[i] >= low for i, low in held), s)
-            if sum(seed) >= least_seed or len(conditions) <= 1:
+            if seed_mask or sum(seed) >= least_seed or len(conditions) <= 1:
                 break
             conditions = conditions[1:]
         smooth = lambda h: [(x + 1) / (sum(h) + len(h)) for x in h]
         m[s], u[s], support[s] = smooth(seed)[:k], smooth(every)[:k], every[:k]
+        if m_prior and s in m_prior:
+            n = sum(seed)
+            m[s] = [(x * n + p * prior_pairs) / (n + prior_pairs) for x, p in zip(m[s], m_prior[s])]
+        if fix_u and s in fix_u:
+            u[s] = list(fix_u[s])
     model = Model(start, m, u, support)
+    if estimate_only:
+        return model
     ratio = [
         math.prod(m[s][v[at[s]]] / u[s][v[at[s]]] for s in names if v[at[s]] >= 0) for v, _ in rows
     ]

@@ -70,7 +70,7 @@ QUESTIONS: dict[int, tuple[str, str]] = {
     48: ("Likeliest people for an undetected case", f"SELECT r.ResolvedIdentityID AS person, sum(CASE WHEN c.CrimeSubHeadID = u.CrimeSubHeadID THEN 2 ELSE 0 END + CASE WHEN c.DistrictID = u.DistrictID THEN 1 ELSE 0 END) AS points FROM {RC} CROSS JOIN (SELECT CrimeSubHeadID, DistrictID FROM CaseMaster WHERE CaseMasterID = :open_case) u GROUP BY r.ResolvedIdentityID ORDER BY points DESC, person LIMIT 10"),
     49: ("Undetected cases in the manner of people of a station", f"SELECT DISTINCT o.CaseMasterID AS case_id FROM {RC} JOIN CaseMaster o ON o.CrimeSubHeadID = c.CrimeSubHeadID AND o.DistrictID = c.DistrictID AND o.CaseStatus = 'Undetected' WHERE c.UnitID = :station AND c.CaseStatus <> 'Undetected'"),
     50: ("Detection rate of a crime head", "SELECT h.CrimeHeadName AS head, count(*) AS cases, round(CAST(sum(CASE WHEN c.CaseStatus <> 'Undetected' THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 6) AS rate FROM CaseMaster c JOIN CrimeHead h ON h.CrimeHeadID = c.CrimeHeadID WHERE h.CrimeHeadName = :head GROUP BY h.CrimeHeadName"),
-    51: ("Undetected cases within a person's active window and district", f"WITH w AS (SELECT r.ResolvedIdentityID AS person, c.DistrictID AS d, min(c.CrimeRegisteredDate) AS lo, max(c.CrimeRegisteredDate) AS hi FROM {RC} GROUP BY r.ResolvedIdentityID, c.DistrictID HAVING count(*) >= 8) SELECT o.CaseMasterID AS case_id, count(*) AS people FROM CaseMaster o JOIN w ON w.d = o.DistrictID AND o.CrimeRegisteredDate BETWEEN w.lo AND w.hi WHERE o.CaseStatus = 'Undetected' GROUP BY o.CaseMasterID"),
+    51: ("Undetected cases within a person's active window and district", f"WITH w AS (SELECT r.ResolvedIdentityID AS person, c.DistrictID AS d, min(c.CrimeRegisteredDate) AS lo, max(c.CrimeRegisteredDate) AS hi FROM {RC} GROUP BY r.ResolvedIdentityID, c.DistrictID HAVING count(*) >= 2) SELECT o.CaseMasterID AS case_id, count(*) AS people FROM CaseMaster o JOIN w ON w.d = o.DistrictID AND o.CrimeRegisteredDate BETWEEN w.lo AND w.hi WHERE o.CaseStatus = 'Undetected' GROUP BY o.CaseMasterID"),
     52: ("Undetected cases per sub head", "SELECT h.CrimeSubHeadName AS sub_head, count(*) AS n FROM CaseMaster c JOIN CrimeSubHead h ON h.CrimeSubHeadID = c.CrimeSubHeadID WHERE c.CaseStatus = 'Undetected' GROUP BY h.CrimeSubHeadName"),
     53: ("Undetected cases that gain a candidate by resolution", f"WITH k AS (SELECT DISTINCT c.DistrictID AS d, c.CrimeSubHeadID AS h FROM {RC} WHERE c.CaseStatus <> 'Undetected') SELECT count(DISTINCT o.CaseMasterID) AS n FROM CaseMaster o JOIN k ON k.d = o.DistrictID AND k.h = o.CrimeSubHeadID WHERE o.CaseStatus = 'Undetected'"),
     54: ("Oldest open cases of a station", "SELECT c.CaseMasterID AS case_id, c.CrimeRegisteredDate AS day FROM CaseMaster c JOIN Unit u ON u.UnitID = c.UnitID WHERE u.UnitID = :station AND c.CaseStatus = 'Undetected' ORDER BY day, case_id LIMIT 20"),
@@ -127,7 +127,7 @@ QUESTIONS: dict[int, tuple[str, str]] = {
     105: ("Officers who arrest the same person again", "SELECT x.ArrestingOfficerID AS officer, r.ResolvedIdentityID AS person, count(*) AS n FROM ArrestSurrender x JOIN resolved_identity r ON r.AccusedMasterID = x.AccusedMasterID GROUP BY x.ArrestingOfficerID, r.ResolvedIdentityID HAVING count(*) > 1"),
     106: ("Accused rows of a name", "SELECT a.AccusedMasterID AS accused_id, a.CaseMasterID AS case_id FROM Accused a WHERE a.AccusedName = :name"),
     107: ("All rows of the person behind a name", f"SELECT a.AccusedMasterID AS accused_id, a.AccusedName AS name FROM {AC} WHERE r.ResolvedIdentityID = (SELECT min(q.ResolvedIdentityID) FROM resolved_identity q JOIN Accused z ON z.AccusedMasterID = q.AccusedMasterID WHERE z.AccusedName = :name)"),
-    108: ("People recorded under most spellings", f"SELECT r.ResolvedIdentityID AS person, count(DISTINCT a.AccusedName) AS names, count(*) AS n_rows FROM {AC} GROUP BY r.ResolvedIdentityID HAVING count(*) > 30"),
+    108: ("People recorded under most spellings", f"SELECT r.ResolvedIdentityID AS person, count(DISTINCT a.AccusedName) AS names, count(*) AS n_rows FROM {AC} GROUP BY r.ResolvedIdentityID HAVING count(*) > 8"),
     109: ("People in both scripts", f"SELECT r.ResolvedIdentityID AS person FROM {AC} GROUP BY r.ResolvedIdentityID HAVING sum(CASE WHEN regexp_like(a.AccusedName, '[ಀ-೿]') THEN 1 ELSE 0 END) > 0 AND sum(CASE WHEN regexp_like(a.AccusedName, '[A-Za-z]') THEN 1 ELSE 0 END) > 0"),
     110: ("Rows per identical name", "SELECT a.AccusedName AS name, count(*) AS n FROM Accused a GROUP BY a.AccusedName HAVING count(*) > 1"),
     111: ("Identical names of different people", f"SELECT a.AccusedName AS name, {PEOPLE} AS people, count(*) AS n_rows FROM {AC} GROUP BY a.AccusedName HAVING {PEOPLE} > 1"),
