@@ -406,18 +406,18 @@ def _em_sql() -> str:
         f"SELECT '{s}' AS signal, CAST(v.level AS INTEGER) AS level, coalesce(sum(n) FILTER (WHERE {s} = v.level), 0) AS every, coalesce(sum(n) FILTER (WHERE {s} = v.level AND {seed}), 0) AS seed FROM o CROSS JOIN (SELECT unnest(range({k})) AS level) v GROUP BY v.level"
         for s, (k, seed) in at.items()
     )
-    ratio = " * ".join(f"(SELECT m / u FROM w WHERE w.signal = '{s}' AND w.level = o.{s})" for s in at)
+    ratio = " * ".join(f"(SELECT m / u FROM wt WHERE wt.signal = '{s}' AND wt.level = o.{s})" for s in at)
     return (
         f"{_CL.replace('WITH ', 'WITH RECURSIVE ', 1)}, o AS (SELECT brand, kind, size, CAST(count(*) AS DOUBLE) AS n FROM p GROUP BY brand, kind, size), l AS ({levels}), "
-        "w AS (SELECT signal, level, every, (seed + 1) / (sum(seed) OVER (PARTITION BY signal) + count(*) OVER (PARTITION BY signal) + 1) AS m, (every + 1) / (sum(every) OVER (PARTITION BY signal) + count(*) OVER (PARTITION BY signal) + 1) AS u FROM l), "
+        "wt AS (SELECT signal, level, every, (seed + 1) / (sum(seed) OVER (PARTITION BY signal) + count(*) OVER (PARTITION BY signal) + 1) AS m, (every + 1) / (sum(every) OVER (PARTITION BY signal) + count(*) OVER (PARTITION BY signal) + 1) AS u FROM l), "
         f"r AS (SELECT n, {ratio} AS r FROM o), e(t, p) AS (SELECT 0, CAST(0.003 AS DOUBLE) UNION ALL SELECT t + 1, greatest(least((SELECT sum(r.n * e.p * r.r / (e.p * r.r + 1 - e.p)) / sum(r.n) FROM r), 1 - 1e-9), 1e-9) FROM e WHERE t < 300) "
-        "SELECT signal, level, round(CASE WHEN every >= 30 THEN ln(m / u) ELSE 0.0 END, 6) AS weight, CAST(every AS BIGINT) AS support, round((SELECT p FROM e WHERE t = 300), 4) AS p FROM w"
+        "SELECT signal, level, round(CASE WHEN every >= 30 THEN ln(m / u) ELSE 0.0 END, 6) AS weight, CAST(every AS BIGINT) AS support, round((SELECT p FROM e WHERE t = 300), 4) AS p FROM wt"
     )
 
 
 @query(_em_sql())
 def em_fit(spark, sf):
-    model = linkage.fit(_candidate_levels(spark, sf), {"brand": 2, "kind": 2, "size": 3}, {"brand": 1, "kind": 1, "size": 2}, tolerance=0.0)
+    model = linkage.fit(_candidate_levels(spark, sf), {"brand": 2, "kind": 2, "size": 3}, {"brand": 1, "kind": 1, "size": 2}, tolerance=0.0, least_seed=0)
     rows = [(s, i, float(w), model.support[s][i]) for s, ws in model.weights().items() for i, w in enumerate(ws)]
     return spark.createDataFrame(rows, "signal string, level int, weight double, support long").select("signal", "level", F.round("weight", 6).alias("weight"), "support", F.round(F.lit(model.p), 4).alias("p"))
 
@@ -688,7 +688,7 @@ def equivalent_codes(spark, sf):
 # --- more of the reports, over the tables -------------------------------------------------------------------------------
 
 
-@query(f"{_LV}, s AS (SELECT CASE kind WHEN 0 THEN -0.5 ELSE 1.75 END + CASE size WHEN 0 THEN -2.0 WHEN 1 THEN 0.5 ELSE 3.0 END AS v, CAST((a + b) % 3 = 0 AS INTEGER) AS y FROM p), g AS (SELECT v, count(*) AS n, sum(y) AS pos FROM s GROUP BY v), c AS (SELECT v, sum(n) OVER (ORDER BY v DESC) AS taken, sum(pos) OVER (ORDER BY v DESC) AS tp, sum(pos) OVER () AS total FROM g) SELECT CAST(v AS DOUBLE) AS cut, round(CAST(tp AS DOUBLE) / taken, 6) AS precision, round(CAST(tp AS DOUBLE) / total, 6) AS recall, round(tp * 2.0 / (taken + total), 6) AS f1 FROM c ORDER BY tp * 2.0 / (taken + total) DESC, v DESC LIMIT 1")
+@query(f"{_LV}, s AS (SELECT CASE kind WHEN 0 THEN -0.5 ELSE 1.75 END + CASE size WHEN 0 THEN -2.0 WHEN 1 THEN 0.5 ELSE 3.0 END AS v, CAST((a + b) % 3 = 0 AS INTEGER) AS y FROM p), gg AS (SELECT v, count(*) AS n, sum(y) AS pos FROM s GROUP BY v), c AS (SELECT v, sum(n) OVER (ORDER BY v DESC) AS taken, sum(pos) OVER (ORDER BY v DESC) AS tp, sum(pos) OVER () AS total FROM gg) SELECT CAST(v AS DOUBLE) AS cut, round(CAST(tp AS DOUBLE) / taken, 6) AS precision, round(CAST(tp AS DOUBLE) / total, 6) AS recall, round(tp * 2.0 / (taken + total), 6) AS f1 FROM c ORDER BY tp * 2.0 / (taken + total) DESC, v DESC LIMIT 1")
 def best_cut(spark, sf):
     s = _levels(spark, sf).select((linkage.score({"kind": _WEIGHTS["kind"], "size": _WEIGHTS["size"]})).alias("v"), ((F.col("a") + F.col("b")) % 3 == 0).cast("int").alias("y"))
     return linkage.best_cut(s, "v", "y").select("cut", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
@@ -779,15 +779,17 @@ def brand_centroids(spark, sf):
 
 
 def _values(rows: str, names: str) -> str:
-    return f"SELECT * FROM (VALUES {rows}) AS v({names})"
+    """SQL of a table: its rows, and its columns as `name` (text) or `name:TYPE`."""
+    columns = [(*c.strip().split(":"), "VARCHAR")[:2] for c in names.split(",")]
+    return f"SELECT {', '.join(f'CAST({n} AS {k}) AS {n}' for n, k in columns)} FROM (VALUES {rows}) AS v({', '.join(n for n, _ in columns)})"
 
 
-@query(_values("('ರಮೇಶ', 'ramesha'), ('ಕುಮಾರ', 'kumaara'), ('ಲಕ್ಷ್ಮಿ', 'lakshmi'), ('ಗಂಗಾ', 'gangaa'), ('ಕೃಷ್ಣ', 'krishna'), ('ಅನಿಲ್', 'anil'), ('Vijay', 'Vijay')", "name, latin"))
+@query(_values("('ರಮೇಶ', 'rameesha'), ('ಕುಮಾರ', 'kumaara'), ('ಲಕ್ಷ್ಮಿ', 'lakshmi'), ('ಗಂಗಾ', 'gangaa'), ('ಕೃಷ್ಣ', 'krishna'), ('ಅನಿಲ್', 'anil'), ('Vijay', 'Vijay')", "name, latin"))
 def transliterated(spark, sf):
     return spark.createDataFrame([(x,) for x in ("ರಮೇಶ", "ಕುಮಾರ", "ಲಕ್ಷ್ಮಿ", "ಗಂಗಾ", "ಕೃಷ್ಣ", "ಅನಿಲ್", "Vijay")], "name string").select("name", N.transliterate(F.col("name")).alias("latin"))
 
 
-@query(_values("('Ramesh s/o Suresh Kumar', 'ramis,suris,kumar', '', '', 'r,s,k'), ('R. K. Naidu', 'naid', 'k,r', '', 'n,k,r'), ('Smt. Lakshmi Devi', 'laksm,div', '', 'smt', 'l,d'), ('  ', '', '', '', ''), ('S/o', '', '', '', '')", "name, tokens, initials, markers, letters"))
+@query(_values("('Ramesh s/o Suresh Kumar', 'ramis,suris,kumar', '', '', 'r,s,k'), ('R. K. Naidu', 'nid', 'k,r', '', 'n,k,r'), ('Smt. Lakshmi Devi', 'laksm,div', '', 'smt', 'l,d'), ('  ', '', '', '', ''), ('S/o', '', '', '', '')", "name, tokens, initials, markers, letters"))
 def name_parts(spark, sf):
     n = spark.createDataFrame([(x,) for x in ("Ramesh s/o Suresh Kumar", "R. K. Naidu", "Smt. Lakshmi Devi", "  ", "S/o")], "name string").withColumn("n", N.normalised(F.col("name")))
     joined = lambda c: F.array_join(c, ",")
@@ -799,14 +801,14 @@ def phonetic_codes(spark, sf):
     return spark.createDataFrame([(x,) for x in ("Robert", "Ramesh", "Suresh", "Kumar", "ರಮೇಶ")], "name string").select("name", N.phonetic_code(F.col("name")).alias("code"))
 
 
-@query(_values("(2, true, 0.1, 5), (-1, false, 0.9, 4), (1, true, 0.2, 3), (1, false, 0.9, 2), (0, false, 0.70, 1), (0, true, 0.69, 0)", "phonetic, same, lexical, level"))
+@query(_values("(2, true, 0.1, 5), (-1, false, 0.9, 4), (1, true, 0.2, 3), (1, false, 0.9, 2), (0, false, 0.70, 1), (0, true, 0.69, 0)", "phonetic:INTEGER, same:BOOLEAN, lexical:DOUBLE, level:INTEGER"))
 def name_levels(spark, sf):
     rows = [(2, True, 0.1), (-1, False, 0.9), (1, True, 0.2), (1, False, 0.9), (0, False, 0.70), (0, True, 0.69)]
     d = spark.createDataFrame(rows, "phonetic int, same boolean, lexical double")
     return d.select("*", M.name_level(F.col("phonetic"), F.col("same"), F.col("lexical")).alias("level"))
 
 
-@query(_values("(1, 2, 3, -1, 2, 2, 1, 1994), (2, 1, 0, 0, 0, 1, 0, NULL), (3, 0, 1, -1, -1, -1, -1, 1980), (4, -1, 2, 2, 2, 0, 1, 2000)", "id, phonetic, modus, gender_unknown_or, gender, address, phone, born"))
+@query(_values("(1, 2, 3, -1, 2, 2, 1, 1994), (2, 1, 0, 0, 0, 1, 0, NULL), (3, 0, 1, -1, -1, -1, -1, 1980), (4, -1, 2, 2, 2, 0, 1, 2000)", "id:INTEGER, phonetic:INTEGER, modus:INTEGER, gender_unknown_or:INTEGER, gender:INTEGER, address:INTEGER, phone:INTEGER, born:INTEGER"))
 def signal_levels(spark, sf):
     rows = [
         (1, ["a", "b", "c"], ["b", "c"], 0.55, None, 1, 1, 1, "Main road, X", "main road, x", "123", " 123", "26"), (2, ["a"], ["a", "d"], 0.17, 1, 2, 1, 2, "Main road, X", "Main road, Y", "123", "124", "old"),
@@ -821,7 +823,7 @@ def signal_levels(spark, sf):
     )
 
 
-@query(_values("(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4)", "node, cluster"))
+@query(_values("(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4)", "node:BIGINT, cluster:BIGINT"))
 def agglomerate_triangles(spark, sf):
     """Two triangles and a bridge: the bridge links one pair of nine, too few to merge."""
     rows = [(1, 2, 9.0), (2, 3, 8.0), (1, 3, 7.0), (4, 5, 9.0), (5, 6, 8.0), (4, 6, 7.0), (3, 4, 6.0)]
@@ -829,30 +831,29 @@ def agglomerate_triangles(spark, sf):
     return cluster.agglomerate(pairs, 5.0)
 
 
-@query(_values("(1, 1), (2, 1), (3, 3)", "node, cluster"))
+@query(_values("(1, 1), (2, 1), (3, 3)", "node:BIGINT, cluster:BIGINT"))
 def agglomerate_cases(spark, sf):
     """The strongest pair merges; the third record shares a case with one of the two."""
     pairs = spark.createDataFrame([(1, 2, 9.0, 10, 20), (2, 3, 8.0, 20, 10), (1, 3, 7.0, 10, 10)], "a long, b long, score double, case_a long, case_b long")
     return cluster.agglomerate(pairs, 5.0)
 
 
-@query(_values("(1.0, 0.0), (2.0, 0.5), (3.0, 0.5), (4.0, 1.0), (5.0, 1.0)", "v, probability"))
+@query(_values("(1.0, 0.0), (2.0, 0.5), (3.0, 0.5), (4.0, 1.0), (5.0, 1.0)", "v:DOUBLE, probability:DOUBLE"))
 def isotonic_steps(spark, sf):
     d = spark.createDataFrame([(1.0, 0), (2.0, 1), (3.0, 0), (4.0, 1), (5.0, 1)], "v double, y int")
-    return calibrate.isotonic(d, "v", "y").select(F.col("v").cast("decimal(2,1)").alias("v"), F.round("probability", 6).cast("decimal(2,1)").alias("probability"))
+    return calibrate.isotonic(d, "v", "y").select("v", F.round("probability", 6).alias("probability"))
 
 
-@query(_values("(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4)", "node, community"))
+@query(_values("(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4)", "node:BIGINT, community:BIGINT"))
 def communities_of_triangles(spark, sf):
     return graph.communities(spark.createDataFrame([(1, 2), (2, 3), (1, 3), (4, 5), (5, 6), (4, 6), (3, 4)], "a long, b long")).select("node", "community")
 
 
-@query(_values("(4, 7, 3, 0.428571, 0.75, 0.545455)", "gold, predicted, tp, precision, recall, f"))
+@query(_values("(4, 7, 3, 0.428571, 0.75, 0.545455)", "gold:BIGINT, predicted:BIGINT, tp:BIGINT, precision:DOUBLE, recall:DOUBLE, f:DOUBLE"))
 def submission_score(spark, sf):
     gold = spark.createDataFrame([("r1", "P1"), ("r2", "P1"), ("r3", "P1"), ("r4", "P2"), ("r5", "P2"), ("r6", "P3")], "id string, person string")
     given = spark.createDataFrame([("r1", "A"), ("r2", "A"), ("r3", "A"), ("r4", "A"), ("r5", "B"), ("r6", "B")], "id string, label string")
-    s = cluster.score_submission(gold, given).select("gold", "predicted", "tp", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f")])
-    return s.select(*[F.col(c).cast("int").alias(c) for c in ("gold", "predicted", "tp")], F.col("precision").cast("decimal(7,6)").alias("precision"), F.col("recall").cast("decimal(3,2)").alias("recall"), F.col("f").cast("decimal(7,6)").alias("f"))
+    return cluster.score_submission(gold, given).select("gold", "predicted", "tp", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f")])
 
 
 @query(_values("('Ravi Kumar S/o Mohan', 'ravi,kumar,mohan', 'kumar mohan ravi s/o'), ('R. K. Das', 'das', 'das')", "name, surface, gold"))
@@ -861,20 +862,20 @@ def audit_keys(spark, sf):
     return d.select("name", F.array_join(studies.surface_tokens(F.col("name")), ",").alias("surface"), studies.gold_key(F.col("name")).alias("gold"))
 
 
-@query(_values("('routing', 5), ('graph', NULL)", "report, built"))
+@query(_values("('routing', 5), ('graph', NULL)", "report, built:INTEGER"))
 def stale_reports(spark, sf):
     built = spark.createDataFrame([("routing", 5), ("profile", 9)], "report string, built int")
     changed = spark.createDataFrame([("routing", 4), ("routing", 6), ("profile", 9), ("graph", 1)], "report string, changed int")
     return studies.stale(built, changed).select("report", "built")
 
 
-@query(_values("(1, 2, 'R', 0.9, true), (3, 4, 'S', 0.7, false)", "a, b, digest, probability, conflict"))
+@query(_values("(1, 2, 'R', 0.9, true), (3, 4, 'S', 0.7, false)", "a:INTEGER, b:INTEGER, digest, probability:DOUBLE, conflict:BOOLEAN"))
 def review_queue(spark, sf):
     scored = spark.createDataFrame([(3, 4, 0.7, 1), (1, 2, 0.9, 0), (5, 6, 0.95, 1), (7, 8, 0.5, 1)], "a int, b int, probability double, kind int")
     members = spark.createDataFrame([(1, 10, 100), (2, 20, 100), (3, 30, 300), (4, 40, 400)], "id int, identity int, case_id int")
     out = exports.review_pairs(scored, {"kind": [-0.5, 1.75]}, members)
     weight = F.element_at("evidence", 1)["weight"]
-    return out.select("a", "b", F.when(weight < 0, "R").otherwise("S").alias("digest"), F.col("probability").cast("decimal(2,1)").alias("probability"), "conflict")
+    return out.select("a", "b", F.when(weight < 0, "R").otherwise("S").alias("digest"), "probability", "conflict")
 
 
 def _ask(number: int, spark: SparkSession, sf_dir: str) -> DataFrame:

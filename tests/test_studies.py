@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import collective, evaluate, exports
+from tessera.operators import collective, evaluate, exports, graph, linkage, studies
 
 
 def test_relations_through_a_partition(spark):
@@ -56,3 +56,44 @@ def test_ablation_drops_one_signal(spark):
     df = spark.createDataFrame([(1, 1)], "s int, t int")
     w = {"s": [-1.0, 2.0], "t": [-1.0, 3.0]}
     assert df.select(evaluate.without(df, w, "t")).first()[0] == pytest.approx(2.0)
+
+
+def test_fit_options():
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    rows = [(0, 0)] * 3000 + [(1, 1)] * 260 + [(1, 0)] * 90 + [(0, 1)] * 60 + [(1, -1)] * 30
+    levels = spark.createDataFrame(rows, "x int, y int")
+    signals, seeds = {"x": 2, "y": 2}, {"x": 1, "y": 1}
+    plain = linkage.fit(levels, signals, seeds)
+    only = linkage.fit(levels, signals, seeds, estimate_only=True)
+    assert only.p == 0.003 and only.m == plain.m and not only.trace and plain.trace == sorted(plain.trace)
+    assert linkage.fit(levels, signals, seeds, fix_u={"x": [0.9, 0.1]}).u["x"] == [0.9, 0.1]
+    prior = linkage.fit(levels, signals, seeds, m_prior={"x": [0.5, 0.5]}, prior_pairs=10**9).m["x"]
+    assert abs(prior[0] - 0.5) < 1e-4
+    masked = linkage.fit(levels, signals, seeds, seed_mask={"y": 1})
+    assert masked.m["x"] == plain.m["x"] and masked.m["y"][1] > 0.99
+
+
+def test_studies_on_small_inputs(spark, tmp_path):
+    records = spark.createDataFrame([(i, i // 2, 1 + i % 2) for i in range(400)], "id long, person long, gender long")
+    flipped = studies.with_gender_noise(records, 0.25).join(records.withColumnRenamed("gender", "old"), "id").where("gender <> old").count()
+    assert 60 < flipped < 140 and studies.with_gender_noise(records, 0.0).exceptAll(records).count() == 0
+    assert studies.true_pairs(records).count() == 200
+    pooled = studies.pooled(spark.createDataFrame([(1, 2)], "x int, y int"), spark.createDataFrame([(3,)], "x int"))
+    assert sorted(map(tuple, pooled.collect()), key=str) == [(1, 2), (3, None)]
+    assert studies.reduction_ratio(5, 5) == 0.5
+    truth = records.select("id", "person")
+    assert studies.truth_labels(truth, records.limit(3)).count() == 3
+    with pytest.raises(ValueError):
+        studies.truth_labels(truth, spark.createDataFrame([(1000,)], "id long"))
+    for kind in ("json", "text"):
+        studies.write_report(truth.limit(2), f"file://{tmp_path}/{kind}", kind)
+    assert spark.read.json(f"file://{tmp_path}/json").count() == spark.read.text(f"file://{tmp_path}/text").count() == 2
+
+
+def test_hierarchies(spark):
+    units = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 1), (9, None)], "unit long, parent long")
+    assert {r["unit"]: r["path"] for r in graph.root_paths(units).collect()} == {1: [1], 2: [1, 2], 3: [1, 2, 3], 4: [1, 4], 9: [9]}
+    with pytest.raises(ValueError):
+        graph.root_paths(spark.createDataFrame([(1, 2), (2, 1)], "unit long, parent long"), 4)
