@@ -17,8 +17,8 @@ of a hash class (two fifths of all) are counted; a set with more than a quarter
 set has is linked with nothing. It sends some bytes for each of them and no signature.
 
 Sets that share a signature form a list. Lists are cut into blocks of bounded size; each is compared exactly in one task,
-which gives a spanning forest, so thousands of near copies cost no pairs among them. A first round takes each document's
-longest list, its blocks tied together by one member; a second looks at every list (and every two blocks of a list) whose
+which gives a spanning forest, so thousands of near copies cost no pairs among them. A first round compares each document with
+those of its longest list that have it for theirs, too, and with one member of the list; a second looks at every list (and every two blocks of a list) whose
 documents are not yet connected. There, sketches (element counts by hash bucket) bound the common elements from above. Only
 documents that may match by that bound are compared, once for all lists: those that such possible links connect go to one
 task, or, where they are many, block by block. Both rounds together miss no link.
@@ -329,7 +329,7 @@ def _lists(block: int):
 
 
 def _listed(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
-    """Documents that share a signature, in blocks: name of the list, block, size of the list, its first document, documents."""
+    """Documents that share a signature, in blocks: name of the list, block, size of the list, a document of it, documents."""
     shards: dict[int, list] = {}
     for batch in batches:
         for shard, *row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -381,7 +381,7 @@ def _named(key: np.ndarray, doc: np.ndarray, size: np.ndarray, block: int) -> It
     for i in np.flatnonzero(wanted & (m > most)).tolist():
         members, title = doc[begin[i] : begin[i] + m[i]], names[i].tobytes()
         for part, a in enumerate(range(0, len(members), int(most[i]))):
-            yield _batch(_LISTED, [(title, part, len(members), members[0], members[a : a + most[i]])])
+            yield _batch(_LISTED, [(title, part, len(members), members[len(members) // 2], members[a : a + most[i]])])
 
 
 # --- comparing ----------------------------------------------------------------------------------------------------------
@@ -553,17 +553,14 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return named.withColumn("component", F.coalesce("component", "doc_id"))
 
 
-def _unsettled(lists: DataFrame, done: DataFrame, labels: DataFrame) -> DataFrame:
-    """(name, doc_id, component): lists, and two blocks of one list, whose documents are in more than one component.
-
-    done: names of the lists whose blocks have been compared, each by itself.
-    """
+def _unsettled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """(name, doc_id, component): lists, and two blocks of one list, whose documents are in more than one component."""
     title = F.concat("name", F.unhex(F.lpad(F.hex("part"), 8, "0"))).alias("title")
     blocks = lists.select("name", "part", title, F.col("pivot").isNotNull().alias("cut"), F.explode("docs").alias("doc_id"))
     rows = _labelled(blocks, labels)
     spans = rows.groupBy("name", "part", "title", "cut").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     spans = written(spans.where("cut or lo < hi"), "spans")
-    inside = spans.where("lo < hi").join(side(done), "name", "left_anti").select("title", F.col("title").alias("pair"))
+    inside = spans.where("lo < hi").select("title", F.col("title").alias("pair"))
     cut = spans.where("cut")
     one, two = (cut.select("name", *(F.col(c).alias(f"{c}_{k}") for c in ("part", "title", "lo", "hi"))) for k in "ij")
     across = one.join(two, "name").where("part_i < part_j and (lo_i < hi_i or lo_j < hi_j or lo_i <> lo_j)")
@@ -614,22 +611,23 @@ def links(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     emitted = near.mapInArrow(_emit(shards), "shard int, key binary, doc binary, size binary")
     made = emitted.repartitionById(shards, F.col("shard")).mapInArrow(_lists(block), "name binary, part int, m int, pivot long, docs array<long>")
     lists = written(made.dropDuplicates(["name", "part"]), "lists")
-    # each document's longest list first: for most groups of near copies these few lists connect all of them
-    place = F.max(F.struct("m", "name"))["name"].alias("name")
-    longest = lists.select("name", "m", F.explode("docs").alias("doc_id")).groupBy("doc_id").agg(place).select("name").distinct()
-    longest = written(longest, "longest")
-    chosen = lists.join(side(longest), "name", "left_semi")
-    title = F.concat("name", F.unhex(F.lpad(F.hex("part"), 8, "0"))).alias("name")
-    tied = F.when(F.col("pivot").isNull(), F.col("docs")).otherwise(F.array_union("docs", F.array("pivot")))
-    found = _compared(_labelled(chosen.select(title, F.explode(tied).alias("doc_id")), None), near, parts, "first")
+    # each document goes to its longest list first, and a member of middle size to all blocks of the list: for most groups of
+    # near copies this connects all of them, with two rows for each document at most
+    title = F.concat("name", F.unhex(F.lpad(F.hex("part"), 8, "0")))
+    place = F.max(F.struct("m", "name", title.alias("title"), "hub")).alias("l")
+    own = lists.select("name", "part", "m", F.coalesce("pivot", F.get("docs", F.expr("cast(size(docs) div 2 as int)"))).alias("hub"), F.explode("docs").alias("doc_id"))
+    own = written(own.groupBy("doc_id").agg(place), "longest")
+    few = own.select(F.col("l.title").alias("name"), "doc_id").union(own.select("l.title", "l.hub"))
+    found = _compared(_labelled(few, None), near, parts, "first")
     labels = components(found)
-    open_ = written(_unsettled(lists, longest, labels), "open")
+    open_ = written(_unsettled(lists, labels), "open")
     sketches = _within(near, open_.select("doc_id").distinct(), "left_semi").mapInArrow(_described, "doc_id long, n long, sketch binary")
     sketches = written(sketches, "sketches")
     wide = open_.join(side(sketches, 100_000), "doc_id").select("name", "doc_id", "component", "n", "sketch")
     may = written(_sorted(wide, parts).mapInArrow(_screen, "a long, b long, doc_id long").distinct(), "may")
     rest = _compared(_together(may, sketches, block), near, parts, "second")
-    return found.union(rest).union(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
+    connected = labels.where("component < node").select(F.col("component").alias("a"), F.col("node").alias("b"))  # as found, in fewer links
+    return connected.union(rest).union(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
 
 
 def join(docs: DataFrame, block: int = BLOCK) -> DataFrame:
