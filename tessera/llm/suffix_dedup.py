@@ -3,7 +3,7 @@
 A window's shard is chosen by the smallest 32-byte hash in it, which equal windows share, so every shard holds a part of the
 suffix space of the whole corpus, and neighbouring windows mostly go to the same shard as one stretch of text. Per shard,
 stretches come in document order, batch by batch: a batch gets a suffix array (the windows in the order of their bytes, by
-doubling of ranks), is merge-scanned against the arrays of all existing levels for matches of the whole length (a hit starts
+doubling or tripling of ranks), is merge-scanned against the arrays of all existing levels for matches of the whole length (a hit starts
 earlier), and what is new becomes a level of its own; levels of equal size merge, so there are logarithmically many. Windows
 are compared by their bytes throughout.
 
@@ -34,7 +34,7 @@ GRAM = 32
 #: Bytes of text handled at a time.
 CHUNK = 1 << 20
 #: Stretches of a shard that get a suffix array together.
-BATCH = 1 << 14
+BATCH = 1 << 12
 LAST = (1 << 63) - 1
 _B = 0x9E3779B97F4A7C15
 _U = (1 << 64) - 1
@@ -242,10 +242,9 @@ def _word(text: np.ndarray, at: np.ndarray, nth: int, length: int) -> np.ndarray
 
 def _ranked(key: np.ndarray) -> np.ndarray:
     order = np.argsort(key)
-    new = np.zeros(len(key), np.int64)
-    new[1:] = key[order[1:]] != key[order[:-1]]
+    ordered = key[order]
     rank = np.empty(len(key), np.uint64)
-    rank[order] = np.cumsum(new)
+    rank[order] = np.append(np.uint64(0), np.cumsum(ordered[1:] != ordered[:-1], dtype=np.uint64))
     return rank
 
 
@@ -258,7 +257,12 @@ def suffix_array(text: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndar
         eight = (eight << np.uint64(8)) | padded[k : k + len(eight)]
     rank, width = _ranked(eight), 8
     while 2 * width <= length:
-        rank, width = _ranked((rank[: len(rank) - width] << np.uint64(32)) | rank[width:]), 2 * width
+        if 3 * width <= length and rank.max() < 1 << 21:  # three small ranks fit into one number
+            n = len(rank) - 2 * width
+            key = (rank[:n] << np.uint64(42)) | (rank[width : width + n] << np.uint64(21)) | rank[2 * width :]
+            rank, width = _ranked(key), 3 * width
+        else:
+            rank, width = _ranked((rank[: len(rank) - width] << np.uint64(32)) | rank[width:]), 2 * width
     key = (rank[at] << np.uint64(32)) | rank[at + (length - width)]
     order = np.argsort(key)
     new = np.ones(len(order), bool)
