@@ -538,9 +538,7 @@ _VEC = "n AS (SELECT DISTINCT p_name AS d FROM part), tf AS (SELECT d, t AS term
 def tfidf_cosine(spark, sf):
     docs = parts(spark, sf).select(F.col("p_name").alias("d")).distinct()
     v = retrieval.tfidf(docs, "d", retrieval.word_grams(F.col("d")))
-    x, y = v.select(F.col("d").alias("a"), "term"), v.select(F.col("d").alias("b"), "term")
-    pairs = x.join(y, "term").where("a < b").select("a", "b").distinct()
-    return retrieval.cosine(pairs, v, "d").select("a", "b", F.round("cosine", 6).alias("cosine"))
+    return retrieval.cosines(v, "d").select("a", "b", F.round("cosine", 6).alias("cosine"))
 
 
 def _retrieved(spark, sf, top):

@@ -236,6 +236,31 @@ def needs_people(number: int) -> bool:
     return "resolved_" in QUESTIONS[number][1]
 
 
+def bands() -> dict[str, int]:
+    """Questions by what they need: the case tables alone, resolved accused, or resolved victims and complainants as well."""
+    out = {"cases": 0, "accused": 0, "others": 0}
+    for _, text in QUESTIONS.values():
+        out["others" if "resolved_victim" in text or "resolved_complainant" in text else "accused" if "resolved_identity" in text else "cases"] += 1
+    return out
+
+
+def self_check() -> list[str]:
+    """What is wrong with the pack itself: numbering, titles, parameters, form of the texts, protected columns."""
+    from tessera.schema import is_protected
+
+    out = [f"number {n} is missing" for n in range(1, len(QUESTIONS) + 1) if n not in QUESTIONS]
+    titles = [t for t, _ in QUESTIONS.values()]
+    out += [f"title {t!r} is used twice" for t in sorted({t for t in titles if titles.count(t) > 1})]
+    for n, (title, text) in QUESTIONS.items():
+        if not title.strip():
+            out.append(f"question {n} has no title")
+        if not re.match(r"(SELECT|WITH)\b", text) or ";" in text:
+            out.append(f"question {n} is not one query")
+        out += [f"question {n} has an unknown parameter {p}" for p in parameters(n) if p not in DEFAULTS]
+        out += [f"question {n} reads {w}" for w in set(re.findall(r"\w+", text)) if is_protected(w)]
+    return out
+
+
 def oracle(number: int) -> str:
     from tessera.sources.adapter import with_tables
 
