@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import licenses, quality_rules
 
 _SPACE = "[\\x20\\x09-\\x0D]"
+_BLANKS = "concat(" + ", ".join(f"chr({ord(c)})" for c in quality_rules.BLANKS) + ")"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 OP1 = f"""
@@ -14,8 +15,8 @@ w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws,
 win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8) q),
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) q WHERE n > 1),
 cov AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS j FROM rep) q GROUP BY doc_id),
-ok AS (SELECT doc_id, ls, list_filter(ls, lambda x: regexp_matches(right(rtrim(x), 4), '[.!?\\x{{2026}}:;\\x{{3002}}\\x{{FF01}}\\x{{FF1F}}]["''\\x{{00BB}}\\x{{201D}}\\x{{2019}})\\]]*$')
-  AND len(regexp_extract_all(x, '[|>\\x{{00BB}}\\x{{2022}}\\x{{00B7}}\\x{{2192}}]')) * 4 < len(regexp_split_to_array(trim(x), '{_SPACE}+'))
+ok AS (SELECT doc_id, ls, list_filter(ls, lambda x: regexp_matches(right(rtrim(x, {_BLANKS}), 4), '[.!?\\x{{2026}}:;\\x{{3002}}\\x{{FF01}}\\x{{FF1F}}]["''\\x{{00BB}}\\x{{201D}}\\x{{2019}})\\]]*$')
+  AND len(regexp_extract_all(x, '[|>\\x{{00BB}}\\x{{2022}}\\x{{00B7}}\\x{{2192}}]')) * 4 < len(regexp_split_to_array(trim(x, {_BLANKS}), '{_SPACE}+'))
   AND len(regexp_extract_all(x, '[#*$%&|<>]')) * 10 <= length(x)
   AND NOT regexp_matches(x, '(?i)\\b({"|".join(quality_rules.BOILERPLATE)})\\b')) AS kept FROM w),
 m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{_SPACE}+', '', 'g')) AS BIGINT) AS word_chars,

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, table
 
 SYMBOLS = "[#*$%&|<>]"
+#: What is trimmed from lines.
+BLANKS = " \t\n\x0b\x0c\r"
 #: A line must end in one of these, closing quotes and brackets allowed after it.
 CLOSING = "[.!?\\u2026:;\\u3002\\uFF01\\uFF1F][\"'\\u00BB\\u201D\\u2019)\\]]*$"
 NAVIGATION = "[|>\\u00BB\\u2022\\u00B7\\u2192]"
@@ -40,11 +42,11 @@ def _contains_any(text: Column) -> Column:
 
 def line_kept(line: Column, marked: Column, phrased: Column) -> Column:
     """True where a line passes all line rules. marked, phrased: whether its document has any symbol or phrase at all."""
-    words = F.size(F.split(F.trim(line), f"{SPACE}+"))
+    words = F.size(F.split(F.trim(line, F.lit(BLANKS)), f"{SPACE}+"))
     marks = F.regexp_count(line, F.lit(NAVIGATION))
     symbols = F.regexp_count(line, F.lit(SYMBOLS))
     return (
-        F.substring(F.rtrim(line), -4, 4).rlike(CLOSING)
+        F.substring(F.rtrim(line, F.lit(BLANKS)), -4, 4).rlike(CLOSING)
         & (~marked | ((marks * 4 < words) & (symbols * 10 <= F.length(line))))
         & (~phrased | ~line.rlike("(?i)\\b(" + "|".join(BOILERPLATE) + ")\\b"))
     )

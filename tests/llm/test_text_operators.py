@@ -48,6 +48,14 @@ def test_quality_measures_equal_brute_force(spark):
     assert out[0]["kept"] and out[1]["kept"] and not out[5]["kept"] and not out[6]["kept"]
 
 
+def test_lines_may_end_in_tabs_and_texts_may_be_long(spark):
+    tabbed = "\n".join(x + " \t\r" for x in PROSE.split("\n"))
+    long = " ".join(f"w{i}" for i in range(30_000)) + "."
+    out = {r["doc_id"]: r for r in quality_rules.clean(_docs(spark, [PROSE, tabbed, long, long + " " + long])).collect()}
+    assert [out[i]["kept"] for i in range(4)] == [True, True, True, False]
+    assert out[2]["n_words"] == 30_000 and out[2]["n_repeat_words"] == 0 and out[3]["n_repeat_words"] > 59_000
+
+
 def test_quality_rules_on_an_empty_table(spark):
     assert quality_rules.clean(_docs(spark, [])).count() == 0
 
