@@ -10,11 +10,13 @@ Nulls, empty and long texts, ties, repeats and empty tables: as in the operators
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import classifier, decontaminate, jaccard, mixing, tokens
-from tessera.llm.common import scratch_path, table
+from tessera.llm.common import drop_scratch, scratch_path, table
 
 #: No SQL: boosted trees and byte-pair encoding. The stages are tested against brute-force versions instead.
 ORACLE_SQL = None
@@ -56,13 +58,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of `sf_dir`."""
+    """All stages over the documents of `sf_dir`. A stage's intermediate tables go as soon as its result is written."""
     docs = table(spark, sf_dir, "documents")
+    since = drop_scratch(spark, sys.maxsize, "")
     for n, (_, stage) in enumerate(STAGES):
         made = stage(spark, docs, sf_dir)
         if n == len(STAGES) - 1:
             return made
         path = scratch_path(spark, f"stage-{n}")
         made.write.parquet(path)
+        since = drop_scratch(spark, since, path)
         docs = spark.read.parquet(path)
     return docs

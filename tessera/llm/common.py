@@ -39,13 +39,27 @@ def scratch_root(spark: SparkSession) -> str:
     return f"file://{root}"
 
 
+#: Paths below the shared folder that were given out and not removed since, in order.
+_GIVEN: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, removed when the driver ends."""
+    """A fresh path below the shared folder, removed when the driver ends or by `drop_scratch`."""
     path = f"{scratch_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    _GIVEN.append(path)
     atexit.register(_remove, spark, path)
     return path
 
 
+def drop_scratch(spark: SparkSession, since: int, keep: str) -> int:
+    """Remove the intermediate tables given out after the first `since`, but for `keep`; returns how many are left."""
+    for path in _GIVEN[since:]:
+        if path != keep:
+            _remove(spark, path)
+    _GIVEN[since:] = [x for x in _GIVEN[since:] if x == keep]
+    return len(_GIVEN)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

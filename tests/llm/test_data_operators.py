@@ -10,7 +10,7 @@ import pytest
 import xxhash
 import zstandard
 
-from tessera.llm import jaccard, mixing, registry, suffix_dedup, tokens, warc
+from tessera.llm import classifier, decontaminate, jaccard, licenses, mixing, quality_rules, registry, suffix_dedup, tokens, warc
 from tessera.llm.common import scratch_path
 
 DOC = "doc_id long, text string"
@@ -437,5 +437,20 @@ def test_pipeline_stages(spark, sf_dir):
     assert out.count() == before.count() and out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
 
 
+def test_every_operator_takes_odd_rows(spark, sf_dir):
+    """Nulls, repeats, a long text and columns of the operators' own names."""
+    long = " ".join(f"w{i}" for i in range(20_000))
+    rows = [(1, long, "a"), (1, long, "a"), (2, None, None), (None, None, "a"), (None, "x", None), (3, "", "b"), (4, long + " end", "b")]
+    df = _frame(spark, rows, "doc_id long, text string, source string").selectExpr("*", "'k' as key", "1 as size", "'n' as name", "2 as n", "'h' as h", "0 as component")
+    labels, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("labels", "benchmark"))
+    for out in (
+        quality_rules.clean(df), mixing.mix(df), licenses.scan(df), classifier.classify(df, labels), suffix_dedup.dedup(df), tokens.round_trip(df),
+        decontaminate.scan(df, benchmark), jaccard.join(df),
+    ):
+        assert out.count() == len(rows)
+    assert {r["component_id"] for r in jaccard.join(df).collect() if r["doc_id"] in (1, 4)} == {1}
+    assert sorted(str(r["doc_id"]) for r in jaccard.representatives(df).collect()) == ["1", "2", "3", "None", "None"]
+
+
 def test_every_operator_has_a_query():
     assert [k.split("_")[0] for k in sorted(registry.QUERIES, key=lambda k: int(k.split("_")[0][2:]))] == [f"op{n}" for n in range(1, 11)]
