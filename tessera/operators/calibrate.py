@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 ROUTES = ["auto", "review", "reject"]
 
 
-def isotonic(scored: DataFrame, value: str, label: str) -> DataFrame:
-    """Add `probability`, a monotone step fit of the label on the value; beyond the fitted range the end values hold."""
+def isotonic(scored: DataFrame, value: str, label: str, weight: str | None = None) -> DataFrame:
+    """Add `probability`, a monotone step fit of the label on the value; beyond the fitted range the end values hold.
+
+    weight: column with the number of pairs that a row stands for, one each without it.
+    """
     rows = scored.withColumn("_label", F.col(label).cast("double"))
-    model = IsotonicRegression(featuresCol=value, labelCol="_label", predictionCol="probability").fit(rows)
+    named = {"weightCol": weight} if weight else {}
+    model = IsotonicRegression(featuresCol=value, labelCol="_label", predictionCol="probability", **named).fit(rows)
     return model.transform(rows).drop("_label")
 
 
