@@ -36,6 +36,33 @@ def edges(mentions: DataFrame) -> DataFrame:
     return out.withColumn("recovered", ~F.col("visible_before"))
 
 
+def links(mentions: DataFrame) -> DataFrame:
+    """(a, b) of the edges alone: no names, no lists of cases. Intermediate tables are written once."""
+    per = checkpointed(mentions.select("case_id", "identity").distinct())
+    x, y = per.alias("x"), per.alias("y")
+    pairs = x.join(y, (F.col("x.case_id") == F.col("y.case_id")) & (F.col("x.identity") < F.col("y.identity")))
+    return checkpointed(pairs.select(F.col("x.identity").alias("a"), F.col("y.identity").alias("b")).distinct())
+
+
+def rings(mentions: DataFrame, node: int) -> tuple[DataFrame, DataFrame]:
+    """(node) of the identities one step and of those two steps from a node, over its cases and those of its neighbours only."""
+    per = checkpointed(mentions.select("case_id", "identity").where("case_id is not null and identity is not null").distinct())
+
+    def met(people: DataFrame) -> DataFrame:
+        theirs = per.join(people.withColumnRenamed("node", "identity"), "identity", "left_semi").select("case_id").distinct()
+        return per.join(theirs, "case_id", "left_semi").select(F.col("identity").alias("node")).where(F.col("node") != node).distinct()
+
+    ring = checkpointed(met(per.where(F.col("identity") == node).select(F.col("identity").alias("node"))))
+    return ring, checkpointed(met(ring).join(ring, "node", "left_anti"))
+
+
+def ego_of(mentions: DataFrame, node: int) -> DataFrame:
+    """As `ego`, but only the edges among the people of both rings are made."""
+    ring, far = rings(mentions, node)
+    people = ring.union(far).union(mentions.sparkSession.createDataFrame([(node,)], "node long")).withColumnRenamed("node", "identity")
+    return edges(checkpointed(mentions.join(people, "identity", "left_semi")))
+
+
 def degrees(edge: DataFrame) -> DataFrame:
     ends = edge.select(F.col("a").alias("node")).union(edge.select(F.col("b").alias("node")))
     return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
