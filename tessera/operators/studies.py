@@ -38,13 +38,17 @@ def tiers(records: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select(tier.alias("tier"), n.alias("facts")).groupBy("tier").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("facts"), 4).alias("mean_facts"))
 
 
-def signal_report(levels: DataFrame, signals: dict[str, int], label: str) -> DataFrame:
-    """Per signal: share of pairs where it is computable, and rank AUC of its level there against the label."""
+def signal_report(levels: DataFrame, signals: dict[str, int], label: str, weight: str | None = None) -> DataFrame:
+    """Per signal: share of pairs where it is computable, and rank AUC of its level there against the label.
+
+    weight: column with the number of pairs that a row stands for; one each without it.
+    """
     out = None
-    total = levels.count()
+    size = F.coalesce(F.sum(weight), F.lit(0)) if weight else F.count(F.lit(1))
+    total = levels.agg(size).first()[0]
     for s in signals:
-        known = levels.where(F.col(s) >= 0).select(F.col(s).alias("v"), F.col(label).alias("y"))
-        row = known.agg(F.lit(s).alias("signal"), F.round(F.count(F.lit(1)) / F.lit(max(total, 1)), 6).alias("coverage"), F.round(linkage.auc(known, "v", "y").scalar(), 6).alias("auc"))
+        known = levels.where(F.col(s) >= 0).select(F.col(s).alias("v"), F.col(label).alias("y"), *([weight] if weight else []))
+        row = known.agg(F.lit(s).alias("signal"), F.round(size / F.lit(max(total, 1)), 6).alias("coverage"), F.round(linkage.auc(known, "v", "y", weight).scalar(), 6).alias("auc"))
         out = row if out is None else out.unionByName(row)
     return out
 
