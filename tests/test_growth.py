@@ -43,3 +43,9 @@ def test_equal_parts_are_linked_without_pairs(spark, tmp_path):
     spark.range(n).selectExpr("id as p_partkey", "'red rod' as p_name", "'B' as p_brand", "1 as p_size").write.parquet(f"{tmp_path}/part.parquet")
     found = catalog.connected_components(spark, str(tmp_path)).groupBy("component").count().collect()
     assert [(r["component"], r["count"]) for r in found] == [(0, n)]
+
+
+def test_communities_need_no_names(spark, sf_dir, monkeypatch):
+    want = sorted(r["size"] for r in graph.communities(graph.edges(catalog.mentions(spark, sf_dir))).groupBy("community").agg(F.count(F.lit(1)).alias("size")).collect())
+    monkeypatch.setattr(graph, "edges", None)
+    assert sorted(r["size"] for r in catalog.QUERIES["communities"](spark, sf_dir).collect()) == want
