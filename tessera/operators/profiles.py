@@ -23,6 +23,21 @@ def _ranked(df: DataFrame, key: str, name: str) -> DataFrame:
     return rows.select("identity", F.transform("r", lambda x: F.struct(x["value"].alias("value"), (-x["m"]).alias("n"))).alias(name))
 
 
+def core(seen: DataFrame, parts: int) -> DataFrame:
+    """What `build` says of numbers, days and kinds of offence, unordered, without names or lists.
+
+    seen: (mention, case_id, identity, day, head); it is dealt once by identity, to `parts` tasks.
+    """
+    seen = seen.where("identity is not null").repartition(parts, "identity")
+    base = seen.groupBy("identity").agg(
+        F.count_distinct("mention").alias("records"), F.count_distinct("case_id").alias("cases"), F.min("day").alias("first_day"),
+        F.max("day").alias("last_day"),
+    ).withColumn("active_days", F.datediff("last_day", "first_day"))
+    heads = seen.groupBy("identity", F.coalesce("head", F.lit("unknown")).alias("top_head")).agg(F.count_distinct("case_id").alias("n"))
+    top = heads.groupBy("identity").agg(F.min(F.struct((-F.col("n")).alias("m"), "top_head")).alias("top"))
+    return base.join(top, "identity").select(*base.columns, "top.top_head", F.round(-F.col("top.m") / F.col("cases"), 4).alias("top_head_share"))
+
+
 def build(mentions: DataFrame, cases: DataFrame, edge: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """One row per identity. mentions: (mention, case_id, identity, name); cases: (case_id, day, district, unit, head)."""
     joined = mentions.join(cases, "case_id")

@@ -63,3 +63,21 @@ def test_pairs_are_dealt_to_tasks_by_the_size_of_the_table(spark, sf_dir, monkey
     assert parts.count(str(spark.table("lineitem").count() // deal)) >= 2
     monkeypatch.setattr(questions, "DEALT", {}, raising=False)
     assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, questions.ask(spark, number).collect()))
+
+
+def test_tables_of_another_corpus_answer_for_themselves(spark, sf_dir):
+    other = spark.newSession()
+    adapter.register(other, sf_dir)
+    rows = [(1, 1, 7), (2, 1, 8), (3, 2, 7), (4, 2, 8), (5, 3, 9)]
+    other.createDataFrame(rows, "AccusedMasterID long, CaseMasterID long, ResolvedIdentityID long").createOrReplaceTempView("resolved_identity")
+    assert [tuple(r) for r in questions.ask(other, 33).collect()] == [(7, 8, 2)]
+
+
+def test_profiles_are_dealt_by_the_size_of_the_table(spark, sf_dir, monkeypatch):
+    deal = catalog.read(spark, sf_dir, "lineitem").count() // 50
+    monkeypatch.setattr(questions, "DEAL", deal, raising=False)
+    p = catalog.QUERIES["identity_profiles"](spark, sf_dir)
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"hashpartitioning\(identity.*?, {questions.tasks(spark)}\)", plan) and "AccusedName" not in plan
+    want = catalog.profiles.build(catalog.mentions(spark, sf_dir), catalog.cases(spark, sf_dir)).select(*p.columns)
+    assert sorted(map(tuple, p.collect())) == sorted(map(tuple, want.collect()))
