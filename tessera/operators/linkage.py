@@ -114,13 +114,13 @@ def _term(level: Column, weights: list[float]) -> Column:
     return F.when(level < 0, 0.0).otherwise(F.element_at(F.array(*map(F.lit, weights)), level.cast("int") + 1))
 
 
-def contributions(weights: dict[str, list[float]]) -> dict[str, Column]:
-    """Column of each signal's term."""
-    return {s: _term(F.col(s), w) for s, w in weights.items()}
+def contributions(weights: dict[str, list[float]], levels: dict[str, Column] | None = None) -> dict[str, Column]:
+    """Column of each signal's term; levels: where a signal is no column of its name."""
+    return {s: _term((levels or {}).get(s, F.col(s)), w) for s, w in weights.items()}
 
 
-def score(weights: dict[str, list[float]]) -> Column:
-    terms = list(contributions(weights).values())
+def score(weights: dict[str, list[float]], levels: dict[str, Column] | None = None) -> Column:
+    terms = list(contributions(weights, levels).values())
     return sum(terms[1:], terms[0])
 
 
